@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.catalog.base import (
-    ALPHAS, SPLIT_DATE, combined_results, experiment_results, individual_results, lagged, modeling,
+    ALPHAS, SPLIT_DATE, challenger_and_baseline, experiment_results, individual_results, lagged, modeling,
     panel, query, rounded, with_ctes,
 )
 from panelspark.catalog.joins import _HISTORY
@@ -137,7 +137,7 @@ def pivot_quantiles(spark, sf):
     SELECT 'all', round(avg(rel_diff_pct), 6) FROM rel WHERE rel_diff_pct BETWEEN -100 AND 100""",
     "results", rel=_REL))
 def mean_rel_diff(spark, sf):
-    joined = compare.join_baseline(individual_results(spark, sf), combined_results(spark, sf))
+    joined = compare.join_baseline(*challenger_and_baseline(spark, sf))
     kept = compare.differences(joined).where(F.col("rel_diff_pct").between(-100, 100))
     sums = kept.groupBy("quantile_level").agg(
         F.avg("rel_diff_pct").alias("m"), F.count("*").alias("n"), F.sum("rel_diff_pct").alias("s"))

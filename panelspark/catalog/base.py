@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelspark.models import empirical
 from panelspark.operators import features, filters, metrics, quantiles, splits
 from panelspark.config import SKU_KEYS
+from panelspark.session import materialize
 from panelspark.sources import retail
 
 ALPHAS = [0.5, 0.7, 0.9, 0.95, 0.99]
@@ -66,35 +67,47 @@ def modeling(spark: SparkSession, sf: str) -> DataFrame:
     return splits.by_date(filters.drop_nulls(lagged(spark, sf)), SPLIT_DATE)
 
 
-def individual_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return empirical.fit_predict_series(modeling(spark, sf), ["skuID"], ALPHAS)
+def prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """The modeling frame written once, for plans that read it several times."""
+    return materialize(modeling(spark, sf), "prepared")
 
 
-def combined_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = modeling(spark, sf)
-    model = empirical.fit(rows.where(F.col("split") == "train"), [], ALPHAS)
-    return empirical.predict(rows.where(F.col("split") == "test"), model, [])
+def individual_rows(rows: DataFrame) -> DataFrame:
+    return empirical.fit_predict_series(rows, ["skuID"], ALPHAS)
 
 
-def individual_results(spark: SparkSession, sf: str) -> DataFrame:
-    scored = metrics.pinball_by_level(individual_rows(spark, sf), ["skuID", *SKU_KEYS], ALPHAS)
-    return scored.drop("skuID").withColumns(
+def individual_results(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """One model per SKU: a single pass over the panel."""
+    rows = modeling(spark, sf) if rows is None else rows
+    scored = metrics.pinball_by_level(individual_rows(rows), ["skuID", *SKU_KEYS], ALPHAS)
+    return rounded(scored.drop("skuID"), "mean_quantile_loss").withColumns(
         {"hp_type": F.lit("100"), "model_type": F.lit("empirical_quantile")})
 
 
-def combined_results(spark: SparkSession, sf: str) -> DataFrame:
-    scored = metrics.pinball_by_level(combined_rows(spark, sf), list(SKU_KEYS), ALPHAS)
-    return scored.withColumns({"hp_type": F.lit("0"), "model_type": F.lit("empirical_quantile")})
+def combined_results(rows: DataFrame) -> DataFrame:
+    """One model for all SKUs, scored per SKU."""
+    model = empirical.fit(rows.where(F.col("split") == "train"), [], ALPHAS)
+    test = empirical.predict(rows.where(F.col("split") == "test"), model, [])
+    scored = metrics.pinball_by_level(test, list(SKU_KEYS), ALPHAS)
+    return rounded(scored, "mean_quantile_loss").withColumns(
+        {"hp_type": F.lit("0"), "model_type": F.lit("empirical_quantile")})
+
+
+def challenger_and_baseline(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Per-SKU models against one model for all, from one prepared frame."""
+    rows = prepared(spark, sf)
+    return individual_results(spark, sf, rows), combined_results(rows)
 
 
 def experiment_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Two experiments: one model for all SKUs (hp_type 0), one per SKU (hp_type 100)."""
-    return combined_results(spark, sf).unionByName(individual_results(spark, sf))
+    """Two experiments, hp_type 0 (all SKUs) and 100 (per SKU), written as one results table."""
+    own, both = challenger_and_baseline(spark, sf)
+    return materialize(both.unionByName(own), "results")
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Test rows of the per-SKU models, one per level."""
-    rows = individual_rows(spark, sf).select("skuID", *SKU_KEYS, "date", "target", "quantiles")
+    rows = individual_rows(modeling(spark, sf)).select("skuID", *SKU_KEYS, "date", "target", "quantiles")
     return quantiles.by_level(rows, ALPHAS, name="prediction")
 
 
@@ -147,11 +160,11 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         FROM modeling m JOIN model_individual f USING (productID, storeID)
         WHERE m.split = 'test'""", ("modeling", "model_individual")),
     "individual_results": (f"""
-        SELECT {_RESULT_COLS}, avg({pinball_sql('target', 'prediction', 'quantile_level')}) AS mean_quantile_loss,
+        SELECT {_RESULT_COLS}, round(avg({pinball_sql('target', 'prediction', 'quantile_level')}), 9) AS mean_quantile_loss,
                '100' AS hp_type, 'empirical_quantile' AS model_type
         FROM predictions GROUP BY {_RESULT_COLS}""", ("predictions",)),
     "combined_results": (f"""
-        SELECT {_RESULT_COLS}, avg({pinball_sql('m.target', 'f.q', 'quantile_level')}) AS mean_quantile_loss,
+        SELECT {_RESULT_COLS}, round(avg({pinball_sql('m.target', 'f.q', 'quantile_level')}), 9) AS mean_quantile_loss,
                '0' AS hp_type, 'empirical_quantile' AS model_type
         FROM modeling m, model_combined f WHERE m.split = 'test'
         GROUP BY {_RESULT_COLS}""", ("modeling", "model_combined")),

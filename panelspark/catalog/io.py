@@ -1 +1,129 @@
+"""Sources and sinks. Sinks write below the shared folder and the query reads back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelspark.catalog.base import (
+    ALPHAS, experiment_results, individual_results, modeling, panel, query, rounded, with_ctes,
+)
+from panelspark.config import SKU_KEYS
+from panelspark.models import empirical
+from panelspark.operators import quantiles
+from panelspark.session import scratch_path
+from panelspark.sources import arrow_ipc, columnar, mapping, release, retail
+
+_PANEL = "bdID, productID, storeID, skuID, date, target, price, disc, not_for_sale"
+_RESULT_SCHEMA = "productID INT, storeID INT, quantile_level DOUBLE, mean_quantile_loss DOUBLE, hp_type STRING, model_type STRING"
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem")
+def src_columnar(spark, sf):
+    df = columnar.read_table(spark, f"{sf}/lineitem.parquet")
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query(with_ctes(f"SELECT {_PANEL} FROM panel", "panel"))
+def src_arrow_ipc(spark, sf):
+    path = scratch_path(spark, "arrow")
+    arrow_ipc.write(panel(spark, sf).select(*_PANEL.split(", ")), path)
+    return columnar.read_table(spark, path, "arrow")
+
+
+@query(with_ctes("SELECT productID, storeID, quantile_level, mean_quantile_loss, hp_type, model_type FROM results",
+                 "results"))
+def src_csv_typed(spark, sf):
+    path = scratch_path(spark, "csv")
+    columnar.write_csv(experiment_results(spark, sf).select(*[c.split()[0] for c in _RESULT_SCHEMA.split(", ")]), path)
+    return columnar.read_csv(spark, path, _RESULT_SCHEMA)
+
+
+@query(with_ctes("SELECT productID, storeID, quantile_level, mean_quantile_loss FROM individual_results",
+                 "individual_results"))
+def sink_csv(spark, sf):
+    path = scratch_path(spark, "csv")
+    columnar.write_csv(individual_results(spark, sf).select(*SKU_KEYS, "quantile_level", "mean_quantile_loss"), path)
+    return columnar.read_csv(
+        spark, path, "productID INT, storeID INT, quantile_level DOUBLE, mean_quantile_loss DOUBLE")
+
+
+@query(with_ctes("""
+    SELECT n_name || '_' || CAST(year(date) AS VARCHAR) AS feature_name, r_name AS company_name, sum(target) AS total
+    FROM panel JOIN nation ON n_nationkey = storeID JOIN region ON r_regionkey = n_regionkey GROUP BY ALL""", "panel"))
+def src_feature_mapping(spark, sf):
+    """Codes made from store and year, named by a mapping file written from the store tables."""
+    df = panel(spark, sf)
+    code = F.format_string("feature_%02d_%04d", F.col("storeID"), F.year("date"))
+    coded = df.groupBy("storeID", F.year("date").alias("year")).agg(F.sum("target").alias("total")).select(
+        F.format_string("feature_%02d_%04d", F.col("storeID"), F.col("year")).alias("feature"), "total")
+    nation, region = retail.table(spark, sf, "nation"), retail.table(spark, sf, "region")
+    names = (
+        df.select("storeID", F.year("date").alias("year"), code.alias("feature")).distinct()
+        .join(nation, F.col("storeID") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("feature", F.concat_ws("_", "n_name", F.col("year").cast("string")).alias("feature_name"),
+                F.col("r_name").alias("company_name"))
+    )
+    path = scratch_path(spark, "mapping")
+    names.write.json(path)
+    named = mapping.attach_names(coded, mapping.read_mapping(spark, path))
+    return named.drop("feature")
+
+
+@query(with_ctes(f"SELECT {_PANEL} FROM panel", "panel"))
+def sink_columnar(spark, sf):
+    path = scratch_path(spark, "features")
+    df = panel(spark, sf).select(*_PANEL.split(", "))
+    columnar.write_features(df, path)
+    return columnar.read_table(spark, path, schema=df.schema)
+
+
+@query(with_ctes("""
+    SELECT 'header' AS part, 'empirical_quantile' AS name, CAST(NULL AS INTEGER) AS productID,
+           CAST(NULL AS INTEGER) AS storeID, count(*) AS n FROM individual_results
+    UNION ALL SELECT 'quantile', CAST(quantile_level AS VARCHAR), NULL, NULL, 1 FROM individual_results
+              GROUP BY quantile_level
+    UNION ALL SELECT DISTINCT 'sku', 'sku', productID, storeID, 1 FROM individual_results
+    UNION ALL SELECT DISTINCT 'product', 'product', productID, NULL, 1 FROM individual_results
+    UNION ALL SELECT DISTINCT 'store', 'store', NULL, storeID, 1 FROM individual_results""", "individual_results"))
+def sink_release_bundle(spark, sf):
+    """The bundle of a release, written, read back and laid out as rows."""
+    results = individual_results(spark, sf)
+    root = scratch_path(spark, "release")
+    release.write_release(results, results, None, root, "all_skus")
+    header = spark.read.schema(
+        "model_type string, quantiles array<double>, num_models bigint").json(f"{root}/all_skus/bundle")
+    none = F.lit(None).cast("int")
+    head = header.select(F.lit("header").alias("part"), F.col("model_type").alias("name"),
+                         none.alias("productID"), none.alias("storeID"), F.col("num_models").alias("n"))
+    levels = header.select(F.explode("quantiles").alias("q")).select(
+        F.lit("quantile").alias("part"), F.col("q").cast("string").alias("name"),
+        none.alias("productID"), none.alias("storeID"), F.lit(1).cast("bigint").alias("n"))
+    members = spark.read.schema("kind string, productID int, storeID int").json(f"{root}/all_skus/members").select(
+        F.col("kind").alias("part"), F.col("kind").alias("name"), *SKU_KEYS, F.lit(1).cast("bigint").alias("n"))
+    return head.unionByName(levels).unionByName(members)
+
+
+@query(with_ctes("""
+    SELECT CAST(quantile_level AS VARCHAR) AS quantile_key, '(' || productID || ', ' || storeID || ')' AS sku_key,
+           mean_quantile_loss AS metric_value FROM individual_results""", "individual_results"))
+def sink_release_metrics(spark, sf):
+    results = individual_results(spark, sf)
+    root = scratch_path(spark, "release")
+    release.write_release(results, results, None, root, "all_skus")
+    return spark.read.schema("quantile_key string, sku_key string, metric_value double").json(
+        f"{root}/all_skus/metrics")
+
+
+@query(with_ctes("""
+    SELECT 'empirical_quantile' AS model_type, quantile_level, productID, storeID, round(q, 9) AS value
+    FROM model_individual""", "model_individual"))
+def sink_models(spark, sf):
+    train = modeling(spark, sf).where(F.col("split") == "train")
+    models = quantiles.by_level(empirical.fit(train, list(SKU_KEYS), ALPHAS), ALPHAS).withColumn(
+        "model_type", F.lit("empirical_quantile"))
+    path = scratch_path(spark, "models")
+    release.write_models(models, path)
+    saved = spark.read.schema(
+        "productID int, storeID int, value double, model_type string, quantile_level double").parquet(path)
+    return rounded(saved, "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.catalog.base import (
-    ALPHAS, SPLIT_DATE, combined_results, experiment_results, individual_results, lagged, modeling,
+    ALPHAS, SPLIT_DATE, challenger_and_baseline, experiment_results, individual_results, lagged, modeling,
     panel, query, rounded, with_ctes,
 )
 from panelspark.config import SKU_KEYS
@@ -124,7 +124,7 @@ def join_outlier_summary(spark, sf):
            round(b.mean_quantile_loss, 9) AS mean_quantile_loss_baseline
     FROM individual_results c JOIN combined_results b USING (productID, storeID, quantile_level)""", "results"))
 def join_baseline(spark, sf):
-    joined = compare.join_baseline(individual_results(spark, sf), combined_results(spark, sf))
+    joined = compare.join_baseline(*challenger_and_baseline(spark, sf))
     return rounded(joined.drop("model_type"), "mean_quantile_loss", "mean_quantile_loss_baseline")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.catalog.base import (
-    ALPHAS, combined_results, combined_rows, experiment_results, individual_results, individual_rows,
+    ALPHAS, experiment_results, individual_results, individual_rows,
     modeling, pinball_sql, predictions, query, rounded, with_ctes,
 )
 from panelspark.config import SKU_KEYS
@@ -55,7 +55,7 @@ def pinball_mean(spark, sf):
 @query(with_ctes(f"SELECT {_KEYS}, round(avg({_RAW}), 9) AS loss FROM predictions GROUP BY {_KEYS}", "predictions"))
 def pinball_unrounded(spark, sf):
     scored = metrics.pinball_by_level(
-        individual_rows(spark, sf), ["skuID", *SKU_KEYS], ALPHAS, rounded=False)
+        individual_rows(modeling(spark, sf)), ["skuID", *SKU_KEYS], ALPHAS, rounded=False)
     return rounded(scored.drop("skuID").withColumnRenamed("mean_quantile_loss", "loss"), "loss")
 
 

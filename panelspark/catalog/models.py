@@ -1 +1,210 @@
+"""Model operators, experiments and tuning.
 
+Iterative fits have no SQL twin; their queries return check tables that a test reads.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelspark.catalog.base import (
+    ALPHAS, LEVEL_LIST, SEED, experiment_results, modeling, pinball_sql, predictions, prepared, query,
+    rounded, with_ctes,
+)
+from panelspark.catalog.selections import N_FOLDS, _FOLD
+from panelspark.config import SKU_KEYS, ModelConfig, Strategy
+from panelspark.functions.losses import pinball
+from panelspark.models import empirical, linear, registry
+from panelspark.models.registry import ModelType, Setup
+from panelspark.operators import quantiles, sampling
+from panelspark.plans import experiment, tuning
+
+FEATURES = ["price", "disc", *[f"target_lag_{k}" for k in range(1, 8)]]
+TREES = {"n_estimators": 10, "max_depth": 3, "eta": 0.3}
+
+
+def _run(rows, model_type, strategy, alphas=None, **params):
+    """Predictions of the test rows under one model type."""
+    config = ModelConfig(model_type, params, alphas)
+    setup = experiment.setup_of(rows, config, strategy, features=FEATURES)
+    return experiment.fit_predict(rows, model_type, setup)[1], config
+
+
+@query(with_ctes(f"""
+    SELECT productID, storeID, quantile_level, mean_quantile_loss, 'empirical_quantile' AS model_type,
+           'individual' AS modeling_strategy FROM individual_results
+    UNION ALL
+    SELECT NULL, NULL, quantile_level,
+           round(avg({pinball_sql('m.target', 'f.q', 'quantile_level')}), 6), 'empirical_quantile', 'combined'
+    FROM modeling m, model_combined f WHERE m.split = 'test' GROUP BY quantile_level""",
+    "individual_results", "model_combined"))
+def fit_predict_all(spark, sf):
+    """Both strategies of one model type over all SKUs and levels."""
+    rows = prepared(spark, sf)
+    own, config = _run(rows, "empirical_quantile", Strategy.INDIVIDUAL, ALPHAS)
+    both, _ = _run(rows, "empirical_quantile", Strategy.COMBINED, ALPHAS)
+    one = rounded(experiment.score(both, config, Strategy.COMBINED), six=["mean_quantile_loss"])
+    many = rounded(experiment.score(own, config, Strategy.INDIVIDUAL), "mean_quantile_loss")
+    return many.unionByName(one, allowMissingColumns=True)
+
+
+@query(with_ctes(f"""
+    SELECT CAST(held AS INTEGER) AS fold, quantile_level, count(*) AS n_rows,
+           round(avg({pinball_sql('target', 'q', 'quantile_level', rounded=False)}), 6) AS loss
+    FROM rows_ JOIN models ON fold = held GROUP BY held, quantile_level""", "modeling",
+    rows_=f"SELECT target, {_FOLD.format(seed=SEED, k=N_FOLDS)} AS fold FROM modeling WHERE split = 'train'",
+    models=f"SELECT held, unnest({LEVEL_LIST}) AS quantile_level, unnest(quantile_cont(target::DOUBLE, {LEVEL_LIST})) "
+           f"AS q FROM rows_, range({N_FOLDS}) h(held) WHERE fold <> held GROUP BY held"))
+def kfold_cv_quantile(spark, sf):
+    train = modeling(spark, sf).where(F.col("split") == "train")
+    return rounded(tuning.cv_empirical(train, N_FOLDS, SEED, ALPHAS), six=["loss"])
+
+
+def _quantile_check(scored, constant):
+    """Per level: loss and coverage of a model beside the constant quantile's loss."""
+    y, p, a = F.col("target"), F.col("prediction"), F.col("quantile_level")
+
+    def losses(df, name):
+        return df.groupBy("quantile_level").agg(
+            F.count("*").alias(f"n_{name}"), F.avg(pinball(y, p, a)).alias(f"loss_{name}"),
+            F.avg((y <= p).cast("double")).alias(f"coverage_{name}"))
+
+    return losses(scored, "model").join(losses(constant, "constant"), "quantile_level")
+
+
+def _on_train(rows):
+    """Rows that are both fitted and scored, to compare losses on the rows a fit saw."""
+    train = rows.where(F.col("split") == "train")
+    return train, train.withColumn("split", F.lit("test"))
+
+
+@query()
+def linear_quantile_fit(spark, sf):
+    """One linear model per level over all rows, beside the constant quantile."""
+    train, seen = _on_train(prepared(spark, sf))
+    setup = Setup([], ALPHAS, FEATURES, "target", {"max_iter": 60})
+    model = registry.get("linear_quantile")
+    scored = model.predict(seen, model.fit(train, setup), setup)
+    constant = quantiles.by_level(
+        empirical.predict(seen, empirical.fit(train, [], ALPHAS), []), ALPHAS, name="prediction")
+    return _quantile_check(scored, constant)
+
+
+@query()
+def linear_quantile_fit_individual(spark, sf):
+    """One linear model per SKU and level, beside the SKU's constant quantile."""
+    train, seen = _on_train(prepared(spark, sf))
+    setup = Setup(list(SKU_KEYS), ALPHAS, FEATURES, "target", {})
+    model = registry.get("linear_quantile")
+    scored = model.predict(seen, model.fit(train, setup), setup)
+    constant = quantiles.by_level(
+        empirical.predict(seen, empirical.fit(train, list(SKU_KEYS), ALPHAS), list(SKU_KEYS)),
+        ALPHAS, name="prediction")
+    return _quantile_check(scored, constant)
+
+
+@query(with_ctes("""
+    SELECT m.bdID, 0.5::DOUBLE AS quantile_level, round(b0 + b1 * m.target_lag_1, 6) AS prediction
+    FROM modeling m JOIN line USING (productID, storeID) WHERE m.split = 'test'""", "modeling",
+    line="SELECT productID, storeID, regr_slope(target, target_lag_1) AS b1, "
+         "regr_intercept(target, target_lag_1) AS b0 FROM modeling WHERE split = 'train' "
+         "GROUP BY productID, storeID HAVING regr_slope(target, target_lag_1) IS NOT NULL"))
+def linear_quantile_predict(spark, sf):
+    """Predictions from given coefficients: here the least-squares line on the last value."""
+    rows, keys = prepared(spark, sf), list(SKU_KEYS)
+    line = (
+        rows.where(F.col("split") == "train").groupBy(*keys)
+        .agg(F.regr_slope("target", "target_lag_1").alias("b1"),
+             F.regr_intercept("target", "target_lag_1").alias("intercept"))
+        .where(F.col("b1").isNotNull())
+        .select(*keys, F.lit(0.5).alias("quantile_level"), "intercept", F.array("b1").alias("coefficients"))
+    )
+    scored = linear.predict(rows.where(F.col("split") == "test"), line, keys, ["target_lag_1"])
+    return rounded(scored.select("bdID", "quantile_level", "prediction"), six=["prediction"])
+
+
+def _regression_check(scored, rows):
+    """Squared error of a model beside the train mean's, on the same test rows."""
+    mean = rows.where(F.col("split") == "train").agg(F.avg("target")).scalar()
+    y, p = F.col("target"), F.col("prediction")
+    return scored.agg(
+        F.count("*").alias("n_rows"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse_model"),
+        F.sqrt(F.avg((y - mean) * (y - mean))).alias("rmse_mean"))
+
+
+@query()
+def gbt_regress(spark, sf):
+    rows = prepared(spark, sf)
+    return _regression_check(_run(rows, "gbt_regress", Strategy.COMBINED, **TREES)[0], rows)
+
+
+@query()
+def gbt_regress_individual(spark, sf):
+    rows = prepared(spark, sf)
+    scored, _ = _run(rows, "gbt_regress", Strategy.INDIVIDUAL, min_child_weight=5, **TREES)
+    return _regression_check(scored, rows)
+
+
+@query()
+def gbt_quantile(spark, sf):
+    train, seen = _on_train(prepared(spark, sf))
+    scored, _ = _run(train.unionByName(seen), "gbt_quantile", Strategy.COMBINED, [0.7], **TREES)
+    constant = quantiles.by_level(
+        empirical.predict(seen, empirical.fit(train, [], [0.7]), []), [0.7], name="prediction")
+    return _quantile_check(scored, constant)
+
+
+@query()
+def gbt_quantile_individual(spark, sf):
+    """Boosted trees per SKU and level: losses of every model on its test rows."""
+    scored, config = _run(
+        prepared(spark, sf), "gbt_quantile", Strategy.INDIVIDUAL, ALPHAS, min_child_weight=5, **TREES)
+    return experiment.score(scored, config, Strategy.INDIVIDUAL)
+
+
+@query()
+def tune_random_search(spark, sf):
+    """Two trials of boosted trees in two folds on the train rows of 100 sampled SKUs."""
+    rows = prepared(spark, sf)
+    chosen = sampling.sample_skus(rows, 100, SEED)
+    train = rows.where(F.col("split") == "train").join(chosen, list(SKU_KEYS), "left_semi")
+    found = tuning.random_search(
+        train, "gbt_regress", FEATURES, n_trials=2, n_folds=2, seed=SEED, parallelism=2,
+        fixed={"n_estimators": 5, "max_depth": 4}, n_skus=100)
+    return found.trials.withColumn("is_best", F.col("loss") == found.best_score)
+
+
+@query(with_ctes("""
+    SELECT hp_type, quantile_level, count(*) AS n_models FROM results
+    WHERE hp_type = '100' AND quantile_level IS NOT NULL AND model_type = 'empirical_quantile' GROUP BY ALL""",
+    "results"))
+def lookup_models(spark, sf):
+    named = experiment_results(spark, sf).withColumn(
+        "modeling_strategy", F.when(F.col("hp_type") == "0", "combined").otherwise("individual"))
+    found = experiment.lookup(named, Strategy.INDIVIDUAL, quantile_only=True, model_type="empirical_quantile")
+    return found.groupBy("hp_type", "quantile_level").agg(F.count("*").alias("n_models"))
+
+
+def _weekday_fit(train, s):
+    return train.groupBy(*s.keys, F.weekday("date").alias("weekday")).agg(F.avg(s.target).alias("prediction"))
+
+
+def _weekday_predict(rows, fitted, s):
+    keyed = rows.withColumn("weekday", F.weekday("date"))
+    return keyed.join(fitted, [*s.keys, "weekday"]).withColumn("quantile_level", F.lit(None).cast("double"))
+
+
+@query(with_ctes("""
+    SELECT productID, storeID, CAST(NULL AS DOUBLE) AS quantile_level,
+           round(avg((target - p) * (target - p)), 9) AS mse, round(sqrt(avg((target - p) * (target - p))), 6) AS rmse,
+           round(avg(abs(target - p)), 9) AS mae, 'weekday_mean' AS model_type, 'individual' AS modeling_strategy
+    FROM modeling m JOIN means w ON m.productID = w.pid AND m.storeID = w.sid AND isodow(m.date) = w.d
+    WHERE split = 'test' GROUP BY productID, storeID""", "modeling",
+    means="SELECT productID AS pid, storeID AS sid, isodow(date) AS d, avg(target) AS p FROM modeling "
+          "WHERE split = 'train' GROUP BY ALL"))
+def model_plugin(spark, sf):
+    """A user's own model type: the mean of the weekday."""
+    registry.register("weekday_mean", ModelType(_weekday_fit, _weekday_predict, description="mean per weekday"))
+    scored, config = _run(prepared(spark, sf), "weekday_mean", Strategy.INDIVIDUAL)
+    table = experiment.score(scored, config, Strategy.INDIVIDUAL)
+    return rounded(table, "mse", "mae", six=["rmse"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.catalog.base import (
-    ALPHAS, combined_results, experiment_results, individual_results, lagged, modeling, panel,
+    ALPHAS, challenger_and_baseline, experiment_results, individual_results, lagged, modeling, panel,
     predictions, query, rounded, with_ctes,
 )
 from panelspark.catalog.aggregates import _CELL, _REL
@@ -79,7 +79,7 @@ def sku_key(spark, sf):
     SELECT productID, storeID, quantile_level, round(mean_quantile_loss - base, 9) AS abs_diff,
            round(rel_diff_pct, 6) AS rel_diff_pct FROM rel""", "results", rel=_REL))
 def rel_diff(spark, sf):
-    joined = compare.join_baseline(individual_results(spark, sf), combined_results(spark, sf))
+    joined = compare.join_baseline(*challenger_and_baseline(spark, sf))
     diff = compare.differences(joined).select(*SKU_KEYS, "quantile_level", "abs_diff", "rel_diff_pct")
     return rounded(diff, "abs_diff", six=["rel_diff_pct"])
 
@@ -98,7 +98,7 @@ def rel_mean_shift(spark, sf):
            round(base, 9) AS mean_quantile_loss_baseline, false AS is_better
     FROM rel WHERE NOT round(mean_quantile_loss, 9) <= round(base, 9)""", "results", rel=_REL))
 def better_than_baseline(spark, sf):
-    joined = compare.join_baseline(individual_results(spark, sf), combined_results(spark, sf))
+    joined = compare.join_baseline(*challenger_and_baseline(spark, sf))
     ours, base = F.round("mean_quantile_loss", 9), F.round("mean_quantile_loss_baseline", 9)
     worse = joined.withColumn("is_better", ours <= base).where(~F.col("is_better"))
     return rounded(worse.drop("hp_type", "model_type"), "mean_quantile_loss", "mean_quantile_loss_baseline")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.catalog.base import (
-    ALPHAS, LAGS, SEED, TEST_FRACTION, combined_results, experiment_results, individual_results,
+    ALPHAS, LAGS, SEED, TEST_FRACTION, challenger_and_baseline, experiment_results, individual_results,
     lagged, modeling, panel, query, rounded, with_ctes,
 )
 from panelspark.catalog.joins import _WORST
@@ -49,7 +49,7 @@ def topk_outliers(spark, sf):
     FROM individual_results c JOIN combined_results b USING (productID, storeID, quantile_level)
     ORDER BY abs_diff DESC, productID, storeID, quantile_level LIMIT 50""", "results"))
 def topk_overall(spark, sf):
-    joined = compare.join_baseline(individual_results(spark, sf), combined_results(spark, sf))
+    joined = compare.join_baseline(*challenger_and_baseline(spark, sf))
     diff = compare.differences(joined).select(*SKU_KEYS, "quantile_level", F.round("abs_diff", 9).alias("abs_diff"))
     return diff.orderBy(F.desc("abs_diff"), *SKU_KEYS, "quantile_level").limit(50)
 
@@ -83,7 +83,8 @@ def kfold_assign(spark, sf):
 
 @query(with_ctes(f"SELECT {_RESULT}, model_type FROM results", "results"))
 def union_results(spark, sf):
-    union = combined_results(spark, sf).unionByName(individual_results(spark, sf))
+    own, both = challenger_and_baseline(spark, sf)
+    union = both.unionByName(own)
     return rounded(union, "mean_quantile_loss")
 
 

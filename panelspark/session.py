@@ -49,3 +49,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows by key into exactly ``spark.sql.shuffle.partitions`` parts.
+
+    Adaptive execution sizes partitions by bytes. Where each row carries much work, as in a
+    fit per series, merging small partitions would leave executors idle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

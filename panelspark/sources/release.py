@@ -28,26 +28,28 @@ def bundle(results: DataFrame, experiment_name: str, hyperparameters: dict | Non
     ).withColumns({"experiment_name": F.lit(experiment_name), "hyperparameters": settings})
 
 
-def bundle_members(results: DataFrame) -> DataFrame:
+def bundle_members(skus: DataFrame) -> DataFrame:
     """The distinct SKUs, product ids and store ids of a release as rows of one table."""
     none = F.lit(None).cast("int")
-    skus = results.select(F.lit("sku").alias("kind"), "productID", "storeID")
-    products = results.select(F.lit("product").alias("kind"), "productID", none.alias("storeID"))
-    stores = results.select(F.lit("store").alias("kind"), none.alias("productID"), "storeID")
-    return skus.unionByName(products).unionByName(stores).distinct()
+    pairs = skus.select(F.lit("sku").alias("kind"), "productID", "storeID")
+    products = skus.select(F.lit("product").alias("kind"), "productID", none.alias("storeID"))
+    stores = skus.select(F.lit("store").alias("kind"), none.alias("productID"), "storeID")
+    return pairs.unionByName(products).unionByName(stores).distinct()
 
 
 def release_metrics(results: DataFrame, value: str = "mean_quantile_loss") -> DataFrame:
     """Flat metrics: quantile key, SKU label, value."""
-    label = F.format_string("(%d, %d)", F.col("productID"), F.col("storeID"))
+    label = F.col("sku_key") if "sku_key" in results.columns else F.format_string(
+        "(%d, %d)", F.col("productID"), F.col("storeID"))
     return results.select(
         quantile_key(F.col("quantile_level")).alias("quantile_key"),
         label.alias("sku_key"), F.col(value).alias("metric_value"),
     )
 
 
-def write_release(results: DataFrame, models: DataFrame, path: str, experiment_name: str,
-                  hyperparameters: dict | None = None, value: str = "mean_quantile_loss") -> str:
+def write_release(results: DataFrame, skus: DataFrame, models: DataFrame | None, path: str,
+                  experiment_name: str, hyperparameters: dict | None = None,
+                  value: str = "mean_quantile_loss") -> str:
     """Write ``bundle``, ``members``, ``metrics`` and ``model_params`` below ``path/experiment_name``.
 
     Members and metrics are JSON lines and models are parquet, so they are written by all
@@ -55,13 +57,14 @@ def write_release(results: DataFrame, models: DataFrame, path: str, experiment_n
     """
     root = f"{path.rstrip('/')}/{experiment_name}"
     bundle(results, experiment_name, hyperparameters).write.mode("overwrite").json(f"{root}/bundle")
-    bundle_members(results).write.mode("overwrite").partitionBy("kind").json(f"{root}/members")
+    bundle_members(skus).write.mode("overwrite").partitionBy("kind").json(f"{root}/members")
     release_metrics(results, value).write.mode("overwrite").partitionBy("quantile_key").json(f"{root}/metrics")
-    write_models(models, f"{root}/model_params")
+    if models is not None:
+        write_models(models, f"{root}/model_params")
     return root
 
 
 def write_models(models: DataFrame, path: str) -> None:
-    """Fitted models are rows; folders name the model type and the quantile level."""
-    models.withColumn("quantile_key", quantile_key(F.col("quantile_level"))).write.mode(
-        "overwrite").partitionBy("model_type", "quantile_key").parquet(path)
+    """Fitted models are rows; folders name the model type and the quantile level where there is one."""
+    folders = [c for c in ("model_type", "quantile_level") if c in models.columns]
+    models.write.mode("overwrite").partitionBy(*folders).parquet(path)
