@@ -82,7 +82,7 @@ def _on_train(rows):
 def linear_quantile_fit(spark, sf):
     """One linear model per level over all rows, beside the constant quantile."""
     train, seen = _on_train(prepared(spark, sf))
-    setup = Setup([], ALPHAS, FEATURES, "target", {"max_iter": 60})
+    setup = Setup([], ALPHAS, FEATURES, "target", {})
     model = registry.get("linear_quantile")
     scored = model.predict(seen, model.fit(train, setup), setup)
     constant = quantiles.by_level(

@@ -7,6 +7,7 @@ a series is bounded by the calendar, so each is solved whole inside a task, all
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -16,17 +17,26 @@ from pyspark.sql import DataFrame, functions as F
 from panelspark.config import SKU_KEYS, check_alphas
 from panelspark.session import materialize, spread_by_key
 
-# Rounds, stop tolerance and the smallest residual a weight is made from.
-MAX_ITER, P_TOL, MIN_RESIDUAL = 5_000, 1e-6, 1e-6
+# The most rounds, and the smallest residual a weight is made from.
+MAX_ITER, MIN_RESIDUAL = 5_000, 1e-6
+# Rounds stop when the loss changes by less than this share.
+P_TOL = 1e-7
+# They also stop after this many rounds without a better loss.
+PATIENCE = 5
+# Residuals below a floor share one weight. The floor shrinks each round, or else the first
+# rows hit exactly would hold the solution fast; rounds stop once it is below its last share
+# of the target's spread.
+FLOOR_SHRINK, LAST_FLOOR, WARM_FLOOR = 0.7, 1e-3, 0.02
 RIDGE = 1e-9
+SAMPLE_ROWS = 50_000
 MODEL_COLUMNS = "quantile_level double, intercept double, coefficients array<double>, n_rows bigint, n_iter int, fallback boolean"
 
 
-def _sums(x, y, beta, alpha):
+def _sums(x, y, beta, alpha, floor):
     """Weighted normal equations and the pinball loss of some rows at given coefficients."""
     r = y - x @ beta
     loss = np.where(r >= 0, alpha * r, (alpha - 1) * r).sum()
-    w = np.where(r >= 0, alpha, 1 - alpha) / np.maximum(np.abs(r), MIN_RESIDUAL)
+    w = np.where(r >= 0, alpha, 1 - alpha) / np.maximum(np.abs(r), floor)
     xw = x * w[:, None]
     return xw.T @ x, xw.T @ y, loss
 
@@ -35,31 +45,57 @@ def _solve(gram, moment):
     return np.linalg.solve(gram + RIDGE * np.trace(gram) * np.eye(len(gram)), moment)
 
 
+@dataclass
+class _Fit:
+    """Progress of one level: the next coefficients, and the best ones seen."""
+
+    alpha: float
+    beta: np.ndarray
+    floor: float
+    last_floor: float
+    best: np.ndarray | None = None
+    best_loss: float = np.inf
+    last: float = np.inf
+    rounds: int = 0
+    idle: int = 0
+    open: bool = True
+
+    def step(self, gram, moment, loss, max_iter, p_tol):
+        low = self.floor <= self.last_floor
+        self.idle = 0 if loss < self.best_loss * (1 - p_tol) or not low else self.idle + 1
+        if loss < self.best_loss:
+            self.best, self.best_loss = self.beta, loss
+        settled = low and (abs(self.last - loss) <= p_tol * loss or self.idle >= PATIENCE)
+        self.open = not (settled or self.rounds >= max_iter)
+        if self.open:
+            self.beta, self.last = _solve(gram, moment), loss
+            self.floor = max(self.floor * FLOOR_SHRINK, MIN_RESIDUAL)
+            self.rounds += 1
+
+
 def _design(pdf: pd.DataFrame, features):
     return np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(float)])
 
 
 def _fit_series(x, y, alpha, max_iter, p_tol):
-    """Coefficients of one series and the rounds used; few rows fall back to the quantile."""
-    beta = np.zeros(x.shape[1])
-    beta[0] = np.quantile(y, alpha)
-    if len(y) <= x.shape[1]:
-        return beta, 0, True
-    best, last = beta, np.inf
-    for done in range(1, max_iter + 1):
-        gram, moment, loss = _sums(x, y, beta, alpha)
-        if loss >= last * (1 - p_tol):
-            return (beta if loss < last else best), done, False
-        best, last, beta = beta, loss, _solve(gram, moment)
-    return best, max_iter, False
+    """Coefficients of rows in one place and the rounds used; few rows fall back to the quantile."""
+    if len(y) <= x.shape[1] or y.std() == 0:
+        constant = np.zeros(x.shape[1])
+        constant[0] = np.quantile(y, alpha)
+        return constant, 0, True
+    least_squares = _solve(x.T @ x, x.T @ y)
+    state = _Fit(alpha, least_squares, y.std(), LAST_FLOOR * y.std())
+    while state.open:
+        state.step(*_sums(x, y, state.beta, alpha, state.floor), max_iter, p_tol)
+    return state.best, state.rounds, False
 
 
 def fit(train: DataFrame, keys: list[str], alphas, features: list[str], target: str = "target",
-        max_iter: int = MAX_ITER, p_tol: float = P_TOL) -> DataFrame:
+        max_iter: int = MAX_ITER, p_tol: float = P_TOL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per model key and level: intercept, coefficients and how the fit went."""
     alphas = check_alphas(alphas)
     if not keys:
-        return _fit_all(train, alphas, features, target, max_iter, p_tol)
+        return _fit_all(train, alphas, features, target, max_iter, p_tol, sample_rows)
     if not (set(SKU_KEYS) <= set(keys) or "skuID" in keys):
         raise ValueError("linear models are fitted for all rows or per SKU")
 
@@ -78,44 +114,48 @@ def fit(train: DataFrame, keys: list[str], alphas, features: list[str], target:
     return rows.groupBy(*keys).applyInPandas(solve, schema)
 
 
-def _fit_all(train, alphas, features, target, max_iter, p_tol):
+def _fit_all(train, alphas, features, target, max_iter, p_tol, sample_rows):
     """Rounds over one written table; the driver holds only the coefficients."""
     spark = train.sparkSession
     rows = materialize(train.select(*features, target), "design")
-    n, y_sum = rows.agg(F.count("*"), F.sum(target)).first()
+    n = rows.count()
     if not n:
         raise ValueError("no train rows")
-    width = len(features) + 1
-    start = np.zeros(width)
-    start[0] = y_sum / n
-    state = {a: {"beta": start, "best": start, "last": np.inf, "rounds": 0, "open": True} for a in alphas}
-
-    for _ in range(max_iter + 1):
-        betas = {a: s["beta"] for a, s in state.items() if s["open"]}
-        if not betas:
-            break
-        for a, (gram, moment, loss) in _gather(rows, betas, features, target, width).items():
-            s = state[a]
-            if loss >= s["last"] * (1 - p_tol) or s["rounds"] >= max_iter:
-                s["best"] = s["beta"] if loss < s["last"] else s["best"]
-                s["open"] = False
-                continue
-            s.update(best=s["beta"], last=loss, rounds=s["rounds"] + 1, beta=_solve(gram, moment))
-    fitted = [
-        (a, float(s["best"][0]), s["best"][1:].tolist(), n, s["rounds"], False) for a, s in state.items()
-    ]
+    states = _first_guess(rows, n, alphas, features, target, max_iter, p_tol, sample_rows)
+    while any(s.open for s in states):
+        active = [s for s in states if s.open]
+        sums = _gather(rows, active, features, target)
+        for s in active:
+            s.step(*sums[s.alpha], max_iter, p_tol)
+    fitted = [(s.alpha, float(s.best[0]), s.best[1:].tolist(), n, s.rounds, False) for s in states]
     return spark.createDataFrame(fitted, MODEL_COLUMNS)
 
 
-def _gather(rows, betas, features, target, width):
-    """Sum the tasks' matrices per level; one row per level reaches the driver."""
+def _first_guess(rows, n, alphas, features, target, max_iter, p_tol, sample_rows):
+    """Start every level from a sample of bounded size, solved in one place.
+
+    It only saves rounds: from here the rounds go over all rows until their loss settles.
+    """
+    sample = rows if n <= sample_rows else rows.sample(sample_rows / n, seed=42).limit(2 * sample_rows)
+    pdf = sample.toPandas()
+    x, y = _design(pdf, features), pdf[target].to_numpy(float)
+    return [
+        _Fit(a, _fit_series(x, y, a, max_iter, p_tol)[0], WARM_FLOOR * y.std(), LAST_FLOOR * y.std())
+        for a in alphas
+    ]
+
+
+def _gather(rows, states, features, target):
+    """Sum the tasks' matrices per level; a few hundred numbers reach the driver."""
+    betas = [(s.alpha, s.beta, s.floor) for s in states]
+    width = len(features) + 1
 
     def partial(batches):
         totals = {}
         for pdf in batches:
             x, y = _design(pdf, features), pdf[target].to_numpy(float)
-            for a, beta in betas.items():
-                gram, moment, loss = _sums(x, y, beta, a)
+            for a, beta, floor in betas:
+                gram, moment, loss = _sums(x, y, beta, a, floor)
                 packed = np.concatenate([gram.ravel(), moment, [loss]])
                 totals[a] = totals[a] + packed if a in totals else packed
         if totals:
