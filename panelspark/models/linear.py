@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.config import SKU_KEYS, check_alphas
+from panelspark.operators import scaling
 from panelspark.session import materialize, spread_by_key
 
 # The most rounds, and the smallest residual a weight is made from.
@@ -77,6 +78,19 @@ def _design(pdf: pd.DataFrame, features):
     return np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(float)])
 
 
+def _standardise(x):
+    """Columns with mean 0 and deviation 1, and how to take coefficients back."""
+    mean, spread = x[:, 1:].mean(0), x[:, 1:].std(0)
+    spread = np.where(spread == 0, 1.0, spread)
+    return np.column_stack([x[:, :1], (x[:, 1:] - mean) / spread]), mean, spread
+
+
+def _unscale(beta, mean, spread):
+    """Coefficients for the features as they are."""
+    slopes = beta[1:] / spread
+    return float(beta[0] - slopes @ mean), slopes.tolist()
+
+
 def _fit_series(x, y, alpha, max_iter, p_tol):
     """Coefficients of rows in one place and the rounds used; few rows fall back to the quantile."""
     if len(y) <= x.shape[1] or y.std() == 0:
@@ -92,7 +106,11 @@ def _fit_series(x, y, alpha, max_iter, p_tol):
 
 def fit(train: DataFrame, keys: list[str], alphas, features: list[str], target: str = "target",
         max_iter: int = MAX_ITER, p_tol: float = P_TOL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per model key and level: intercept, coefficients and how the fit went."""
+    """One row per model key and level: intercept, coefficients and how the fit went.
+
+    Features are standardised on the train rows for the fit; the coefficients are given for
+    the features as they are, so predicting needs no scaler.
+    """
     alphas = check_alphas(alphas)
     if not keys:
         return _fit_all(train, alphas, features, target, max_iter, p_tol, sample_rows)
@@ -100,11 +118,12 @@ def fit(train: DataFrame, keys: list[str], alphas, features: list[str], target:
         raise ValueError("linear models are fitted for all rows or per SKU")
 
     def solve(key, pdf):
-        x, y = _design(pdf, features), pdf[target].to_numpy(float)
+        x, mean, spread = _standardise(_design(pdf, features))
+        y = pdf[target].to_numpy(float)
         rows = []
         for a in alphas:
             beta, rounds, fallback = _fit_series(x, y, a, max_iter, p_tol)
-            rows.append((*key, a, float(beta[0]), beta[1:].tolist(), len(y), rounds, fallback))
+            rows.append((*key, a, *_unscale(beta, mean, spread), len(y), rounds, fallback))
         return pd.DataFrame(rows, columns=out_names)
 
     key_types = [f"{k} {train.schema[k].dataType.simpleString()}" for k in keys]
@@ -117,7 +136,11 @@ def fit(train: DataFrame, keys: list[str], alphas, features: list[str], target:
 def _fit_all(train, alphas, features, target, max_iter, p_tol, sample_rows):
     """Rounds over one written table; the driver holds only the coefficients."""
     spark = train.sparkSession
-    rows = materialize(train.select(*features, target), "design")
+    train = train.select(*features, target).withColumn("split", F.lit("train"))
+    stats = scaling.fit(train, features, [])
+    scales = stats.first()
+    mean, spread = (np.array([scales[f"{c}_{part}"] for c in features]) for part in ("mean", "std"))
+    rows = materialize(scaling.apply(train, stats, features, []).drop("split"), "design")
     n = rows.count()
     if not n:
         raise ValueError("no train rows")
@@ -127,7 +150,7 @@ def _fit_all(train, alphas, features, target, max_iter, p_tol, sample_rows):
         sums = _gather(rows, active, features, target)
         for s in active:
             s.step(*sums[s.alpha], max_iter, p_tol)
-    fitted = [(s.alpha, float(s.best[0]), s.best[1:].tolist(), n, s.rounds, False) for s in states]
+    fitted = [(s.alpha, *_unscale(s.best, mean, spread), n, s.rounds, False) for s in states]
     return spark.createDataFrame(fitted, MODEL_COLUMNS)
 
 

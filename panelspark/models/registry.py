@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from panelspark.models import empirical, linear, trees
-from panelspark.operators import quantiles, scaling
+from panelspark.operators import quantiles
 
 
 @dataclass(frozen=True)
@@ -79,22 +79,14 @@ register("empirical_quantile", ModelType(
 
 
 def _linear_fit(train, s):
-    marked = train.selectExpr("*", "'train' AS split") if "split" not in train.columns else train
-    stats = scaling.fit(marked, s.features, s.keys)
-    scaled = scaling.apply(train, stats, s.features, s.keys)
-    options = {k: s.params[k] for k in ("max_iter", "p_tol") if k in s.params}
-    return stats, linear.fit(scaled, s.keys, s.alphas, s.features, s.target, **options)
-
-
-def _linear_predict(rows, fitted, s):
-    stats, model = fitted
-    return linear.predict(scaling.apply(rows, stats, s.features, s.keys), model, s.keys, s.features)
+    options = {k: s.params[k] for k in ("max_iter", "p_tol", "sample_rows") if k in s.params}
+    return linear.fit(train, s.keys, s.alphas, s.features, s.target, **options)
 
 
 register("linear_quantile", ModelType(
-    fit=_linear_fit, predict=_linear_predict, requires_quantile=True,
-    as_table=lambda fitted, s: fitted[1],
-    description="linear quantile regression with intercept on standardised features"))
+    fit=_linear_fit, predict=lambda rows, fitted, s: linear.predict(rows, fitted, s.keys, s.features),
+    requires_quantile=True, as_table=lambda fitted, s: fitted,
+    description="linear quantile regression with intercept"))
 
 
 def _all_rows_only(s):
