@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.catalog.base import panel, query, with_ctes
 from panelspark.operators import features
 from panelspark.plans import prepare
+from panelspark.session import materialize
 from panelspark.sources import retail
 
 YEARS = range(1995, 2002)  # the years the sales tables cover
@@ -92,7 +93,8 @@ def date_spine(spark, sf):
     lags=f"SELECT *, {_LAGS} FROM chosen {_WINDOW}"))
 def prepare_features(spark, sf):
     """The whole preparation: whitelist, target join, calendar, one-hot, lags, trend, for sale."""
-    df = panel(spark, sf)
+    # Written once, like the raw files a run starts from: four steps read it.
+    df = materialize(panel(spark, sf), "panel")
     prepared = prepare.prepare_features(
         retail.feature_frame(df), df.select("bdID", "target"),
         whitelist=retail.store_whitelist(spark, sf, df), years=YEARS)

@@ -45,7 +45,7 @@ def one_hot(df: DataFrame, columns, domains: dict | None = None) -> DataFrame:
             values = sorted(r[0] for r in rows if r[0] is not None)
         for value in values:
             label = str(value).lower() if isinstance(value, bool) else value
-            hit = F.coalesce(F.col(name) == F.lit(value), F.lit(False))
+            hit = F.col(name).eqNullSafe(F.lit(value))
             flags.append(hit.cast("tinyint").alias(f"{name}_{label}"))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in set(columns)]
     return df.select(*kept, *flags)

@@ -13,22 +13,23 @@ CALENDAR_COLUMNS = ("day_of_week", "month", "quarter", "week_of_year", "year", "
 def prepare_features(raw: DataFrame, targets: DataFrame, whitelist: DataFrame | None = None,
                      lags=range(1, 8), years=None, value_col: str = "target",
                      friday_is_weekend: bool = False) -> DataFrame:
-    """Whitelist, target join, calendar, one-hot, lags, trend; then drop rows not for sale.
+    """Whitelist, target join, lags, trend, rows for sale, calendar, one-hot.
 
-    One shuffle joins the targets by id and one groups the series for the lags. The target
-    itself is left out, as only its lags may be features.
+    One shuffle joins the targets by id and one groups the series for the lags. The wide
+    one-hot columns come last, so they are never shuffled. The target itself is left out,
+    as only its lags may be features.
     """
     df = raw
     if whitelist is not None:
         df = df.join(whitelist, list(SKU_KEYS))
     df = df.join(targets.select("bdID", value_col), "bdID", "left")
     return (
-        df.transform(features.calendar_features, friday_is_weekend=friday_is_weekend)
-        .transform(features.one_hot, CALENDAR_COLUMNS, {"year": years} if years is not None else None)
-        .transform(features.lag_features, value_col, lags)
+        df.transform(features.lag_features, value_col, lags)
         .transform(features.trend_feature)
         .transform(filters.for_sale)
         .drop(value_col)
+        .transform(features.calendar_features, friday_is_weekend=friday_is_weekend)
+        .transform(features.one_hot, CALENDAR_COLUMNS, {"year": years} if years is not None else None)
     )
 
 

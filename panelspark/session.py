@@ -12,7 +12,8 @@ def start(app: str = "panelspark", master: str | None = None, **conf) -> SparkSe
     """A session with UTC days and adaptive execution; callers add cluster settings."""
     builder = SparkSession.builder.appName(app)
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false")
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
