@@ -108,15 +108,19 @@ def linear_quantile_fit_individual(spark, sf):
     FROM modeling m JOIN line USING (productID, storeID) WHERE m.split = 'test'""", "modeling",
     line="SELECT productID, storeID, regr_slope(target, target_lag_1) AS b1, "
          "regr_intercept(target, target_lag_1) AS b0 FROM modeling WHERE split = 'train' "
-         "GROUP BY productID, storeID HAVING regr_slope(target, target_lag_1) IS NOT NULL"))
+         "GROUP BY productID, storeID HAVING min(target_lag_1) < max(target_lag_1)"))
 def linear_quantile_predict(spark, sf):
-    """Predictions from given coefficients: here the least-squares line on the last value."""
+    """Predictions from given coefficients: here the least-squares line on the last value.
+
+    A line needs a last value that varies, so SKUs without one have no model.
+    """
     rows, keys = prepared(spark, sf), list(SKU_KEYS)
     line = (
         rows.where(F.col("split") == "train").groupBy(*keys)
         .agg(F.regr_slope("target", "target_lag_1").alias("b1"),
-             F.regr_intercept("target", "target_lag_1").alias("intercept"))
-        .where(F.col("b1").isNotNull())
+             F.regr_intercept("target", "target_lag_1").alias("intercept"),
+             F.min("target_lag_1").alias("low"), F.max("target_lag_1").alias("high"))
+        .where(F.col("low") < F.col("high"))
         .select(*keys, F.lit(0.5).alias("quantile_level"), "intercept", F.array("b1").alias("coefficients"))
     )
     scored = linear.predict(rows.where(F.col("split") == "test"), line, keys, ["target_lag_1"])

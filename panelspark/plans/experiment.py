@@ -87,6 +87,11 @@ class ExperimentResults:
         known = ("mse", "rmse", "mae", "mean_quantile_loss")
         return [c for c in known if c in self.results.columns]
 
+    @property
+    def release_metric(self) -> str:
+        """The mean quantile loss where there is one, else rmse."""
+        return "mean_quantile_loss" if "mean_quantile_loss" in self.metric_names else "rmse"
+
     def performance_summary(self) -> DataFrame:
         long = summaries.unpivot_metrics(self.results, ["model_type"], self.metric_names)
         return summaries.performance_summary(long)
@@ -112,7 +117,7 @@ class ExperimentResults:
         if self.strategy is Strategy.COMBINED:
             named = named.withColumn("sku_key", combined_label(self.skus))
         return release.write_release(
-            named, self.skus, self.models(), path, self.experiment_name, self.config.hyperparameters, self.metric_names[-1])
+            named, self.skus, self.models(), path, self.experiment_name, self.config.hyperparameters, self.release_metric)
 
 
 def combined_label(skus: DataFrame):
