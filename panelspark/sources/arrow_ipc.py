@@ -7,6 +7,7 @@ and each task holds one batch. Writing puts one file per task into a folder.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 FORMAT = "arrow_ipc"
 SUFFIXES = (".arrow", ".feather")
+FOOTER_READERS = 16
 
 
 def _resolve(path: str):
@@ -55,19 +57,27 @@ class ArrowReader(DataSourceReader):
         self.path, self.names = path, schema.fieldNames()
 
     def partitions(self):
+        """One partition per record batch. Footers are read many at a time."""
         fs, _ = _resolve(self.path)
-        plan = []
-        for file in _files(self.path):
-            with fs.open_input_file(file) as handle:  # reads the footer only
-                plan += [Batch(file, i) for i in range(pa.ipc.open_file(handle).num_record_batches)]
+
+        def batches(file):
+            with fs.open_input_file(file) as handle:
+                return [Batch(file, i) for i in range(pa.ipc.open_file(handle).num_record_batches)]
+
+        with ThreadPoolExecutor(max_workers=FOOTER_READERS) as pool:
+            plan = [b for found in pool.map(batches, _files(self.path)) for b in found]
         return plan or [Batch("", -1)]
 
     def read(self, partition):
+        """Decode only the columns of the schema asked for."""
         if partition.index < 0:
             return
         fs, _ = _resolve(self.path)
         with fs.open_input_file(partition.file) as handle:
-            yield pa.ipc.open_file(handle).get_batch(partition.index).select(self.names)
+            have = pa.ipc.open_file(handle).schema.names
+        options = pa.ipc.IpcReadOptions(included_fields=sorted(have.index(n) for n in self.names))
+        with fs.open_input_file(partition.file) as handle:
+            yield pa.ipc.open_file(handle, options=options).get_batch(partition.index).select(self.names)
 
 
 class ArrowWriter(DataSourceArrowWriter):
@@ -126,9 +136,11 @@ class ArrowIpcSource(DataSource):
         return ArrowWriter(self.options["path"])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """All columns, or those of the given schema."""
     spark.dataSource.register(ArrowIpcSource)
-    return spark.read.format(FORMAT).load(path)
+    reader = spark.read.format(FORMAT)
+    return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
 def write(df: DataFrame, path: str) -> None:

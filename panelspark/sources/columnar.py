@@ -10,7 +10,7 @@ from panelspark.sources import arrow_ipc
 
 def read_table(spark: SparkSession, path: str, file_format: str = "parquet", schema=None) -> DataFrame:
     if file_format == "arrow":
-        return arrow_ipc.read(spark, path)
+        return arrow_ipc.read(spark, path, schema)
     reader = spark.read.format(file_format)
     if schema is not None:
         reader = reader.schema(schema)

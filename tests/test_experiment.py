@@ -138,6 +138,7 @@ def test_arrow_file_has_one_partition_per_batch(spark, tmp_path):
     df = arrow_ipc.read(spark, path)
     assert df.rdd.getNumPartitions() == 2
     assert sorted(tuple(r) for r in df.collect()) == [(1, "1"), (2, "2"), (3, "3")]
+    assert sorted(r["b"] for r in arrow_ipc.read(spark, path, "b string").collect()) == ["1", "2", "3"]
 
 
 def test_arrow_round_trip(spark, panel, tmp_path):
