@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import packing, token_files
+from panelspark.llm import packing, simhash, token_files
 from panelspark.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -49,3 +49,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write(table(spark, sf_dir, "documents"), folder, TOKENIZER)
     keys = spark.read.parquet(f"{folder}/documents")
     return token_files.read_keys(keys, folder, TOKENIZER).drop("nth")
+
+
+@query()
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(table(spark, sf_dir, "documents")).drop("text_hash")
