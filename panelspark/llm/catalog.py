@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import packing, quality, secrets, simhash, token_files
+from panelspark.llm import packing, quality, secrets, simhash, token_files, url_filter
 from panelspark.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,44 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+# Fixed rules (host, path, verdict) and the hosts whose crawled pages make up the list of URLs.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+LISTED_HOSTS = r"(^|\.)(spam-farm|adult-x)\."
+
+_CANONICAL = r"""CASE WHEN host = '' THEN '' ELSE regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+\z', '')
+  || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END"""
+
+
+@query(rf"""
+WITH parsed AS (
+  SELECT page_id, coalesce(url, '') AS u, instr(coalesce(url, ''), '://') AS mark FROM pages),
+cut AS (
+  SELECT page_id, u, CASE WHEN mark > 0 THEN substr(u, mark + 3) ELSE '' END AS rest FROM parsed),
+split AS (
+  SELECT page_id, u, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path,
+         list_sort([p FOR p IN string_split(regexp_extract(u, '(?s)^[^?#]*\?([^#]*)', 1), '&')
+           IF p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|fbclid|gclid|ref)(=|\z)')]) AS kept
+  FROM cut),
+canon AS (SELECT page_id, host, path, {_CANONICAL} AS canonical FROM split),
+list AS (SELECT DISTINCT canonical FROM canon WHERE canonical <> '' AND regexp_matches(host, '(^|\.)(spam-farm|adult-x)\.')),
+ruled AS (
+  SELECT page_id, host, path, canonical IN (SELECT canonical FROM list) AS listed,
+    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM canon)
+SELECT page_id, host, path, rule, listed,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled""")
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(url_filter.host_and_path(F.col("url"))[0].rlike(LISTED_HOSTS)).select("url")
+    return url_filter.judge(pages, listed, URL_RULES)
+
+
 @query()
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
