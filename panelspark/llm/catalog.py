@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import packing, quality, secrets, simhash, token_files, url_filter
+from panelspark.llm import html_text, packing, quality, secrets, sentence_spans, simhash, token_files, url_filter
 from panelspark.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -99,6 +99,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_keys(keys, folder, TOKENIZER).drop("nth")
 
 
+@query()
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query()
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
