@@ -88,7 +88,7 @@ def _cutter(path: str, capacity: int, end_id: int, keep_ids: bool, id_type: pa.D
     def cut(batches):
         from pyspark import TaskContext
 
-        encoder = WordEncoder(path)
+        encoder = WordEncoder.of_worker(path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     counts = materialize(counts.select("length", "part", "n", before.alias("before")), "piece_counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(places(pack_histogram(histogram, capacity), capacity))
-    ranked = pieces.join(counts.drop("n"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("rank_in_part"))
+    ranked = pieces.join(counts.drop("n").hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("rank_in_part"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + (["ids"] if keep_ids else [])
     out = T.StructType([f for n in names for f in fields if f.name == n] + [
         T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", "padded_length")])

@@ -108,7 +108,7 @@ def _shard_writer(tokenizer: str, folder: str, end_id: int, id_type: pa.DataType
     def write(batches):
         from pyspark import TaskContext
 
-        encoder = WordEncoder(tokenizer)
+        encoder = WordEncoder.of_worker(tokenizer)
         width = "<u2" if encoder.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         shard = TaskContext.get().partitionId()
         name = f"{shard:06d}-{uuid.uuid4().hex}.ids"

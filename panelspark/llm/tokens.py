@@ -17,12 +17,11 @@ _LONG_WORD = 64
 class WordEncoder:
     """Encodes texts word by word and remembers the ids of words, at most ``cache_words`` of them.
 
-    For tokenizers that drop white space: no token spans it, so the ids of a text are those of
-    its words in order. Invented prose repeats its words, so most are looked up. When the
-    memory is full it starts anew.
+    For tokenizers that drop white space and lower the case: no token spans white space, so the ids of a
+    text are those of its words in order. Most words are looked up. When the memory is full it starts anew.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -30,8 +29,17 @@ class WordEncoder:
         self.cache_words = cache_words
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
+    @classmethod
+    def of_worker(cls, path: str) -> WordEncoder:
+        """One encoder per Python worker, kept from task to task."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_word_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), _WORDS_PER_CALL):
             part = words[i:i + _WORDS_PER_CALL]
             coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -40,9 +48,8 @@ class WordEncoder:
             ends = (4 * np.searchsorted(owner, np.arange(1, len(part) + 1))).tolist()
             begin = 0
             for word, end in zip(part, ends):
-                out[word] = raw[begin:end]
+                self.known[word] = raw[begin:end]
                 begin = end
-        return out
 
     def _whole(self, text: str) -> bytes:
         coded = self.tokenizer.encode(text, add_special_tokens=False)
@@ -50,21 +57,32 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null as empty."""
-        words = [() if not t or _SEPARATORS.search(t) else t.split() for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > self.cache_words:
+        if len(self.known) > self.cache_words:
             self.known = {}
-            new = set().union(*words)
-        learnt = self._learn(sorted(new))
-        known = self.known
-        known.update(learnt)
-        out = [b"".join(map(known.__getitem__, w)) for w in words]
-        for word in learnt:
-            if len(word) > _LONG_WORD:
-                del known[word]
+        words, ends, whole = [], [], {}
         for i, text in enumerate(texts):
-            if text and not words[i] and _SEPARATORS.search(text):
-                out[i] = self._whole(text)
+            if text and _SEPARATORS.search(text):
+                whole[i] = self._whole(text)
+            elif text:
+                # Fewer words to learn; "<|" may begin a special token, whose case counts.
+                words += (text.lower() if text.isascii() and "<|" not in text else text).split()
+            ends.append(len(words))
+        found = list(map(self.known.get, words))
+        unknown = [i for i, ids in enumerate(found) if ids is None]
+        if unknown:
+            new = {words[i] for i in unknown}
+            self._learn(sorted(new))
+            for i in unknown:
+                found[i] = self.known[words[i]]
+            for word in new:
+                if len(word) > _LONG_WORD:
+                    del self.known[word]
+        out, begin = [], 0
+        for end in ends:
+            out.append(b"".join(found[begin:end]))
+            begin = end
+        for i, raw in whole.items():
+            out[i] = raw
         return out
 
 
