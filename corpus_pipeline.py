@@ -4,12 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import catalog, packing
+from panelspark.llm import catalog, decontaminate, packing, quality, secrets, simhash
 from panelspark.session import scratch_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the cutoffs chosen on labelled ones."""
+    judged = quality.judge(docs, catalog.table(spark, sf_dir, "labels"), keep_columns=True)
+    return judged.where("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints, that of the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.drop_contaminated(docs, catalog.table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by their kind; n_chars follows the text."""
+    length = F.length("text").cast("long")
+    return secrets.redact(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), length))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,18 +38,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scans", secret_scans),
     ("packing", pack),
 ]
 
-# Token ids have no SQL.
+# Fingerprints, alignments and token ids have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = catalog.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
+        path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import decontaminate, html_text, packing, quality, secrets, sentence_spans, simhash, token_files, url_filter
+from panelspark.llm import decontaminate, html_text, language, packing, quality, secrets, sentence_spans, simhash, token_files, url_filter
 from panelspark.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query()
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.predict(docs, model)
+    return found.withColumn("held_out", language.held_out(F.col("doc_id")))
+
+
 # Fixed rules (host, path, verdict) and the hosts whose crawled pages make up the list of URLs.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 LISTED_HOSTS = r"(^|\.)(spam-farm|adult-x)\."
