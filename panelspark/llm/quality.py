@@ -165,10 +165,10 @@ def learn(measured: DataFrame, labels: DataFrame, *, id_col: str, false_rejectio
     passed = measured.where(~base_failed(F.col("m"))).select(F.col(id_col).alias("doc_id"), "stratum", "m")
     met = lambda r: F.filter(F.array(*map(F.lit, RULES[r][2])), lambda c: c <= _share(F.col("m"), r))
     shares = F.array(*[F.struct(F.lit(r).alias("rule"), F.size(met(r)).alias("met")) for r in RULES])
-    levels = passed.join(truth, "doc_id").select("stratum", "good", F.explode(shares).alias("s")).groupBy(
+    levels = Stored(passed.join(truth, "doc_id").select("stratum", "good", F.explode(shares).alias("s")).groupBy(
         "stratum", "s.rule", "s.met").agg(
         F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good"),
-        F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad"))
+        F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad")), "levels").df
     # A document that meets the last j cutoffs of the list is at or above each of them.
     size = {r: len(RULES[r][2]) for r in RULES}
     cutoffs = F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*[F.array(*map(F.lit, RULES[r][2])) for r in RULES]))
@@ -182,10 +182,9 @@ def learn(measured: DataFrame, labels: DataFrame, *, id_col: str, false_rejectio
                                 lambda a, x: a + x[c])
     tests = tests.select("stratum", "rule", "n", "step", "cutoff", hit("good").alias("k"), hit("bad").alias("caught"))
     rate = false_rejections / len(RULES)
-    strata = tests.select("stratum").distinct().agg(F.count("*").alias("strata"))
+    strata = max(1, levels.select("stratum").distinct().count())
     chance = F.when(F.col("k") < F.col("n") * rate, log_binomial_tail(F.col("k"), F.col("n"), rate)).otherwise(0.0)
-    level = math.log(error_rate / len(RULES)) - F.log(F.col("strata"))
-    tests = tests.join(F.broadcast(strata)).withColumn("safe", chance <= level)
+    tests = tests.withColumn("safe", chance <= math.log(error_rate / len(RULES) / strata))
     so_far = W.partitionBy("stratum", "rule").orderBy("step")
     gain = F.col("caught") - GOOD_WEIGHT * F.col("k")
     safe = tests.withColumn("safe", F.min("safe").over(so_far)).where(F.col("safe") & (gain > 0))
