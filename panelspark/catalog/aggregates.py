@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.catalog.base import (
     ALPHAS, SPLIT_DATE, challenger_and_baseline, experiment_results, individual_results, lagged, modeling,
-    panel, query, rounded, with_ctes,
+    panel, query, rounded, with_ctes, prepared,
 )
 from panelspark.catalog.joins import _HISTORY
 from panelspark.config import SKU_KEYS
@@ -87,14 +87,14 @@ def dataset_stats(spark, sf):
     stats=f"SELECT productID, storeID, {_STATS} FROM modeling WHERE split = 'train' GROUP BY productID, storeID"))
 def scaler_fit_apply(spark, sf):
     df, keys = modeling(spark, sf), list(SKU_KEYS)
-    scaled = scaling.apply(df, scaling.fit(df, list(_SCALED), keys), list(_SCALED), keys)
+    scaled = scaling.fit_apply(df, list(_SCALED), keys)
     return rounded(scaled.select("bdID", "split", *_SCALED), six=_SCALED)
 
 
 @query(with_ctes(f"SELECT bdID, split, {_APPLY} FROM modeling, stats", "modeling",
                  stats=f"SELECT {_STATS} FROM modeling WHERE split = 'train'"))
 def scaler_fit_apply_combined(spark, sf):
-    df = modeling(spark, sf)
+    df = prepared(spark, sf)
     scaled = scaling.apply(df, scaling.fit(df, list(_SCALED), []), list(_SCALED), [])
     return rounded(scaled.select("bdID", "split", *_SCALED), six=_SCALED)
 

@@ -67,6 +67,11 @@ def modeling(spark: SparkSession, sf: str) -> DataFrame:
     return splits.by_date(filters.drop_nulls(lagged(spark, sf)), SPLIT_DATE)
 
 
+def written_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel written once, for plans that read it several times: one scan of the sales."""
+    return materialize(panel(spark, sf), "panel")
+
+
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
     """The modeling frame written once, for plans that read it several times."""
     return materialize(modeling(spark, sf), "prepared")

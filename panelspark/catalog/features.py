@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.catalog.base import panel, query, with_ctes
+from panelspark.catalog.base import panel, query, with_ctes, written_panel
 from panelspark.operators import features
 from panelspark.plans import prepare
 from panelspark.session import materialize
 from panelspark.sources import retail
 
-YEARS = range(1995, 2002)  # the years the sales tables cover
+YEARS = range(1995, 2002)  # the years that the SQL below names; Spark reads them from the sales
 
 _CALENDAR = """
     CAST(month(date) AS INTEGER) AS month, CAST(isodow(date) AS INTEGER) AS day_of_week,
@@ -30,6 +30,12 @@ _LAGS = ", ".join(f"lag(target, {k}) OVER w AS target_lag_{k}" for k in range(1,
 _WINDOW = "WINDOW w AS (PARTITION BY skuID, frequency ORDER BY date)"
 
 
+def years(spark, sf) -> list[int]:
+    """The years of the sales, from one column of them."""
+    sold = retail.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year")).distinct()
+    return sorted(r["year"] for r in sold.collect() if r["year"] is not None)
+
+
 @query(with_ctes(f"SELECT bdID, date, {_CAL} FROM panel", "panel"))
 def calendar_features(spark, sf):
     return features.calendar_features(panel(spark, sf).select("bdID", "date"))
@@ -51,7 +57,7 @@ def event_flags(spark, sf):
 @query(with_ctes(f"SELECT bdID, date, {_ONE_HOT} FROM cal", "panel", cal=f"SELECT bdID, date, {_CAL} FROM panel"))
 def one_hot(spark, sf):
     df = features.calendar_features(panel(spark, sf).select("bdID", "date"))
-    return features.one_hot(df, ONE_HOT_COLUMNS, {"year": YEARS})
+    return features.one_hot(df, ONE_HOT_COLUMNS, {"year": years(spark, sf)})
 
 
 @query(with_ctes(f"SELECT bdID, date, target, {_LAGS} FROM panel {_WINDOW}", "panel"))
@@ -71,7 +77,7 @@ def lag_features_split(spark, sf):
     SELECT bdID, date, CAST(date_diff('day', (SELECT min(date) FROM panel), date) + 1 AS BIGINT) AS trend
     FROM panel""", "panel"))
 def trend_feature(spark, sf):
-    return features.trend_feature(panel(spark, sf).select("bdID", "date"))
+    return features.trend_feature(written_panel(spark, sf).select("bdID", "date"))
 
 
 @query(with_ctes("""
@@ -97,5 +103,5 @@ def prepare_features(spark, sf):
     df = materialize(panel(spark, sf), "panel")
     prepared = prepare.prepare_features(
         retail.feature_frame(df), df.select("bdID", "target"),
-        whitelist=retail.store_whitelist(spark, sf, df), years=YEARS)
+        whitelist=retail.store_whitelist(spark, sf, df), years=years(spark, sf))
     return prepared.drop("frequency", "not_for_sale", "name")

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from panelspark.catalog.base import (
     ALPHAS, SPLIT_DATE, challenger_and_baseline, experiment_results, individual_results, lagged, modeling,
-    panel, query, rounded, with_ctes,
+    panel, prepared, query, rounded, with_ctes, written_panel,
 )
 from panelspark.config import SKU_KEYS
 from panelspark.functions.compare import mean_shift_pct
 from panelspark.operators import compare, filters, sampling, splits, summaries
+from panelspark.session import materialize
 from panelspark.sources import retail
 
 _HISTORY = f"""
@@ -31,16 +32,16 @@ _WORST = """
     SELECT p.bdID, p.productID, p.storeID, p.date, w.name
     FROM panel p JOIN whitelist w USING (productID, storeID)""", "panel", "whitelist"))
 def join_unseen_inner(spark, sf):
-    df = panel(spark, sf)
-    listed = retail.store_whitelist(spark, sf, df)
-    return df.join(listed, list(SKU_KEYS)).select("bdID", *SKU_KEYS, "date", "name")
+    nation = retail.table(spark, sf, "nation").where(F.col("n_regionkey").isin(0, 1))
+    named = nation.select(F.col("n_nationkey").alias("storeID"), F.col("n_name").alias("name"))
+    return panel(spark, sf).join(named, "storeID").select("bdID", *SKU_KEYS, "date", "name")
 
 
 @query(with_ctes("""
     SELECT f.bdID, f.productID, f.storeID, f.date, f.disc, t.target
     FROM panel f LEFT JOIN (SELECT bdID, target FROM panel WHERE not_for_sale <> 1) t USING (bdID)""", "panel"))
 def join_target_left(spark, sf):
-    df = panel(spark, sf)
+    df = written_panel(spark, sf)
     known = filters.for_sale(df).select("bdID", "target")
     return retail.feature_frame(df).join(known, "bdID", "left").select(
         "bdID", *SKU_KEYS, "date", "disc", "target")
@@ -50,7 +51,7 @@ def join_target_left(spark, sf):
     SELECT t.bdID, t.date, t.target, f.skuID
     FROM panel t JOIN (SELECT bdID, skuID FROM panel WHERE not_for_sale <> 1) f USING (bdID)""", "panel"))
 def join_target_keys(spark, sf):
-    df = panel(spark, sf)
+    df = written_panel(spark, sf)
     chosen = filters.for_sale(df).select("bdID", "skuID")
     return retail.target_frame(df).join(chosen, "bdID").select("bdID", "date", "target", "skuID")
 
@@ -59,8 +60,8 @@ def join_target_keys(spark, sf):
     SELECT bdID, date, target FROM panel
     WHERE bdID IN (SELECT bdID FROM panel WHERE date >= DATE '2000-01-01' AND not_for_sale <> 1)""", "panel"))
 def semi_bdid(spark, sf):
-    df = panel(spark, sf)
-    ids = filters.for_sale(retail.demand_panel(spark, sf, min_date=SPLIT_DATE)).select("bdID")
+    df = written_panel(spark, sf)
+    ids = filters.for_sale(filters.date_range(df, SPLIT_DATE)).select("bdID")
     return retail.target_frame(df).join(ids, "bdID", "left_semi")
 
 
@@ -70,9 +71,10 @@ def semi_bdid(spark, sf):
                      HAVING min(date) >= DATE '1995-02-01') x
       WHERE x.productID = p.productID AND x.storeID = p.storeID)""", "panel"))
 def anti_excluded_skus(spark, sf):
-    df = panel(spark, sf)
+    first = panel(spark, sf).groupBy(*SKU_KEYS).agg(F.min("date").alias("first"))
+    df = materialize(first, "first_days")
     late = (
-        df.groupBy(*SKU_KEYS).agg(F.min("date").alias("first"))
+        df.groupBy(*SKU_KEYS).agg(F.min("first").alias("first"))
         .where(F.col("first") >= F.lit("1995-02-01").cast("date"))
     )
     return sampling.distinct_skus(df).join(late, list(SKU_KEYS), "left_anti")
@@ -136,8 +138,9 @@ def join_baseline(spark, sf):
              count(*) FILTER (WHERE split = 'test') AS n_test FROM modeling GROUP BY ALL) d
     USING (productID, storeID)""", "individual_results"))
 def join_result_dataset(spark, sf):
-    datasets = modeling(spark, sf).groupBy(*SKU_KEYS).agg(
+    rows = prepared(spark, sf)
+    datasets = rows.groupBy(*SKU_KEYS).agg(
         F.count_if(F.col("split") == "train").alias("n_train"),
         F.count_if(F.col("split") == "test").alias("n_test"))
-    joined = individual_results(spark, sf).join(datasets, list(SKU_KEYS))
+    joined = individual_results(spark, sf, rows).join(datasets, list(SKU_KEYS))
     return rounded(joined.drop("hp_type", "model_type"), "mean_quantile_loss")

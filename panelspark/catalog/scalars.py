@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.catalog.base import (
     ALPHAS, challenger_and_baseline, experiment_results, individual_results, lagged, modeling, panel,
-    predictions, query, rounded, with_ctes,
+    predictions, query, rounded, with_ctes, prepared,
 )
 from panelspark.catalog.aggregates import _CELL, _REL
 from panelspark.catalog.joins import _HISTORY
@@ -42,9 +42,10 @@ def string_format(spark, sf):
     FROM (SELECT count(*) AS n FROM (SELECT DISTINCT productID, storeID FROM modeling) s), levels""",
     "individual_results", "levels"))
 def model_id(spark, sf):
-    own = individual_results(spark, sf).withColumns({"n_skus": F.lit(1).cast("bigint"), "strategy": F.lit("individual")})
+    rows = prepared(spark, sf)
+    own = individual_results(spark, sf, rows).withColumns({"n_skus": F.lit(1).cast("bigint"), "strategy": F.lit("individual")})
     levels = F.array(*[F.lit(a) for a in ALPHAS])
-    both = modeling(spark, sf).select(*SKU_KEYS).distinct().agg(F.count("*").alias("n_skus")).select(
+    both = rows.select(*SKU_KEYS).distinct().agg(F.count("*").alias("n_skus")).select(
         F.lit(None).cast("int").alias("productID"), F.lit(None).cast("int").alias("storeID"),
         F.lit("empirical_quantile").alias("model_type"), F.lit("combined").alias("strategy"),
         "n_skus", F.explode(levels).alias("quantile_level"))

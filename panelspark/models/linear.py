@@ -16,20 +16,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelspark.config import SKU_KEYS, check_alphas
 from panelspark.operators import scaling
+from panelspark.operators.quantiles import spread_quantiles
 from panelspark.session import materialize, spread_by_key
 
 # The most rounds, and the smallest residual a weight is made from.
 MAX_ITER, MIN_RESIDUAL = 5_000, 1e-6
 # Rounds stop when the loss changes by less than this share.
-P_TOL = 1e-7
+P_TOL = 1e-6
 # They also stop after this many rounds without a better loss.
 PATIENCE = 5
 # Residuals below a floor share one weight. The floor shrinks each round, or else the first
 # rows hit exactly would hold the solution fast; rounds stop once it is below its last share
 # of the target's spread.
-FLOOR_SHRINK, LAST_FLOOR, WARM_FLOOR = 0.7, 1e-3, 0.02
+FLOOR_SHRINK, LAST_FLOOR = 0.6, 1e-3
 RIDGE = 1e-9
-SAMPLE_ROWS = 50_000
 MODEL_COLUMNS = "quantile_level double, intercept double, coefficients array<double>, n_rows bigint, n_iter int, fallback boolean"
 
 
@@ -37,7 +37,9 @@ def _sums(x, y, beta, alpha, floor):
     """Weighted normal equations and the pinball loss of some rows at given coefficients."""
     r = y - x @ beta
     loss = np.where(r >= 0, alpha * r, (alpha - 1) * r).sum()
-    w = np.where(r >= 0, alpha, 1 - alpha) / np.maximum(np.abs(r), floor)
+    w = np.where(r >= 0, alpha, 1 - alpha)
+    if np.isfinite(floor):
+        w = w / np.maximum(np.abs(r), floor)
     xw = x * w[:, None]
     return xw.T @ x, xw.T @ y, loss
 
@@ -105,7 +107,7 @@ def _fit_series(x, y, alpha, max_iter, p_tol):
 
 
 def fit(train: DataFrame, keys: list[str], alphas, features: list[str], target: str = "target",
-        max_iter: int = MAX_ITER, p_tol: float = P_TOL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+        max_iter: int = MAX_ITER, p_tol: float = P_TOL) -> DataFrame:
     """One row per model key and level: intercept, coefficients and how the fit went.
 
     Features are standardised on the train rows for the fit; the coefficients are given for
@@ -113,7 +115,7 @@ def fit(train: DataFrame, keys: list[str], alphas, features: list[str], target:
     """
     alphas = check_alphas(alphas)
     if not keys:
-        return _fit_all(train, alphas, features, target, max_iter, p_tol, sample_rows)
+        return _fit_all(train, alphas, features, target, max_iter, p_tol)
     if not (set(SKU_KEYS) <= set(keys) or "skuID" in keys):
         raise ValueError("linear models are fitted for all rows or per SKU")
 
@@ -133,41 +135,41 @@ def fit(train: DataFrame, keys: list[str], alphas, features: list[str], target:
     return rows.groupBy(*keys).applyInPandas(solve, schema)
 
 
-def _fit_all(train, alphas, features, target, max_iter, p_tol, sample_rows):
-    """Rounds over one written table; the driver holds only the coefficients."""
+def _fit_all(train, alphas, features, target, max_iter, p_tol):
+    """Rounds over one written table, the same for any number of rows.
+
+    The first pass sums the plain normal equations; least squares starts every level. The driver holds the
+    coefficients and one small matrix per level and round, never a row. The table is kept in the
+    executors' memory between rounds; what does not fit, or is lost, is read again.
+    """
     spark = train.sparkSession
     train = train.select(*features, target).withColumn("split", F.lit("train"))
     stats = scaling.fit(train, features, [])
     scales = stats.first()
     mean, spread = (np.array([scales[f"{c}_{part}"] for c in features]) for part in ("mean", "std"))
-    rows = materialize(scaling.apply(train, stats, features, []).drop("split"), "design")
-    n = rows.count()
-    if not n:
+    rows = materialize(scaling.apply(train, stats, features, []).drop("split"), "design").persist()
+    totals = rows.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("spread")).first()
+    if not totals["n"]:
         raise ValueError("no train rows")
-    states = _first_guess(rows, n, alphas, features, target, max_iter, p_tol, sample_rows)
+    if totals["n"] <= len(features) + 1 or not totals["spread"]:
+        values = spread_quantiles(rows, [], target, alphas).first()["quantiles"]
+        fitted = [(a, v, [0.0] * len(features), totals["n"], 0, True) for a, v in zip(alphas, values)]
+        return spark.createDataFrame(fitted, MODEL_COLUMNS)
+    # A floor above all residuals weighs the rows of either side alike: 0.5 makes that least squares.
+    zero = _Fit(0.5, np.zeros(len(features) + 1), np.inf, np.inf)
+    gram, moment, _ = _gather(rows, [zero], features, target)[0.5]
+    start = _solve(gram, moment)
+    states = [_Fit(a, start, totals["spread"], LAST_FLOOR * totals["spread"]) for a in alphas]
     while any(s.open for s in states):
         active = [s for s in states if s.open]
         sums = _gather(rows, active, features, target)
         for s in active:
             s.step(*sums[s.alpha], max_iter, p_tol)
-    fitted = [(s.alpha, *_unscale(s.best, mean, spread), n, s.rounds, False) for s in states]
+    rows.unpersist()
+    fitted = [(s.alpha, *_unscale(s.best, mean, spread), totals["n"], s.rounds, False) for s in states]
     return spark.createDataFrame(fitted, MODEL_COLUMNS)
 
 
-def _first_guess(rows, n, alphas, features, target, max_iter, p_tol, sample_rows):
-    """Start every level from a sample of bounded size, solved in one place.
-
-    It only saves rounds: from here the rounds go over all rows until their loss settles.
-    """
-    sample = rows if n <= sample_rows else rows.sample(sample_rows / n, seed=42).limit(2 * sample_rows)
-    pdf = sample.toPandas()
-    x, y = _design(pdf, features), pdf[target].to_numpy(float)
-    return [
-        _Fit(a, _fit_series(x, y, a, max_iter, p_tol)[0], WARM_FLOOR * y.std(), LAST_FLOOR * y.std())
-        for a in alphas
-    ]
-
-
 def _gather(rows, states, features, target):
     """Sum the tasks' matrices per level; a few hundred numbers reach the driver."""
     betas = [(s.alpha, s.beta, s.floor) for s in states]

@@ -21,6 +21,7 @@ class Setup:
     features: list[str]
     target: str
     params: dict
+    id_col: str = "bdID"
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ register("empirical_quantile", ModelType(
 
 
 def _linear_fit(train, s):
-    options = {k: s.params[k] for k in ("max_iter", "p_tol", "sample_rows") if k in s.params}
+    options = {k: s.params[k] for k in ("max_iter", "p_tol") if k in s.params}
     return linear.fit(train, s.keys, s.alphas, s.features, s.target, **options)
 
 
@@ -102,7 +103,7 @@ def _gbt_fit(train, s):
 def _gbt_both(rows, s):
     if not s.keys:
         return None
-    return trees.fit_predict_series(rows, s.keys, s.alphas, s.features, s.target, s.params)
+    return trees.fit_predict_series(rows, s.keys, s.alphas, s.features, s.target, s.params, s.id_col)
 
 
 register("gbt_regress", ModelType(
@@ -126,5 +127,5 @@ def _gbt_quantile_predict(rows, fitted, s):
 
 register("gbt_quantile", ModelType(
     fit=_gbt_quantile_fit, predict=_gbt_quantile_predict, fit_predict=_gbt_both,
-    requires_quantile=True, search_space=trees.SEARCH_SPACE,
+    requires_quantile=True, search_space=trees.QUANTILE_SEARCH_SPACE,
     description="boosted trees, pinball loss"))

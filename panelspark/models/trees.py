@@ -29,9 +29,26 @@ SEARCH_SPACE = (
     ("n_estimators", 50, 300, True),
 )
 
+# The pinball fit draws rows, not columns.
+QUANTILE_SEARCH_SPACE = tuple(x for x in SEARCH_SPACE if x[0] != "colsample_bytree")
+
 ROUNDS_PER_CUT = 5
 BINS = 64
 
+# One default for each parameter, whichever tree model it goes to.
+DEFAULTS = {"eta": 0.3, "max_depth": 6, "min_child_weight": 1, "gamma": 0.0, "subsample": 1.0, "colsample_bytree": 1.0}
+_ALSO = {"num_boost_round", "n_estimators", "max_bins", "seed", "random_state", "quantile_alphas"}
+
+
+def settings_of(params: dict, unsupported: tuple = ()) -> dict:
+    """Parameters with defaults filled in. Unknown names, and values that a fit would not heed, are errors."""
+    unknown = sorted(set(params) - set(DEFAULTS) - _ALSO)
+    found = {**DEFAULTS, **params}
+    unheeded = [name for name in unsupported if float(found[name]) != DEFAULTS[name]]
+    if unknown or unheeded:
+        raise ValueError(f"tree parameters that would have no effect: {unknown + unheeded}")
+    return found
+
 
 def rounds_of(params: dict) -> int:
     """Boosting rounds, which have no default."""
@@ -46,6 +63,7 @@ def _tree_settings(params: dict) -> dict:
         "max_depth": "maxDepth", "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain",
         "subsample": "subsamplingRate", "max_bins": "maxBins",
     }
+    # gamma is the least gain per row of a node, in tasks as in Spark.
     settings = {ml: params[own] for own, ml in names.items() if own in params}
     settings["seed"] = int(params.get("seed", params.get("random_state", 42)))
     return settings
@@ -57,12 +75,13 @@ def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 def fit_regression(train: DataFrame, features: list[str], target: str, params: dict):
     """Squared-loss boosting over all rows."""
+    params = settings_of(params)
     settings = _tree_settings(params)
-    if "colsample_bytree" in params:
+    if float(params["colsample_bytree"]) < 1:
         settings["featureSubsetStrategy"] = str(float(params["colsample_bytree"]))
     gbt = GBTRegressor(
         featuresCol="_x", labelCol=target, predictionCol="prediction",
-        maxIter=rounds_of(params), stepSize=float(params.get("eta", 0.1)),
+        maxIter=rounds_of(params), stepSize=float(params["eta"]),
         checkpointInterval=10, **settings)
     return gbt.fit(_assemble(train, features))
 
@@ -98,7 +117,8 @@ def fit_quantile(train: DataFrame, alpha: float, features: list[str], target: st
     executor cost only those rounds.
     """
     alpha = check_alphas([alpha])[0]
-    eta = float(params.get("eta", 0.3))
+    params = settings_of(params, ("colsample_bytree",))
+    eta = float(params["eta"])
     settings = _tree_settings(params)
     start = spread_quantiles(train, [], target, [alpha]).first()["quantiles"][0]
     rows = _assemble(train, features).select("_x", F.col(target).cast("double").alias("_y"))
@@ -110,7 +130,7 @@ def fit_quantile(train: DataFrame, alpha: float, features: list[str], target: st
             featuresCol="_x", labelCol="_g", predictionCol="_step", leafCol="_leaf",
             **{k: v for k, v in settings.items() if k != "subsamplingRate"})
         sample = rows.withColumn("_g", gradient)
-        if float(params.get("subsample", 1.0)) < 1.0:
+        if float(params["subsample"]) < 1.0:
             sample = sample.sample(float(params["subsample"]), settings["seed"] + i)
         tree = learner.fit(sample)
         residuals = tree.transform(rows).select("_leaf", (F.col("_y") - F.col("_f")).alias("_r"))
@@ -156,6 +176,7 @@ def _grow(bins, g, bins_new, depth, min_rows, min_gain):
         rest, rest_total = count[..., -1:] - count, total[..., -1:] - total
         gain = total ** 2 / np.maximum(count, 1) + rest_total ** 2 / np.maximum(rest, 1)
         gain = gain - total[..., -1:] ** 2 / np.maximum(count[..., -1:], 1)
+        gain = gain / np.maximum(count[..., -1:], 1)
         gain = np.where((count >= min_rows) & (rest >= min_rows), gain, -np.inf).reshape(shape[0], -1)
         best = gain.argmax(1)
         useful = gain[np.arange(shape[0]), best] > max(min_gain, 1e-12)
@@ -181,7 +202,7 @@ def _boost_series(bins, y, bins_new, alpha, rounds, eta, depth, min_rows, min_ga
 
 
 def fit_predict_series(df: DataFrame, keys: list[str], alphas, features: list[str], target: str,
-                       params: dict) -> DataFrame:
+                       params: dict, id_col: str = "bdID") -> DataFrame:
     """Boost every series on its train rows and predict its test rows, all in one shuffle.
 
     A task holds one daily series at a time, at most one row per day. The result has the
@@ -189,9 +210,10 @@ def fit_predict_series(df: DataFrame, keys: list[str], alphas, features: list[st
     """
     levels = check_alphas(alphas) if alphas else [None]
     rounds = rounds_of(params)
-    eta, depth = float(params.get("eta", 0.3)), int(params.get("max_depth", 6))
-    min_rows, min_gain = int(params.get("min_child_weight", 1)), float(params.get("gamma", 0.0))
-    kept = [*keys, "bdID", target]
+    params = settings_of(params, ("subsample", "colsample_bytree"))
+    eta, depth = float(params["eta"]), int(params["max_depth"])
+    min_rows, min_gain = int(params["min_child_weight"]), float(params["gamma"])
+    kept = [*keys, id_col, target]
 
     def boost(pdf):
         train, test = pdf[pdf["split"] == "train"], pdf[pdf["split"] == "test"]

@@ -24,6 +24,7 @@ def differences(joined: DataFrame, value="mean_quantile_loss") -> DataFrame:
 def dataset_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows only one side has, counted as often as they are in excess, tagged by side."""
     cols = left.columns
-    only_left = left.exceptAll(right.select(*cols)).withColumn("side", F.lit("left"))
-    only_right = right.select(*cols).exceptAll(left).withColumn("side", F.lit("right"))
-    return only_left.unionByName(only_right)
+    tagged = left.withColumn("_n", F.lit(1)).unionByName(right.select(*cols).withColumn("_n", F.lit(-1)))
+    excess = tagged.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
+    side = F.when(F.col("_n") > 0, "left").otherwise("right")
+    return excess.select(*[F.col(f"`{c}`") for c in cols], side.alias("side"), F.explode(F.sequence(F.lit(1), F.abs("_n"))).alias("_k")).drop("_k")

@@ -16,8 +16,6 @@ CALENDAR_DOMAINS = {
     "is_weekend": (True, False),
 }
 
-MAX_ONE_HOT_VALUES = 1_000
-
 
 def calendar_features(df: DataFrame, date_col: str = "date", friday_is_weekend: bool = False) -> DataFrame:
     day = F.col(date_col).cast("date")
@@ -28,20 +26,21 @@ def event_flags(df: DataFrame, date_col: str = "date") -> DataFrame:
     return df.withColumns(calendar.event_columns(F.col(date_col)))
 
 
-def one_hot(df: DataFrame, columns, domains: dict | None = None) -> DataFrame:
+def one_hot(df: DataFrame, columns, domains: dict | None = None, max_values: int | None = None) -> DataFrame:
     """Replace each column by 0/1 columns ``{column}_{value}``.
 
     Calendar columns have a fixed domain. Another column needs ``domains[column]``
-    or has its distinct values read, up to ``MAX_ONE_HOT_VALUES``.
+    or has its distinct values read: one column of the schema each, so ``max_values`` may
+    name the most that a caller wants; more are an error. A value outside a given domain has no column.
     """
     known = {**CALENDAR_DOMAINS, **(domains or {})}
     flags = []
     for name in columns:
         values = known.get(name)
         if values is None:
-            rows = df.select(name).distinct().limit(MAX_ONE_HOT_VALUES + 1).collect()
-            if len(rows) > MAX_ONE_HOT_VALUES:
-                raise ValueError(f"{name} has more than {MAX_ONE_HOT_VALUES} values; give its domain")
+            rows = df.select(name).distinct().collect()
+            if max_values is not None and len(rows) > max_values:
+                raise ValueError(f"{name} has {len(rows)} values, more than the {max_values} allowed; give its domain")
             values = sorted(r[0] for r in rows if r[0] is not None)
         for value in values:
             label = str(value).lower() if isinstance(value, bool) else value

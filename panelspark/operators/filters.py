@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.config import METADATA_COLUMNS, SKU_KEYS
 
-# A SKU list typed by the user is shipped to every task up to this many pairs
-# (two ints each, a few MB); beyond it Spark picks the join by size.
-MAX_BROADCAST_SKUS = 200_000
-
 
 def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in METADATA_COLUMNS]
@@ -26,9 +22,8 @@ def one_sku(df: DataFrame, product: int, store: int) -> DataFrame:
 
 
 def sku_frame(spark, skus) -> DataFrame:
-    """SKU pairs as a frame; short lists carry a broadcast hint."""
-    pairs = spark.createDataFrame(list(skus), "productID int, storeID int").distinct()
-    return F.broadcast(pairs) if len(skus) <= MAX_BROADCAST_SKUS else pairs
+    """SKU pairs as a frame; Spark picks the join by its size."""
+    return spark.createDataFrame(list(skus), "productID int, storeID int").distinct()
 
 
 def sku_tuples(df: DataFrame, skus, mode: str = "exact") -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelspark.config import check_alphas
+from panelspark.session import materialize
 
 BUCKETS = 4096
+# A bucket with more distinct values than this is cut again.
+BUCKET_LIMIT = 100_000
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, alphas) -> DataFrame:
@@ -35,9 +38,10 @@ def counted_quantiles(counts: DataFrame, keys: list[str], value: str, count: str
                       buckets: int = BUCKETS) -> DataFrame:
     """Quantiles of values given with their frequencies.
 
-    A group's value range is cut into equal buckets; bucket totals tell which buckets
-    hold the wanted ranks, and only those are ordered. Bucket borders come from exact
-    minima and maxima, so a recomputed task sees the same borders.
+    A group's value range is cut into equal buckets, and so is every bucket above
+    BUCKET_LIMIT, until none is; bucket totals tell which buckets hold the wanted ranks,
+    and only those are ordered. Bucket borders come from exact minima and maxima, so a
+    recomputed task sees the same borders.
     """
     alphas = check_alphas(alphas)
     rows, totals = _bucketed(counts, keys, value, count, buckets)
@@ -76,21 +80,27 @@ def spread_rank(df: DataFrame, keys: list[str], value: str, name: str = "rank")
 
 
 def _bucketed(counts, keys, value, count, buckets):
-    """Rows with their bucket and group total, and per bucket the count of rows below it."""
-    facts = counts.groupBy(*keys).agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum(count).alias("total")
-    )
+    """Rows with their bucket and group total, and per bucket the count of rows below it.
+
+    A bucket is the path of its cuts, an array that sorts like the values. Equal widths leave most
+    values in one bucket where one of them lies far off; such a bucket is cut by its own range.
+    """
+    counts = materialize(counts, "value_counts")
+    facts = counts.groupBy(*keys).agg(F.sum(count).alias("total"))
+    rows = counts.withColumn("bucket", F.array().cast("array<int>"))
+    crowded = None
+    while True:
+        rows = _cut(rows, crowded, keys, value, buckets)
+        sizes = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("values"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        crowded = sizes.where((F.col("values") > BUCKET_LIMIT) & (F.col("lo") < F.col("hi"))).select(*keys, "bucket", "lo", "hi")
+        if not crowded.take(1):
+            break
+        rows, crowded = materialize(rows, "buckets"), materialize(crowded, "crowded")
     if keys:
-        rows = counts.join(facts, keys)
+        rows = rows.join(facts, keys)
     else:
-        one = facts.select(F.struct("lo", "hi", "total").alias("f")).scalar()
-        rows = counts.withColumn("f", one).select(*counts.columns, "f.lo", "f.hi", "f.total")
-    place = F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)
-    rows = rows.withColumn(
-        "bucket",
-        F.when(F.col("hi") > F.col("lo"), F.least(place, F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"),
-    )
-    # At most `buckets` rows per group.
+        rows = rows.withColumn("total", facts.select("total").scalar())
+    # At most `buckets` rows per group, and as many for each bucket that was cut again.
     totals = rows.groupBy(*keys, "bucket").agg(
         F.sum(count).alias("in_bucket"), F.first("total").alias("total")
     )
@@ -99,6 +109,22 @@ def _bucketed(counts, keys, value, count, buckets):
     return rows, totals.withColumn("start", start)
 
 
+def _cut(rows, ranges, keys, value, buckets):
+    """Append to the path of each row whose bucket has a range; at first that is the group's."""
+    if ranges is None:
+        ends = rows.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        if keys:
+            joined = rows.join(ends, keys)
+        else:
+            joined = rows.withColumn("f", ends.select(F.struct("lo", "hi")).scalar()).select(*rows.columns, "f.*")
+    else:
+        joined = rows.join(ranges, [*keys, "bucket"], "left")
+    place = F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)
+    at = F.when(F.col("hi") > F.col("lo"), F.least(place, F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+    path = F.when(F.col("lo").isNull(), F.col("bucket")).otherwise(F.concat("bucket", F.array(at)))
+    return joined.withColumn("bucket", path).select(*rows.columns)
+
+
 def _running_count(rows, keys, value, count):
     inside = W.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn("upto", F.col("start") + F.sum(count).over(inside))

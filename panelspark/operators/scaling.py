@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def fit(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
@@ -15,6 +15,19 @@ def fit(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     return df.where(F.col("split") == "train").groupBy(*keys).agg(*stats)
 
 
+def fit_apply(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """Fit and scale series in one pass: a window per key, which a daily series bounds."""
+    own, train = W.partitionBy(*keys), F.col("split") == "train"
+    scaled = {}
+    for c in cols:
+        known = F.when(train, F.col(c))
+        spread = F.stddev_pop(known).over(own)
+        scaled[c] = (F.col(c) - F.avg(known).over(own)) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
+    seen = F.max(train).over(own)
+    return df.select(*[c for c in df.columns if c not in cols], *[scaled[c].alias(c) for c in cols], seen.alias("_seen")).where(
+        "_seen").drop("_seen").select(*df.columns)
+
+
 def apply(df: DataFrame, stats: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     """Scale both splits with the fitted statistics."""
     names = [f"{c}_{part}" for c in cols for part in ("mean", "std")]

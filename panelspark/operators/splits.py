@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def _mark(day, cut):
@@ -33,11 +33,23 @@ def split_dates(df: DataFrame, test_fraction: float, keys: list[str], date_col:
 
 
 def by_fraction(df: DataFrame, test_fraction: float, keys: list[str], date_col: str = "date") -> DataFrame:
-    """Split each model key at its own date; without keys there is one date for all."""
-    cuts = split_dates(df, test_fraction, keys, date_col)
+    """Split each model key at its own date; without keys there is one date for all.
+
+    With keys, days are numbered in a window per key, which a daily series bounds: one scan
+    and one shuffle. The one date for all comes from a scalar subquery.
+    """
+    if not 0 < test_fraction < 1:
+        raise ValueError("test_fraction must lie between 0 and 1")
     if keys:
-        marked = df.join(cuts.drop("n_days"), keys)
+        day = F.col(date_col).cast("date")
+        own = W.partitionBy(*keys)
+        numbered = df.withColumn("_day", F.dense_rank().over(own.orderBy(day)))
+        last = F.max("_day").over(own)
+        at = F.least(F.floor(last * F.lit(1 - test_fraction)).cast("int") + 1, last)
+        numbered = numbered.withColumn("_at", at)
+        marked = numbered.withColumn("split_date", F.min(F.when(F.col("_day") == F.col("_at"), day)).over(own)).drop("_day", "_at")
     else:
+        cuts = split_dates(df, test_fraction, keys, date_col)
         marked = df.withColumn("split_date", cuts.select("split_date").scalar())
     return marked.withColumn("split", _mark(F.col(date_col), F.col("split_date")))
 

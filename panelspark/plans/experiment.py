@@ -19,15 +19,21 @@ from panelspark.sources import columnar, release
 _NOT_FEATURES = ("split", "split_date")
 
 
+def feature_names(rows: DataFrame, data: DataConfig | None = None) -> list[str]:
+    """Columns that are neither metadata nor the configured id, date and target."""
+    named = (data.id_column, data.date_column, data.target_column) if data else ()
+    return [c for c in filters.feature_columns(rows) if c not in (*_NOT_FEATURES, *named)]
+
+
 def setup_of(rows: DataFrame, config: ModelConfig, strategy: Strategy, target: str = "target",
-             features: list[str] | None = None) -> Setup:
-    """What the model type needs to know; every column that is not metadata is a feature."""
+             features: list[str] | None = None, id_col: str = "bdID") -> Setup:
+    """What the model type needs to know; without a list, every column that may be a feature is one."""
     model = registry.get(config.model_type)
     if model.requires_quantile and not config.is_quantile_model:
         raise ValueError(f"{config.model_type} needs quantile levels")
-    names = features or [c for c in filters.feature_columns(rows) if c not in _NOT_FEATURES]
+    names = features or [c for c in feature_names(rows) if c not in (target, id_col)]
     alphas = config.quantile_alphas if model.requires_quantile else None
-    return Setup(strategy.keys, alphas, names, target, config.hyperparameters)
+    return Setup(strategy.keys, alphas, names, target, config.settings, id_col)
 
 
 def fit(rows: DataFrame, model_type: str, setup: Setup) -> Any:
@@ -56,6 +62,14 @@ def score(predicted: DataFrame, config: ModelConfig, strategy: Strategy, target:
     return scored.withColumns({"model_type": F.lit(config.model_type), "modeling_strategy": F.lit(strategy.value)})
 
 
+def split_facts(rows: DataFrame, strategy: Strategy, date_col: str = "date") -> DataFrame:
+    """Per model the first test day and how many rows it was fitted and scored on."""
+    train, test = F.col("split") == "train", F.col("split") == "test"
+    return rows.groupBy(*strategy.keys).agg(
+        F.min(F.when(test, F.col(date_col).cast("date"))).alias("split_date"),
+        F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"))
+
+
 @dataclass
 class ExperimentResults:
     """Tables of an experiment: one row per model, test predictions, fitted models."""
@@ -117,7 +131,7 @@ class ExperimentResults:
         if self.strategy is Strategy.COMBINED:
             named = named.withColumn("sku_key", combined_label(self.skus))
         return release.write_release(
-            named, self.skus, self.models(), path, self.experiment_name, self.config.hyperparameters, self.release_metric)
+            named, self.skus, self.models(), path, self.experiment_name, self.config.settings, self.release_metric)
 
 
 def combined_label(skus: DataFrame):
@@ -159,7 +173,7 @@ class ForecastBench:
         ``sku_tuples`` is a list of pairs, a frame of SKUs, or ``None`` for every SKU.
         """
         if mode not in ("train", "hp_tune"):
-            raise ValueError(f"mode must be 'train' or 'hp_tune', got {mode!r}")
+            raise ValueError(f"unknown mode {mode!r}: an experiment either trains or runs hp_tune")
         if sku_tuples is not None and not isinstance(sku_tuples, DataFrame):
             check_skus(sku_tuples)
         if mode == "hp_tune":
@@ -172,12 +186,18 @@ class ForecastBench:
         target = self.data.target_column
         # Written once: fitting, prediction, labels and the release all read it.
         rows = materialize(self.modeling_rows(sku_tuples, modeling_strategy), "rows")
-        setup = setup_of(rows, config, modeling_strategy, target)
+        setup = setup_of(rows, config, modeling_strategy, target, feature_names(rows, self.data), self.data.id_column)
         if not evaluate_on_test:
             fitted = fit(rows, model_type, setup)
             return ExperimentResults(experiment_name, config, modeling_strategy, None, None, fitted, rows, setup)
         fitted, predicted = fit_predict(rows, model_type, setup)
+        # Written once: whatever is read from them later, models are not fitted again.
+        predicted = materialize(predicted, "predictions")
+        facts = split_facts(rows, modeling_strategy, self.data.date_column)
         results = score(predicted, config, modeling_strategy, target)
+        results = results.join(facts, modeling_strategy.keys, "left") if modeling_strategy.keys else results.withColumns(
+            {c: facts.select(c).scalar() for c in facts.columns})
+        results = materialize(results, "results")
         return ExperimentResults(
             experiment_name, config, modeling_strategy, predicted, results, fitted, rows, setup)
 
@@ -187,8 +207,7 @@ class ForecastBench:
         pool = raw if sku_tuples is None else filters.sku_tuples(raw, sku_tuples)
         chosen = sampling.sample_skus(pool, tune_on, seed)
         rows = self.modeling_rows(chosen, Strategy.COMBINED).where(F.col("split") == "train")
-        names = [c for c in filters.feature_columns(rows) if c not in _NOT_FEATURES]
         return tuning.random_search(
-            rows, model_type, names, alphas[0] if alphas else None, self.data.target_column,
+            rows, model_type, feature_names(rows, self.data), alphas[0] if alphas else None, self.data.target_column,
             settings.get("n_trials", 50), settings.get("n_folds", 3), seed,
-            settings.get("n_jobs", 1), settings.get("fixed"), tune_on)
+            settings.get("n_jobs", 1), settings.get("fixed"), sampling.distinct_skus(chosen).count(), self.data.id_column)

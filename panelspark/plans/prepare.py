@@ -12,7 +12,7 @@ CALENDAR_COLUMNS = ("day_of_week", "month", "quarter", "week_of_year", "year", "
 
 def prepare_features(raw: DataFrame, targets: DataFrame, whitelist: DataFrame | None = None,
                      lags=range(1, 8), years=None, value_col: str = "target",
-                     friday_is_weekend: bool = False) -> DataFrame:
+                     friday_is_weekend: bool = False, id_col: str = "bdID") -> DataFrame:
     """Whitelist, target join, lags, trend, rows for sale, calendar, one-hot.
 
     One shuffle joins the targets by id and one groups the series for the lags. The wide
@@ -22,7 +22,7 @@ def prepare_features(raw: DataFrame, targets: DataFrame, whitelist: DataFrame |
     df = raw
     if whitelist is not None:
         df = df.join(whitelist, list(SKU_KEYS))
-    df = df.join(targets.select("bdID", value_col), "bdID", "left")
+    df = df.join(targets.select(id_col, value_col), id_col, "left")
     return (
         df.transform(features.lag_features, value_col, lags)
         .transform(features.trend_feature)

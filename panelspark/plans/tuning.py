@@ -79,7 +79,8 @@ def draw_trials(space, n_trials: int, seed: int, fixed: dict | None = None) -> l
 
 def random_search(train: DataFrame, model_type: str, features: list[str], alpha: float | None = None,
                   target: str = "target", n_trials: int = 50, n_folds: int = 3, seed: int = 42,
-                  parallelism: int = 1, fixed: dict | None = None, n_skus: int = 0) -> TuningResult:
+                  parallelism: int = 1, fixed: dict | None = None, n_skus: int = 0,
+                  id_col: str = "bdID") -> TuningResult:
     """Mean validation loss of each trial over the folds; the lowest wins.
 
     Folds are written once. Trials are independent Spark jobs, ``parallelism`` at a time.
@@ -89,7 +90,7 @@ def random_search(train: DataFrame, model_type: str, features: list[str], alpha:
     if model.requires_quantile and alpha is None:
         raise ValueError(f"{model_type} needs a quantile level")
     trials = draw_trials(model.search_space, n_trials, seed, fixed)
-    rows = materialize(kfold(train, n_folds, seed).select("bdID", "fold", target, *features), "folds")
+    rows = materialize(kfold(train, n_folds, seed, id_col).select(id_col, "fold", target, *features), "folds")
 
     def loss_of(task):
         number, params, fold = task

@@ -83,10 +83,12 @@ class ArrowReader(DataSourceReader):
 class ArrowWriter(DataSourceArrowWriter):
     """Tasks write under a hidden name; only committed tasks' files get their final one."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, overwrite: bool = False):
         self.path = path
         fs, root = _resolve(path)
         fs.create_dir(root, recursive=True)
+        # Read before the job; these go only once all tasks have succeeded.
+        self.replaced = _files(path) if overwrite else []
 
     def write(self, iterator):
         fs, root = _resolve(self.path)
@@ -108,6 +110,8 @@ class ArrowWriter(DataSourceArrowWriter):
         for message in messages:
             if message is not None and message.file:
                 fs.move(message.file, message.file.removesuffix(".tmp") + ".arrow")
+        for file in self.replaced:
+            fs.delete_file(file)
 
     def abort(self, messages):
         fs, _ = _resolve(self.path)
@@ -133,7 +137,7 @@ class ArrowIpcSource(DataSource):
         return ArrowReader(self.options["path"], schema)
 
     def writer(self, schema, overwrite):
-        return ArrowWriter(self.options["path"])
+        return ArrowWriter(self.options["path"], overwrite)
 
 
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -143,6 +147,6 @@ def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def write(df: DataFrame, path: str) -> None:
+def write(df: DataFrame, path: str, mode: str = "append") -> None:
     df.sparkSession.dataSource.register(ArrowIpcSource)
-    df.write.format(FORMAT).mode("append").save(path)
+    df.write.format(FORMAT).mode(mode).save(path)

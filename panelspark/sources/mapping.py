@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MAPPING_SCHEMA = "feature STRING, feature_name STRING, company_name STRING"
 
-# A mapping has one row per feature column, so it is as small as a schema. The check
-# guards against a file that is something else.
-MAX_MAPPING_ROWS = 100_000
-
 
 def from_dict(spark: SparkSession, mapping: dict) -> DataFrame:
     rows = [(code, v.get("feature_name"), v.get("company_name")) for code, v in mapping.items()]
@@ -22,10 +18,9 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rename_features(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Rename coded columns to their feature names."""
-    known = mapping.where(F.col("feature").isin(df.columns)).limit(MAX_MAPPING_ROWS + 1).collect()
-    if len(known) > MAX_MAPPING_ROWS:
-        raise ValueError("mapping has more rows than a schema can have columns")
+    """Rename coded columns to their feature names; the column list bounds what is read."""
+    known = mapping.where(F.col("feature").isin(df.columns)).groupBy("feature").agg(
+        F.min("feature_name").alias("feature_name")).collect()
     return df.withColumnsRenamed({r["feature"]: r["feature_name"] for r in known})
 
 

@@ -52,7 +52,10 @@ def demand_panel(spark: SparkSession, sf_dir: str, min_date=None, max_date=None)
         )
     )
     day = F.datediff("date", F.lit(ID_EPOCH).cast("date"))
-    sku = F.col("productID").cast("bigint") * STORES_PER_ID + F.col("storeID")
+    # A store number beyond its room would give two SKUs one id.
+    store = F.when(F.col("storeID").between(0, STORES_PER_ID - 1), F.col("storeID")).otherwise(
+        F.raise_error(F.concat(F.lit("store number out of range: "), F.col("storeID").cast("string"))))
+    sku = F.col("productID").cast("bigint") * STORES_PER_ID + store
     return daily.select(
         "productID", "storeID",
         (F.col("productID") * STORES_PER_SKU + F.col("storeID")).alias("skuID"),

@@ -1,4 +1,5 @@
 import json
+import dataclasses
 import glob
 import os
 
@@ -105,7 +106,62 @@ def test_config_checks():
         ModelConfig("", {})
     with pytest.raises(TypeError):
         check_skus(((1, 2),))
-    assert ModelConfig("m", {}).hyperparameters["random_state"] == 42
+    given = {}
+    assert ModelConfig("m", given).settings["random_state"] == 42 and given == {}
+    with pytest.raises(ValueError, match=r"\(0, 2\).*'x'"):
+        check_skus([(1, 2), (0, 2), "x"])
+
+
+def test_other_column_names_give_the_same_results(bench, spark, tmp_path):
+    data = bench.data
+    for part, path in (("f", data.features_path), ("t", data.target_path)):
+        names = {"bdID": "row", "date": "day", "target": "sales"}
+        spark.read.parquet(path).withColumnsRenamed(names).write.parquet(str(tmp_path / part))
+    other = ForecastBench(spark, dataclasses.replace(
+        data, features_path=str(tmp_path / "f"), target_path=str(tmp_path / "t"), id_column="row", date_column="day",
+        target_column="sales"))
+    for model, params, strategy in (("linear_quantile", {}, Strategy.COMBINED), ("gbt_quantile", {"n_estimators": 2}, Strategy.INDIVIDUAL)):
+        found = [b.run_experiment([(1, 3), (1, 7), (12, 3)], strategy, model, params, [0.7]) for b in (bench, other)]
+        assert found[0].setup.features == found[1].setup.features
+        losses = [sorted(r["mean_quantile_loss"] for r in f.results.collect()) for f in found]
+        assert losses[0] == pytest.approx(losses[1])
+    tuned = other.run_experiment(None, Strategy.COMBINED, "gbt_regress", mode="hp_tune", tune_on=3,
+                                 tuning_config={"n_trials": 1, "n_folds": 2, "fixed": {"n_estimators": 1, "max_depth": 2}})
+    assert tuned.best_score > 0
+
+
+def test_models_are_fitted_once(bench, monkeypatch, tmp_path):
+    calls = []
+    plain = registry.get("linear_quantile")
+    counted = dataclasses.replace(plain, fit=lambda train, s: calls.append(1) or plain.fit(train, s))
+    monkeypatch.setitem(registry._TYPES, "linear_quantile", counted)
+    found = bench.run_experiment([(1, 3), (1, 7)], Strategy.COMBINED, "linear_quantile", {}, [0.5])
+    found.results.collect()
+    found.performance_summary().collect()
+    found.release(str(tmp_path))
+    assert len(calls) == 1
+    for table in (found.results, found.predictions):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "InPandas" not in plan and "Scan parquet" in plan
+    facts = found.results.first()
+    assert facts["n_train"] > 0 and facts["n_test"] > 0 and facts["split_date"] is not None
+
+
+def test_fewer_skus_than_asked_for(bench):
+    there = sorted(tuple(r) for r in bench.modeling_rows(None, Strategy.COMBINED).select("productID", "storeID").distinct().collect())
+    found = bench.run_experiment(
+        there[:3], Strategy.COMBINED, "gbt_regress", mode="hp_tune", tune_on=100,
+        tuning_config={"n_trials": 1, "n_folds": 2, "fixed": {"n_estimators": 1, "max_depth": 2}})
+    assert found.n_skus_sampled == 3
+
+
+@pytest.mark.parametrize("params,alphas,strategy", [
+    ({"reg_alpha": 1.0}, None, Strategy.COMBINED), ({"subsample": 0.5}, None, Strategy.INDIVIDUAL),
+    ({"colsample_bytree": 0.5}, [0.5], Strategy.COMBINED)])
+def test_tree_parameters_without_effect_are_refused(bench, params, alphas, strategy):
+    model = "gbt_quantile" if alphas else "gbt_regress"
+    with pytest.raises(ValueError, match="no effect"):
+        bench.run_experiment([(1, 3)], strategy, model, {"n_estimators": 1, **params}, alphas)
 
 
 def test_strict_sku_check(spark):
@@ -144,6 +200,7 @@ def test_arrow_file_has_one_partition_per_batch(spark, tmp_path):
 def test_arrow_round_trip(spark, panel, tmp_path):
     path = str(tmp_path / "panel")
     arrow_ipc.write(panel, path)
+    arrow_ipc.write(panel, path, "overwrite")
     back = columnar.read_table(spark, path, "arrow")
     assert back.schema.simpleString() == panel.schema.simpleString()
     assert back.exceptAll(panel).isEmpty() and back.count() == panel.count()

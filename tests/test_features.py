@@ -31,13 +31,17 @@ def test_event_flags(spark):
     assert flags == {"2020-12-25": (1, 0, 0), "2020-01-01": (0, 1, 0), "2020-10-31": (0, 0, 1), "2020-07-01": (0, 0, 0)}
 
 
-def test_one_hot_reads_small_domains_and_refuses_large_ones(spark, monkeypatch):
+def test_one_hot_reads_small_domains_and_refuses_large_ones(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "c string")
     out = features.one_hot(df, ["c"]).collect()
     assert [tuple(r) for r in out] == [(1, 0), (0, 1), (0, 0)]
-    monkeypatch.setattr(features, "MAX_ONE_HOT_VALUES", 1)
     with pytest.raises(ValueError):
-        features.one_hot(df, ["c"])
+        features.one_hot(df, ["c"], max_values=1)
+
+
+def test_a_later_year_gets_its_column(spark):
+    df = features.calendar_features(days(spark, "2003-05-01", "1995-01-01"))
+    assert [c for c in features.one_hot(df, ["year"]).columns if c.startswith("year_")] == ["year_1995", "year_2003"]
 
 
 def gappy(spark, seed, n):

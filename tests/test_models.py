@@ -50,12 +50,10 @@ def best_linear_loss(x, y, alpha):
 FEATURES = ["a", "b", "flat"]
 
 
-@pytest.mark.parametrize("sample_rows", [50_000, 60])
-def test_linear_for_all_rows_is_near_the_minimum(data, frame, sample_rows):
-    """With a sample of 60 rows the rounds over all rows do the work."""
+def test_linear_for_all_rows_is_near_the_minimum(data, frame):
     train = frame.where("split = 'train'")
     own = data[data.split == "train"]
-    model = linear.fit(train, [], [0.5, 0.9], FEATURES, sample_rows=sample_rows)
+    model = linear.fit(train, [], [0.5, 0.9], FEATURES)
     scored = linear.predict(train, model, [], FEATURES).toPandas()
     for alpha, part in scored.groupby("quantile_level"):
         low = best_linear_loss(own[FEATURES].to_numpy(), own.target.to_numpy(), alpha)
@@ -73,6 +71,17 @@ def test_linear_per_sku_is_near_the_minimum(data, frame):
         assert loss(part.target, part.prediction, 0.7) <= low * 1.001
 
 
+def test_linear_for_all_rows_never_collects_rows_and_repeats(frame, monkeypatch):
+    train = frame.where("split = 'train'")
+    seen = []
+    plain = type(frame).toPandas
+    monkeypatch.setattr(type(frame), "toPandas", lambda df: seen.append(len(out := plain(df))) or out)
+    one = linear.fit(train, [], [0.7], FEATURES).first()
+    assert max(seen) <= (len(FEATURES) + 1) * (len(FEATURES) + 2) + 1
+    two = linear.fit(train.repartition(5), [], [0.7], FEATURES).first()
+    assert np.allclose(one["coefficients"], two["coefficients"], atol=1e-6) and one["n_iter"] == two["n_iter"]
+
+
 def test_linear_with_few_rows_falls_back_to_the_quantile(spark):
     df = spark.createDataFrame([(1, 1, 0.1, 5.0), (1, 1, 0.2, 9.0)], "productID int, storeID int, a double, target double")
     row = linear.fit(df, ["productID", "storeID"], [0.5], ["a"]).first()

@@ -59,3 +59,17 @@ def test_levels_must_lie_inside_zero_and_one(spark, bad):
     df = spark.createDataFrame([(1.0,)], "v double").where(F.lit(True))
     with pytest.raises(ValueError):
         quantiles.grouped_quantiles(df, [], "v", bad)
+
+
+def test_one_value_far_off_does_not_crowd_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BUCKET_LIMIT", 500)
+    df = spark.range(20_000).selectExpr("id % 2 AS g", "CASE WHEN id = 7 THEN 1e12 ELSE id / 1e3 END AS v")
+    counts = df.groupBy("g", "v").count().withColumnRenamed("count", "n")
+    rows, totals = quantiles._bucketed(counts, ["g"], "v", "n", 64)
+    assert totals.agg({"in_bucket": "max"}).first()[0] <= 500
+    got = {r["g"]: r["quantiles"] for r in quantiles.spread_quantiles(df, ["g"], "v", [0.1, 0.5, 0.999], 64).collect()}
+    values = df.toPandas()
+    for g, part in values.groupby("g"):
+        assert np.allclose(got[g], np.quantile(part.v, [0.1, 0.5, 0.999]))
+    ranks = quantiles.spread_rank(df, ["g"], "v").toPandas()
+    assert (ranks["rank"] == ranks.groupby("g")["v"].rank(method="min")).all()
