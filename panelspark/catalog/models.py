@@ -1,6 +1,7 @@
 """Model operators, experiments and tuning.
 
-Iterative fits have no SQL twin; their queries return check tables that a test reads.
+Iterative fits have no SQL twin: their queries return check tables that a test reads, and one-round
+cases with a closed form stand beside them.
 """
 
 from __future__ import annotations
@@ -8,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.catalog.base import (
-    ALPHAS, LEVEL_LIST, SEED, experiment_results, modeling, pinball_sql, predictions, prepared, query,
-    rounded, with_ctes,
+    ALPHAS, LEVEL_LIST, SEED, SPLIT_DATE, experiment_results, modeling, pinball_sql, predictions, prepared, query,
+    rounded, with_ctes, written_panel,
 )
 from panelspark.catalog.selections import N_FOLDS, _FOLD
-from panelspark.config import SKU_KEYS, ModelConfig, Strategy
+from panelspark.config import SKU_KEYS, DataConfig, ModelConfig, Strategy
 from panelspark.functions.losses import pinball
 from panelspark.models import empirical, linear, registry
 from panelspark.models.registry import ModelType, Setup
 from panelspark.operators import quantiles, sampling
 from panelspark.plans import experiment, tuning
+from panelspark.session import scratch_path
 
 FEATURES = ["price", "disc", *[f"target_lag_{k}" for k in range(1, 8)]]
 TREES = {"n_estimators": 10, "max_depth": 3, "eta": 0.3}
@@ -152,12 +154,92 @@ def gbt_regress_individual(spark, sf):
 @query()
 def gbt_quantile(spark, sf):
     train, seen = _on_train(prepared(spark, sf))
-    scored, _ = _run(train.unionByName(seen), "gbt_quantile", Strategy.COMBINED, [0.7], **TREES)
+    scored, _ = _run(train.unionByName(seen), "gbt_quantile", Strategy.COMBINED, ALPHAS, **TREES)
     constant = quantiles.by_level(
-        empirical.predict(seen, empirical.fit(train, [], [0.7]), []), [0.7], name="prediction")
+        empirical.predict(seen, empirical.fit(train, [], ALPHAS), []), ALPHAS, name="prediction")
     return _quantile_check(scored, constant)
 
 
+# One round of one cut by a 0/1 feature, taken whole, has a closed form: the two sides' means or quantiles.
+_FLAGGED = "SELECT *, target_lag_1 > 25 AS flag FROM modeling"
+_ALONE = "CAST(NULL AS DOUBLE)"
+
+
+def _one_cut(spark, sf, model_type, strategy, alphas=None):
+    rows = prepared(spark, sf).withColumn("flag", (F.col("target_lag_1") > 25).cast("double"))
+    config = ModelConfig(model_type, {"n_estimators": 1, "eta": 1.0, "max_depth": 1}, alphas)
+    setup = experiment.setup_of(rows, config, strategy, features=["flag"])
+    scored = experiment.fit_predict(rows, model_type, setup)[1]
+    return rounded(scored.select("bdID", "quantile_level", "prediction"), six=["prediction"])
+
+
+@query(with_ctes(f"""
+    SELECT t.bdID, {_ALONE} AS quantile_level, round(m.p, 6) AS prediction FROM flagged t
+    JOIN (SELECT flag, avg(target) AS p FROM flagged WHERE split = 'train' GROUP BY flag) m USING (flag)
+    WHERE t.split = 'test'""", "modeling", flagged=_FLAGGED))
+def gbt_regress_one_cut(spark, sf):
+    return _one_cut(spark, sf, "gbt_regress", Strategy.COMBINED)
+
+
+_ONE_CUT_OF_SKUS = """
+    SELECT t.bdID, {level} AS quantile_level, round(coalesce(g.p, a.p), 6) AS prediction FROM flagged t
+    JOIN whole a USING (productID, storeID)
+    LEFT JOIN sides g ON g.productID = t.productID AND g.storeID = t.storeID AND g.flag = t.flag
+    WHERE t.split = 'test'"""
+
+
+@query(with_ctes(_ONE_CUT_OF_SKUS.format(level=_ALONE), "modeling", flagged=_FLAGGED,
+    whole="SELECT productID, storeID, avg(target) AS p FROM flagged WHERE split = 'train' GROUP BY ALL",
+    sides="SELECT productID, storeID, flag, avg(target) AS p FROM flagged WHERE split = 'train' GROUP BY ALL"))
+def gbt_regress_one_cut_individual(spark, sf):
+    return _one_cut(spark, sf, "gbt_regress", Strategy.INDIVIDUAL)
+
+
+@query(with_ctes(f"""
+    SELECT t.bdID, m.quantile_level, round(m.p, 6) AS prediction FROM flagged t
+    JOIN (SELECT flag, unnest({LEVEL_LIST}) AS quantile_level, unnest(quantile_cont(target::DOUBLE, {LEVEL_LIST})) AS p
+          FROM flagged WHERE split = 'train' GROUP BY flag) m USING (flag)
+    WHERE t.split = 'test'""", "modeling", flagged=_FLAGGED))
+def gbt_quantile_one_cut(spark, sf):
+    return _one_cut(spark, sf, "gbt_quantile", Strategy.COMBINED, ALPHAS)
+
+
+# A side counts only if its share at or above the whole quantile differs from the other side's: else nothing is gained by a cut.
+@query(with_ctes(_ONE_CUT_OF_SKUS.format(level="0.7::DOUBLE"), "modeling", flagged=_FLAGGED,
+    whole="SELECT productID, storeID, quantile_cont(target::DOUBLE, 0.7::DOUBLE) AS p FROM flagged WHERE split = 'train' GROUP BY ALL",
+    shares="""SELECT f.productID, f.storeID, count(*) FILTER (WHERE flag) AS n1, count(*) FILTER (WHERE NOT flag) AS n0,
+                count(*) FILTER (WHERE flag AND target >= p) AS k1, count(*) FILTER (WHERE NOT flag AND target >= p) AS k0
+              FROM flagged f JOIN whole USING (productID, storeID) WHERE split = 'train' GROUP BY ALL""",
+    sides="""SELECT f.productID, f.storeID, f.flag, quantile_cont(target::DOUBLE, 0.7::DOUBLE) AS p
+             FROM flagged f JOIN shares USING (productID, storeID)
+             WHERE split = 'train' AND k1 * n0 <> k0 * n1 GROUP BY ALL"""))
+def gbt_quantile_one_cut_individual(spark, sf):
+    return _one_cut(spark, sf, "gbt_quantile", Strategy.INDIVIDUAL, [0.7])
+
+
+@query(with_ctes(f"""
+    SELECT r.productID, r.storeID, m.quantile_level,
+           round(avg({pinball_sql('r.target', 'm.q', 'm.quantile_level')}), 9) AS mean_quantile_loss,
+           min(n.n_train) AS n_train, count(*) AS n_test, min(r.date) AS split_date, 'price,disc' AS features
+    FROM rows_ r JOIN models m USING (productID, storeID)
+    JOIN (SELECT productID, storeID, count(*) AS n_train FROM rows_ WHERE split = 'train' GROUP BY ALL) n USING (productID, storeID)
+    WHERE r.split = 'test' GROUP BY r.productID, r.storeID, m.quantile_level""", "panel",
+    rows_=f"SELECT *, CASE WHEN date < DATE '{SPLIT_DATE}' THEN 'train' ELSE 'test' END AS split FROM panel WHERE not_for_sale <> 1",
+    models=f"SELECT productID, storeID, unnest({LEVEL_LIST}) AS quantile_level, "
+           f"unnest(quantile_cont(target::DOUBLE, {LEVEL_LIST})) AS q FROM rows_ WHERE split = 'train' GROUP BY productID, storeID"))
+def configured_columns(spark, sf):
+    """An experiment on tables with other names for id, date and target; none of them is a feature."""
+    df = written_panel(spark, sf).withColumnsRenamed({"bdID": "row_number", "date": "day", "target": "sales"})
+    paths = [scratch_path(spark, name) for name in ("features", "targets")]
+    df.drop("sales").write.parquet(paths[0])
+    df.select("row_number", "day", "sales").write.parquet(paths[1])
+    data = DataConfig(*paths, id_column="row_number", date_column="day", target_column="sales", split_date=SPLIT_DATE)
+    found = experiment.ForecastBench(spark, data).run_experiment(
+        None, Strategy.INDIVIDUAL, "empirical_quantile", {}, ALPHAS, "configured")
+    table = found.results.withColumn("features", F.lit(",".join(found.setup.features)))
+    return rounded(table.drop("model_type", "modeling_strategy"), "mean_quantile_loss")
+
+
 @query()
 def gbt_quantile_individual(spark, sf):
     """Boosted trees per SKU and level: losses of every model on its test rows."""
