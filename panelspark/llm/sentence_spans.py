@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,10 @@ from panelspark.llm.common import Stored
 from panelspark.llm.tokens import slices
 
 SENTENCES = 2
-WORDS = 20
+WORDS = 12
 MAX_SENTENCE_WORDS = 24
+# A longer sentence is cut after words whose checksum this divides, so that equal passages are cut alike.
+_CUT = 12
 
 # A sentence ends after . ! ? (and closing marks) before white space, or at a line end.
 _END = re.compile(r"""[.!?]+["')\]»”’]*(?=\s)|\n""")
@@ -24,7 +27,8 @@ _WORD = re.compile(r"\S+")
 def sentences(text: str, most_words: int = MAX_SENTENCE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Start, end, number of words and words (lower-cased, one space between) of each sentence.
 
-    Those without a word are left out. One longer than ``most_words`` is cut after every so many, from its start.
+    Those without a word are left out. One longer than ``most_words`` is cut where its own words say, and
+    a piece that is still longer after every so many.
     """
     spans = [m.span() for m in _WORD.finditer(text)]
     if not spans:
@@ -33,12 +37,20 @@ def sentences(text: str, most_words: int = MAX_SENTENCE_WORDS) -> tuple[np.ndarr
     cuts = np.array([m.end() for m in _END.finditer(text)], np.int64)
     # Number of ends at or before each word's start: equal within a sentence.
     of = np.searchsorted(cuts, word[:, 0], side="right")
-    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    lowered = text.lower()
+    words = lowered.split() if len(lowered) == len(text) else [text[a:b].lower() for a, b in spans]
+    begins = np.concatenate([[True], of[1:] != of[:-1]])
+    first = np.flatnonzero(begins)
+    sizes = np.diff(np.append(first, len(word)))
+    for a, n in zip(first[sizes > most_words].tolist(), sizes[sizes > most_words].tolist()):
+        for i in range(a, a + n - 1):
+            if zlib.crc32(words[i].encode("utf-8", "surrogatepass")) % _CUT == 0:
+                begins[i + 1] = True
+    first = np.flatnonzero(begins)
     sizes = np.diff(np.append(first, len(word)))
     pieces = -(-sizes // most_words)
     begin = np.repeat(first, pieces) + most_words * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     n = np.diff(np.append(begin, len(word)))
-    words = text.lower().split() if len(text.lower()) == len(text) else [text[a:b].lower() for a, b in spans]
     joined = [" ".join(words[a:a + k]) for a, k in zip(begin.tolist(), n.tolist())]
     return word[begin, 0], word[begin + n - 1, 1], n, joined
 
