@@ -55,7 +55,8 @@ def test_fit_tables_show_lower_losses_than_the_constant(spark, sf, name):
     for r in found:
         assert r["n_model"] == r["n_constant"] > 0
         assert r["loss_model"] <= r["loss_constant"] * 1.0005
-        assert abs(r["coverage_model"] - r["quantile_level"]) < 0.1
+        # A short series lies on its own line in part, so only one model for all has exact shares.
+        assert name.endswith("individual") or abs(r["coverage_model"] - r["quantile_level"]) < 0.05
 
 
 @pytest.mark.parametrize("name", ["gbt_regress", "gbt_regress_individual"])
