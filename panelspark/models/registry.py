@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from panelspark.models import empirical, linear, trees
 from panelspark.operators import quantiles
@@ -32,7 +33,8 @@ class ModelType:
     ``predict(rows, fitted, setup)`` returns long rows with ``quantile_level`` (null
     without levels) and ``prediction``. ``fit_predict(rows, setup)`` may do both at once
     for frames with a ``split`` column and then returns the test rows only, or ``None``
-    where it does not apply. ``as_table(fitted, setup)`` gives models as rows for a release.
+    where it does not apply. ``as_table(fitted, setup)`` gives models as rows for a release,
+    ``from_table(table, setup)`` takes them back.
     """
 
     fit: Callable[[DataFrame, Setup], Any] | None
@@ -41,6 +43,7 @@ class ModelType:
     search_space: tuple = ()
     fit_predict: Callable[[DataFrame, Setup], DataFrame | None] | None = None
     as_table: Callable[[Any, Setup], DataFrame] | None = None
+    from_table: Callable[[DataFrame, Setup], Any] = lambda table, setup: table
     description: str = ""
 
 
@@ -72,10 +75,15 @@ def _empirical_both(rows, s):
         empirical.fit_predict_series(rows, s.keys, s.alphas, s.target), s.alphas, name="prediction")
 
 
+def _empirical_from_table(table, s):
+    levels = F.sort_array(F.collect_list(F.struct("quantile_level", "value")))
+    return table.groupBy(*s.keys).agg(F.transform(levels, lambda x: x["value"]).alias("quantiles"))
+
+
 register("empirical_quantile", ModelType(
     fit=lambda train, s: empirical.fit(train, s.keys, s.alphas, s.target),
     predict=_empirical_predict, fit_predict=_empirical_both, requires_quantile=True,
-    as_table=lambda fitted, s: quantiles.by_level(fitted, s.alphas),
+    as_table=lambda fitted, s: quantiles.by_level(fitted, s.alphas), from_table=_empirical_from_table,
     description="constant quantile of the train targets"))
 
 
@@ -90,42 +98,27 @@ register("linear_quantile", ModelType(
     description="linear quantile regression with intercept"))
 
 
-def _all_rows_only(s):
-    if s.keys:
-        raise ValueError("per-series trees fit and predict in one step; give rows with a split column")
+def _tree_predict(rows, table, s):
+    return trees.predict(rows, table, s.keys, s.features, s.target, s.id_col)
 
 
 def _gbt_fit(train, s):
-    _all_rows_only(s)
+    if s.keys:
+        return trees.fit_series(train, s.keys, s.alphas, s.features, s.target, s.params)
     return trees.fit_regression(train, s.features, s.target, s.params)
 
 
-def _gbt_both(rows, s):
-    if not s.keys:
-        return None
-    return trees.fit_predict_series(rows, s.keys, s.alphas, s.features, s.target, s.params, s.id_col)
+def _gbt_quantile_fit(train, s):
+    if s.keys:
+        return _gbt_fit(train, s)
+    tables = [trees.fit_quantile(train, a, s.features, s.target, s.params) for a in s.alphas]
+    return reduce(DataFrame.unionByName, tables)
 
 
 register("gbt_regress", ModelType(
-    fit=_gbt_fit, predict=lambda rows, fitted, s: trees.predict_regression(rows, fitted, s.features),
-    fit_predict=_gbt_both, search_space=trees.SEARCH_SPACE,
+    fit=_gbt_fit, predict=_tree_predict, search_space=trees.SEARCH_SPACE, as_table=lambda fitted, s: fitted,
     description="boosted trees, squared loss"))
-
-
-def _gbt_quantile_fit(train, s):
-    _all_rows_only(s)
-    return [trees.fit_quantile(train, a, s.features, s.target, s.params) for a in s.alphas]
-
-
-def _gbt_quantile_predict(rows, fitted, s):
-    scored = [trees.predict_quantile(rows, m, s.features) for m in fitted]
-    out = scored[0]
-    for more in scored[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 register("gbt_quantile", ModelType(
-    fit=_gbt_quantile_fit, predict=_gbt_quantile_predict, fit_predict=_gbt_both,
-    requires_quantile=True, search_space=trees.QUANTILE_SEARCH_SPACE,
+    fit=_gbt_quantile_fit, predict=_tree_predict, requires_quantile=True,
+    search_space=trees.QUANTILE_SEARCH_SPACE, as_table=lambda fitted, s: fitted,
     description="boosted trees, pinball loss"))

@@ -6,17 +6,17 @@ small trees inside tasks, since a series is bounded by the calendar.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.config import check_alphas
 from panelspark.operators.quantiles import spread_quantiles
-from panelspark.session import materialize, spread_by_key
+from panelspark.session import materialize, scratch_path, spread_by_key
 
 # The tuning space of the tree models, name, low, high, whole number.
 SEARCH_SPACE = (
@@ -73,8 +73,80 @@ def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x").transform(df)
 
 
-def fit_regression(train: DataFrame, features: list[str], target: str, params: dict):
-    """Squared-loss boosting over all rows."""
+# ---- fitted trees as rows ------------------------------------------------------------
+
+# A row with ``value`` x is added where a tree ends there; tree 0 is one leaf, the start value. A row goes to
+# ``low`` where its feature is at most ``border``, else to ``high``; without a feature always to ``low``.
+NODE_FIELDS = "tree int, node int, feature int, border double, low int, high int, value double"
+TABLE = f"quantile_level double, {NODE_FIELDS}"
+_NODE_NAMES = [f.split()[0] for f in NODE_FIELDS.split(", ")]
+
+
+def _saved_nodes(model, spark) -> DataFrame:
+    """Nodes of a Spark tree model, read from its saved form; ids follow the order of the tree, lower side first."""
+    path = scratch_path(spark, "tree")
+    model.write().save(path)
+    saved = spark.read.parquet(f"{path}/data")
+    if "nodeData" in saved.columns:
+        saved = saved.select(F.col("treeID").alias("tree"), "nodeData.*")
+    else:
+        saved = saved.withColumn("tree", F.lit(0))
+    return saved.select(
+        "tree", F.col("id").alias("node"), F.col("split.featureIndex").alias("feature"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("border"), F.col("leftChild").alias("low"),
+        F.col("rightChild").alias("high"), F.col("prediction").alias("value"))
+
+
+def _evaluate(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sum over the trees of the leaf value of each row; ``nodes`` are rows of NODE_FIELDS."""
+    out = np.zeros(len(x))
+    nodes = nodes[np.lexsort((nodes[:, 1], nodes[:, 0]))]
+    for tree in np.split(nodes, np.flatnonzero(np.diff(nodes[:, 0])) + 1) if len(nodes) else []:
+        feature, low, high = (tree[:, i].astype(int) for i in (2, 4, 5))
+        at = np.zeros(len(x), int)
+        while True:
+            inner = low[at] >= 0
+            if not inner.any():
+                break
+            cut = inner & (feature[at] >= 0)
+            right = cut & ~(x[np.arange(len(x)), np.maximum(feature[at], 0)] <= tree[at, 3])
+            at = np.where(right, high[at], np.where(inner, low[at], at))
+        out += tree[at, 6]
+    return out
+
+
+def predict(df: DataFrame, table: DataFrame, keys: list[str], features: list[str], target: str = "target",
+            id_col: str = "bdID") -> DataFrame:
+    """Predictions of saved or just fitted trees, one row per level.
+
+    One model for all rows: its trees, bounded by rounds and depth, go to every task, and all other
+    columns stay. One model per series: rows and trees of a series meet in one task; the keys,
+    row id and target stay.
+    """
+    if keys:
+        return _predict_series(df, table, keys, features, target, id_col)
+    found = table.toPandas()
+    levels = sorted(found["quantile_level"].drop_duplicates(), key=lambda v: (pd.isna(v), v))
+    models = [found.loc[found["quantile_level"].isna() if pd.isna(a) else found["quantile_level"] == a, _NODE_NAMES].to_numpy(float)
+              for a in levels]
+    sent = df.sparkSession.sparkContext.broadcast(models)
+
+    @F.pandas_udf("array<double>")
+    def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for pdf in batches:
+            x = pdf.to_numpy(float)
+            yield pd.Series(list(np.stack([_evaluate(m, x) for m in sent.value], axis=1)))
+
+    scored = df.withColumn("_p", value(F.struct(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)])))
+    pairs = F.array(*[F.struct(F.lit(None if pd.isna(a) else float(a)).cast("double").alias("quantile_level"),
+                               F.col("_p")[i].alias("prediction")) for i, a in enumerate(levels)])
+    return scored.select(*df.columns, F.inline(pairs))
+
+
+# ---- one model for all rows ----------------------------------------------------------
+
+def fit_regression(train: DataFrame, features: list[str], target: str, params: dict) -> DataFrame:
+    """Squared-loss boosting over all rows, as a table of nodes."""
     params = settings_of(params)
     settings = _tree_settings(params)
     if float(params["colsample_bytree"]) < 1:
@@ -83,33 +155,15 @@ def fit_regression(train: DataFrame, features: list[str], target: str, params: d
         featuresCol="_x", labelCol=target, predictionCol="prediction",
         maxIter=rounds_of(params), stepSize=float(params["eta"]),
         checkpointInterval=10, **settings)
-    return gbt.fit(_assemble(train, features))
-
-
-def predict_regression(df: DataFrame, model, features: list[str]) -> DataFrame:
-    scored = model.transform(_assemble(df, features)).drop("_x")
-    return scored.withColumn("quantile_level", F.lit(None).cast("double"))
+    model = gbt.fit(_assemble(train, features))
+    weights = F.array(*[F.lit(float(w)) for w in model.treeWeights])
+    nodes = _saved_nodes(model, train.sparkSession)
+    return nodes.withColumn("value", F.col("value") * F.get(weights, F.col("tree"))).select(
+        F.lit(None).cast("double").alias("quantile_level"), *_NODE_NAMES)
 
 
-@dataclass
-class QuantileTrees:
-    """A start value and trees, each with the value to add in every leaf."""
-
-    alpha: float
-    start: float
-    eta: float
-    trees: list[tuple[DecisionTreeRegressionModel, dict[float, float]]]
-
-
-def _add_tree(df: DataFrame, tree, leaves: dict[float, float], eta: float) -> DataFrame:
-    """Move ``_f`` by the leaf's value; a tree has at most 2^depth leaves."""
-    steps = F.create_map(*[F.lit(v) for pair in leaves.items() for v in pair])
-    moved = F.col("_f") + eta * F.coalesce(F.try_element_at(steps, F.col("_leaf")), F.lit(0.0))
-    return tree.transform(df).withColumn("_f", moved).drop("_leaf", "_step")
-
-
-def fit_quantile(train: DataFrame, alpha: float, features: list[str], target: str, params: dict) -> QuantileTrees:
-    """Gradient boosting of the pinball loss over all rows.
+def fit_quantile(train: DataFrame, alpha: float, features: list[str], target: str, params: dict) -> DataFrame:
+    """Gradient boosting of the pinball loss over all rows, as a table of nodes.
 
     A tree is fitted to the sign-like gradient, then each leaf takes the exact quantile of
     its residuals. A leaf may hold any share of the rows, so leaf quantiles use the spread
@@ -120,10 +174,11 @@ def fit_quantile(train: DataFrame, alpha: float, features: list[str], target: st
     params = settings_of(params, ("colsample_bytree",))
     eta = float(params["eta"])
     settings = _tree_settings(params)
+    spark = train.sparkSession
     start = spread_quantiles(train, [], target, [alpha]).first()["quantiles"][0]
     rows = _assemble(train, features).select("_x", F.col(target).cast("double").alias("_y"))
     rows = materialize(rows.withColumn("_f", F.lit(float(start))), "boost")
-    trees = []
+    table = [(alpha, 0, 0, -1, None, -1, -1, float(start))]
     for i in range(rounds_of(params)):
         gradient = F.when(F.col("_y") >= F.col("_f"), F.lit(alpha)).otherwise(F.lit(alpha - 1))
         learner = DecisionTreeRegressor(
@@ -135,39 +190,37 @@ def fit_quantile(train: DataFrame, alpha: float, features: list[str], target: st
         tree = learner.fit(sample)
         residuals = tree.transform(rows).select("_leaf", (F.col("_y") - F.col("_f")).alias("_r"))
         quantiles = spread_quantiles(residuals, ["_leaf"], "_r", [alpha])
-        leaves = {r["_leaf"]: r["quantiles"][0] for r in quantiles.collect()}
-        trees.append((tree, leaves))
-        rows = _add_tree(rows, tree, leaves, eta)
+        leaves = {int(r["_leaf"]): r["quantiles"][0] for r in quantiles.collect()}
+        nth = 0
+        for node in _saved_nodes(tree, spark).orderBy("node").collect():
+            leaf = node["low"] < 0
+            step = eta * leaves.get(nth, 0.0) if leaf else 0.0
+            nth += leaf
+            table.append((alpha, i + 1, node["node"], node["feature"], node["border"], node["low"], node["high"], step))
+        steps = F.create_map(*[F.lit(v) for pair in leaves.items() for v in pair])
+        moved = F.col("_f") + eta * F.coalesce(F.try_element_at(steps, F.col("_leaf").cast("int")), F.lit(0.0))
+        rows = tree.transform(rows).withColumn("_f", moved).drop("_leaf", "_step")
         if (i + 1) % ROUNDS_PER_CUT == 0:
             rows = materialize(rows, "boost")
-    return QuantileTrees(alpha, float(start), eta, trees)
-
-
-def predict_quantile(df: DataFrame, model: QuantileTrees, features: list[str]) -> DataFrame:
-    scored = _assemble(df, features).withColumn("_f", F.lit(model.start))
-    for tree, leaves in model.trees:
-        scored = _add_tree(scored, tree, leaves, model.eta)
-    return scored.drop("_x").withColumnRenamed("_f", "prediction").withColumn(
-        "quantile_level", F.lit(model.alpha))
+    return spark.createDataFrame(table, TABLE)
 
 
 # ---- one model per daily series ------------------------------------------------------
 
-def _bins(x, x_new):
-    """Each column's values as bin numbers; borders are quantiles of the train rows."""
+def _bins(x):
+    """Each column's values as bin numbers, and the borders: quantiles of the train rows."""
     marks = np.linspace(0, 1, BINS + 1)[1:-1]
     borders = [np.unique(np.quantile(col, marks, method="lower")) for col in x.T]
+    return np.column_stack([np.searchsorted(b, col) for b, col in zip(borders, x.T)]), borders
 
-    def place(values):
-        return np.column_stack([np.searchsorted(b, col) for b, col in zip(borders, values.T)])
-
-    return place(x), place(x_new)
 
+def _grow(bins, g, depth, min_rows, min_gain):
+    """Leaf numbers of the rows and, per level, whether, by which column and at which border each node is cut.
 
-def _grow(bins, g, bins_new, depth, min_rows, min_gain):
-    """Leaf numbers of train rows and new rows; all nodes of a level are cut at once."""
+    All nodes of a level are cut at once.
+    """
     n, width = bins.shape
-    leaf, leaf_new = np.zeros(n, int), np.zeros(len(bins_new), int)
+    leaf, cuts = np.zeros(n, int), []
     for level in range(depth):
         shape = (2 ** level, width, BINS)
         cell = ((leaf[:, None] * width + np.arange(width)) * BINS + bins).ravel()
@@ -181,54 +234,75 @@ def _grow(bins, g, bins_new, depth, min_rows, min_gain):
         best = gain.argmax(1)
         useful = gain[np.arange(shape[0]), best] > max(min_gain, 1e-12)
         column, border = best // BINS, best % BINS
+        cuts.append((useful, column, border))
         leaf = 2 * leaf + (useful[leaf] & (bins[np.arange(n), column[leaf]] > border[leaf]))
-        leaf_new = 2 * leaf_new + (
-            useful[leaf_new] & (bins_new[np.arange(len(bins_new)), column[leaf_new]] > border[leaf_new]))
-    return leaf, leaf_new
+    return leaf, cuts
 
 
-def _boost_series(bins, y, bins_new, alpha, rounds, eta, depth, min_rows, min_gain):
-    """Predictions for the new rows of one series; no level means squared loss."""
+def _nodes_of(number, cuts, borders, leaves):
+    """Rows of NODE_FIELDS of one tree; nodes that are not cut pass rows on to their lower side."""
+    rows = []
+    for level, (useful, column, border) in enumerate(cuts):
+        first, below = 2 ** level - 1, 2 ** (level + 1) - 1
+        for i, (cut, c, b) in enumerate(zip(useful, column, border)):
+            rows.append((number, first + i, int(c) if cut else -1, float(borders[c][b]) if cut else np.nan,
+                         below + 2 * i, below + 2 * i + 1, 0.0))
+    first = 2 ** len(cuts) - 1
+    return rows + [(number, first + i, -1, np.nan, -1, -1, leaves.get(i, 0.0)) for i in range(2 ** len(cuts))]
+
+
+def _boost_series(bins, borders, y, alpha, rounds, eta, depth, min_rows, min_gain):
+    """Nodes of the trees of one series; no level means squared loss."""
     center = np.mean if alpha is None else (lambda v: np.quantile(v, alpha))
-    fit, out = np.full(len(y), center(y)), np.full(len(bins_new), center(y))
-    for _ in range(rounds):
+    fit = np.full(len(y), center(y))
+    rows = [(0, 0, -1, np.nan, -1, -1, float(center(y)))]
+    for number in range(1, rounds + 1):
         g = y - fit if alpha is None else np.where(y >= fit, alpha, alpha - 1)
-        leaf, leaf_new = _grow(bins, g, bins_new, depth, min_rows, min_gain)
+        leaf, cuts = _grow(bins, g, depth, min_rows, min_gain)
+        leaves = {}
         for one in np.unique(leaf):
-            step = eta * center((y - fit)[leaf == one])
+            leaves[int(one)] = step = float(eta * center((y - fit)[leaf == one]))
             fit[leaf == one] += step
-            out[leaf_new == one] += step
-    return out
+        rows += _nodes_of(number, cuts, borders, leaves)
+    return rows
 
 
-def fit_predict_series(df: DataFrame, keys: list[str], alphas, features: list[str], target: str,
-                       params: dict, id_col: str = "bdID") -> DataFrame:
-    """Boost every series on its train rows and predict its test rows, all in one shuffle.
+def _typed(df, names):
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
-    A task holds one daily series at a time, at most one row per day. The result has the
-    keys, row id, target, level and prediction of the test rows.
+
+def fit_series(train: DataFrame, keys: list[str], alphas, features: list[str], target: str, params: dict) -> DataFrame:
+    """Boost every series on its train rows, all in one shuffle; a table of nodes per key and level.
+
+    A task holds one daily series at a time, at most one row per day.
     """
     levels = check_alphas(alphas) if alphas else [None]
     rounds = rounds_of(params)
     params = settings_of(params, ("subsample", "colsample_bytree"))
-    eta, depth = float(params["eta"]), int(params["max_depth"])
-    min_rows, min_gain = int(params["min_child_weight"]), float(params["gamma"])
+    options = (rounds, float(params["eta"]), int(params["max_depth"]), int(params["min_child_weight"]), float(params["gamma"]))
+    names = [*keys, *[f.split()[0] for f in TABLE.split(", ")]]
+
+    def boost(key, pdf):
+        bins, borders = _bins(pdf[features].to_numpy(float))
+        y = pdf[target].to_numpy(float)
+        rows = [(*key, a, *r) for a in levels for r in _boost_series(bins, borders, y, a, *options)]
+        return pd.DataFrame(rows, columns=names).astype({"quantile_level": float})
+
+    rows = spread_by_key(train.select(*keys, target, *features), keys)
+    return rows.groupBy(*keys).applyInPandas(boost, f"{_typed(train, keys)}, {TABLE}")
+
+
+def _predict_series(df, table, keys, features, target, id_col):
     kept = [*keys, id_col, target]
+    types = f"{_typed(df, kept)}, quantile_level double, prediction double"
 
-    def boost(pdf):
-        train, test = pdf[pdf["split"] == "train"], pdf[pdf["split"] == "test"]
-        if train.empty or test.empty:
+    def score(pdf, nodes):
+        if pdf.empty or nodes.empty:
             return pd.DataFrame(columns=[*kept, "quantile_level", "prediction"])
-        y = train[target].to_numpy(float)
-        bins, bins_new = _bins(train[features].to_numpy(float), test[features].to_numpy(float))
-        parts = [
-            test[kept].assign(quantile_level=a, prediction=_boost_series(
-                bins, y, bins_new, a, rounds, eta, depth, min_rows, min_gain))
-            for a in levels
-        ]
+        x = pdf[features].to_numpy(float)
+        parts = [pdf[kept].assign(quantile_level=a, prediction=_evaluate(part[_NODE_NAMES].to_numpy(float), x))
+                 for a, part in nodes.groupby("quantile_level", dropna=False)]
         return pd.concat(parts, ignore_index=True).astype({"quantile_level": float})
 
-    types = [f"{c} {df.schema[c].dataType.simpleString()}" for c in kept]
-    schema = ", ".join([*types, "quantile_level double", "prediction double"])
-    rows = spread_by_key(df.select(*kept, "split", *features), keys)
-    return rows.groupBy(*keys).applyInPandas(boost, schema)
+    rows = spread_by_key(df.select(*kept, *features), keys)
+    return rows.groupBy(*keys).cogroup(spread_by_key(table, keys).groupBy(*keys)).applyInPandas(score, types)

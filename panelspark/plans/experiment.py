@@ -37,7 +37,9 @@ def setup_of(rows: DataFrame, config: ModelConfig, strategy: Strategy, target: s
 
 
 def fit(rows: DataFrame, model_type: str, setup: Setup) -> Any:
-    return registry.get(model_type).fit(rows.where(F.col("split") == "train"), setup)
+    """Fitted models; a table of them is written once, so that no later read fits again."""
+    fitted = registry.get(model_type).fit(rows.where(F.col("split") == "train"), setup)
+    return materialize(fitted, "models") if isinstance(fitted, DataFrame) else fitted
 
 
 def fit_predict(rows: DataFrame, model_type: str, setup: Setup) -> tuple[Any, DataFrame]:
@@ -54,6 +56,15 @@ def fit_predict(rows: DataFrame, model_type: str, setup: Setup) -> tuple[Any, Da
     return fitted, model.predict(rows.where(F.col("split") == "test"), fitted, setup)
 
 
+def predict_saved(spark: SparkSession, path: str, rows: DataFrame, model_type: str, setup: Setup) -> DataFrame:
+    """Predictions of models that a release wrote below ``path``/model_params."""
+    saved = spark.read.parquet(f"{path}/model_params").where(F.col("model_type") == model_type).drop("model_type")
+    if "quantile_level" in saved.columns:  # a folder name
+        saved = saved.withColumn("quantile_level", F.col("quantile_level").cast("double"))
+    model = registry.get(model_type)
+    return model.predict(rows, model.from_table(saved, setup), setup)
+
+
 def score(predicted: DataFrame, config: ModelConfig, strategy: Strategy, target: str = "target") -> DataFrame:
     """One row per model and level with its metrics and identity."""
     by_level = registry.get(config.model_type).requires_quantile

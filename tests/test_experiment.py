@@ -1,8 +1,9 @@
-import json
 import dataclasses
 import glob
+import json
 import os
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.config import DataConfig, ModelConfig, Strategy, check_skus
 from panelspark.models import registry
 from panelspark.operators import checks, features
-from panelspark.plans.experiment import ForecastBench, lookup
+from panelspark.plans.experiment import ForecastBench, lookup, predict_saved
 from panelspark.sources import arrow_ipc, columnar, mapping
 
 ALPHAS = [0.5, 0.9]
@@ -211,3 +212,21 @@ def test_feature_mapping(spark, tmp_path):
     names.write.json(str(tmp_path / "m"))
     df = spark.createDataFrame([(1, 2)], "feature_0038 int, other int")
     assert mapping.rename_features(df, mapping.read_mapping(spark, str(tmp_path / "m"))).columns == ["sales_0", "other"]
+
+
+@pytest.mark.parametrize("model_type, params, alphas", [
+    ("empirical_quantile", {}, ALPHAS), ("linear_quantile", {"max_iter": 30}, ALPHAS),
+    ("gbt_regress", {"n_estimators": 2, "max_depth": 2}, None), ("gbt_quantile", {"n_estimators": 2, "max_depth": 2}, ALPHAS)])
+@pytest.mark.parametrize("strategy", list(Strategy))
+def test_saved_models_predict_as_before(bench, spark, tmp_path, model_type, params, alphas, strategy):
+    found = bench.run_experiment([(2, 3), (5, 1), (9, 2), (11, 6)], strategy, model_type, params, alphas, "kept")
+    root = found.release(str(tmp_path))
+    again = predict_saved(spark, root, found.rows.where("split = 'test'"), model_type, found.setup)
+    cols = ["bdID", "quantile_level", "prediction"]
+    one, two = (df.select(cols).toPandas().sort_values(cols[:2]) for df in (found.predictions, again))
+    assert len(one) and (one.bdID.values == two.bdID.values).all() and np.allclose(one.prediction, two.prediction)
+
+
+def test_trees_are_fitted_without_scoring(bench):
+    found = bench.run_experiment([(2, 3), (5, 1)], Strategy.INDIVIDUAL, "gbt_quantile", {"n_estimators": 2}, [0.5], evaluate_on_test=False)
+    assert found.results is None and found.models().count() > 0

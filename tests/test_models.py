@@ -123,7 +123,7 @@ def test_squared_trees_beat_the_mean_and_repeat(data, frame):
     runs = []
     for _ in range(2):
         model = trees.fit_regression(train, ["a", "b"], "target", {**TREES, "seed": 1})
-        runs.append(trees.predict_regression(test, model, ["a", "b"]).orderBy("bdID").toPandas())
+        runs.append(trees.predict(test, model, [], ["a", "b"]).orderBy("bdID").toPandas())
     assert np.allclose(runs[0].prediction, runs[1].prediction)
     own = data[data.split == "train"].target
     assert ((runs[0].target - runs[0].prediction) ** 2).mean() < ((runs[0].target - own.mean()) ** 2).mean()
@@ -132,15 +132,17 @@ def test_squared_trees_beat_the_mean_and_repeat(data, frame):
 def test_quantile_trees_lower_the_loss(frame):
     train = frame.where("split = 'train'")
     model = trees.fit_quantile(train, 0.7, ["a", "b"], "target", TREES)
-    scored = trees.predict_quantile(train, model, ["a", "b"]).toPandas()
-    assert loss(scored.target, scored.prediction, 0.7) < 0.7 * loss(scored.target, model.start, 0.7)
+    scored = trees.predict(train, model, [], ["a", "b"]).toPandas()
+    start = model.where("tree = 0").first()["value"]
+    assert loss(scored.target, scored.prediction, 0.7) < 0.7 * loss(scored.target, start, 0.7)
     assert 0.6 < (scored.target <= scored.prediction).mean() < 0.85
 
 
 @pytest.mark.parametrize("alphas", [None, [0.5, 0.9]])
 def test_trees_per_sku_beat_a_constant(data, frame, alphas):
-    got = trees.fit_predict_series(frame, ["productID", "storeID"], alphas, ["a", "b"], "target",
-                                   {**TREES, "min_child_weight": 5}).toPandas()
+    keys = ["productID", "storeID"]
+    table = trees.fit_series(frame.where("split = 'train'"), keys, alphas, ["a", "b"], "target", {**TREES, "min_child_weight": 5})
+    got = trees.predict(frame.where("split = 'test'"), table, keys, ["a", "b"]).toPandas()
     assert len(got) == (len(alphas) if alphas else 1) * (data.split == "test").sum()
     train = data[data.split == "train"]
     for alpha in alphas or [None]:
@@ -157,8 +159,10 @@ def test_first_cut_of_a_series_tree_by_brute_force():
     rng = np.random.default_rng(3)
     x, g = rng.integers(0, 20, (60, 3)).astype(float), rng.normal(size=60)
     g[x[:, 1] > 11] += 3
-    bins, _ = trees._bins(x, x[:1])
-    leaf, _ = trees._grow(bins, g, bins[:1], 1, 4, 0.0)
+    bins, borders = trees._bins(x)
+    leaf, cuts = trees._grow(bins, g, 1, 4, 0.0)
+    nodes = np.array(trees._nodes_of(0, cuts, borders, {0: 1.0, 1: 2.0}))
+    assert (trees._evaluate(nodes, x) == leaf + 1.0).all()
 
     def gain(mask):
         return g[mask].sum() ** 2 / mask.sum() + g[~mask].sum() ** 2 / (~mask).sum()
