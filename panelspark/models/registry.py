@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -47,6 +48,8 @@ class ModelType:
     description: str = ""
 
 
+LEVELS_AT_ONCE = 4
+
 _TYPES: dict[str, ModelType] = {}
 
 
@@ -111,7 +114,9 @@ def _gbt_fit(train, s):
 def _gbt_quantile_fit(train, s):
     if s.keys:
         return _gbt_fit(train, s)
-    tables = [trees.fit_quantile(train, a, s.features, s.target, s.params) for a in s.alphas]
+    # Levels are independent chains of small jobs; side by side they share the executors.
+    with ThreadPoolExecutor(max_workers=LEVELS_AT_ONCE) as pool:
+        tables = list(pool.map(lambda a: trees.fit_quantile(train, a, s.features, s.target, s.params), s.alphas))
     return reduce(DataFrame.unionByName, tables)
 
 
