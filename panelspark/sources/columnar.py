@@ -26,8 +26,12 @@ def load(spark: SparkSession, config: DataConfig) -> tuple[DataFrame, DataFrame]
 
 
 def write_features(df: DataFrame, path: str, partition_by=("storeID",)) -> None:
-    """Write processed features; store folders let a later SKU filter prune files."""
-    df.write.partitionBy(*partition_by).parquet(path)
+    """Write processed features; store folders let a later SKU filter prune files.
+
+    Rows meet by folder first, or each task would write a file into each; a folder with very many
+    rows is split by adaptive execution.
+    """
+    df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

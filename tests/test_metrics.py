@@ -14,17 +14,18 @@ def pairs(spark, y, p, alpha=None):
 
 
 def test_regression_metrics_closed_form(spark):
-    row = metrics.score(pairs(spark, [1, 2, 3, 4, 5], [1.1, 1.9, 3.2, 3.8, 5.1]), [], ("regression", "extended")).first()
-    assert row["mse"] == pytest.approx(0.022, abs=1e-10)
-    assert row["rmse"] == pytest.approx(np.sqrt(0.022), abs=1e-10)
-    assert row["mae"] == pytest.approx(0.14, abs=1e-10)
-    assert row["within_1_unit"] == 100
-    assert row["r2"] == pytest.approx(1 - 5 * 0.022 / 10)
+    # Errors -3, 1, 0 and 4 around targets whose squared deviations sum to 56.
+    row = metrics.score(pairs(spark, [6, 8, 10, 16], [9, 7, 10, 12]), [], ("regression", "extended")).first()
+    assert row["mse"] == pytest.approx(26 / 4)
+    assert row["rmse"] == pytest.approx(np.sqrt(6.5))
+    assert row["mae"] == pytest.approx(8 / 4)
+    assert row["within_1_unit"] == 50
+    assert row["r2"] == pytest.approx(1 - 26 / 56)
 
 
 def test_mape_leaves_out_zero_targets(spark):
-    row = metrics.score(pairs(spark, [0, 1, 2, 0, 3], [0.1, 1.1, 1.9, 0.2, 3.1]), [], ("extended",)).first()
-    assert row["mape"] == pytest.approx(100 * np.mean([0.1, 0.05, 0.1 / 3]))
+    row = metrics.score(pairs(spark, [4, 0, 10], [5, 7, 8]), [], ("extended",)).first()
+    assert row["mape"] == pytest.approx((25 + 20) / 2)
 
 
 def test_flat_target_has_no_r2(spark):
@@ -32,10 +33,11 @@ def test_flat_target_has_no_r2(spark):
 
 
 def test_tuning_loss(spark):
-    df = pairs(spark, [1, 2, 3, 4, 5], [1.5, 2.5, 2.0, 4.5, 4.0], 0.7)
+    # Two units short cost 2 * 0.7, three too many cost 3 * 0.3.
+    df = pairs(spark, [7, 7], [5, 10], 0.7)
     loss = df.agg(F.avg(pinball(F.col("target"), F.col("prediction"), 0.7))).first()[0]
-    assert loss == pytest.approx(0.37)
-    assert metrics.score(df, []).first()["mse"] == pytest.approx(0.55)
+    assert loss == pytest.approx((1.4 + 0.9) / 2)
+    assert metrics.score(df, []).first()["mse"] == pytest.approx((4 + 9) / 2)
 
 
 def test_report_loss_rounds_half_to_even(spark):
@@ -61,10 +63,10 @@ def test_coverage(spark):
 
 def test_performance_summary(spark):
     long = spark.createDataFrame(
-        [("rmse", 10.0), ("rmse", 12.0), ("mae", 7.5), ("coverage", 0.89)], "metric string, value double")
+        [("mse", 2.0), ("mse", 9.0), ("mse", 4.0), ("bias", -1.5)], "metric string, value double")
     got = {r["metric"]: r for r in summaries.performance_summary(long).collect()}
-    assert (got["rmse"]["mean"], got["rmse"]["min"], got["rmse"]["max"], got["rmse"]["value"]) == (11, 10, 12, None)
-    assert (got["mae"]["value"], got["mae"]["mean"]) == (7.5, None)
+    assert (got["mse"]["mean"], got["mse"]["min"], got["mse"]["max"], got["mse"]["value"]) == (5, 2, 9, None)
+    assert (got["bias"]["value"], got["bias"]["mean"]) == (-1.5, None)
 
 
 def test_population_and_sample_deviation(spark):
@@ -76,11 +78,10 @@ def test_population_and_sample_deviation(spark):
 
 def test_rank_models(spark):
     long = spark.createDataFrame(
-        [("model_1", "mse", .5), ("model_2", "mse", .6), ("model_3", "mse", .4),
-         ("model_1", "r2", .8), ("model_2", "r2", .75), ("model_3", "r2", .85)],
+        [("p", "mse", 9.0), ("q", "mse", 1.0), ("p", "r2", 0.9), ("q", "r2", 0.1)],
         "model string, metric string, value double")
     got = summaries.rank_models(long).orderBy("metric", "rank").collect()
-    assert [r["model"] for r in got] == ["model_3", "model_1", "model_2"] * 2
+    assert [(r["metric"], r["model"]) for r in got] == [("mse", "q"), ("mse", "p"), ("r2", "p"), ("r2", "q")]
 
 
 def test_relative_differences(spark):
