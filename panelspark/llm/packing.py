@@ -105,6 +105,7 @@ def _cutter(path: str, capacity: int, end_id: int, keep_ids: bool, id_type: pa.D
                         out.append(row + (np.frombuffer(piece, "<u4").astype(np.int32),) if keep_ids else row)
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        encoder.forget()
 
     return cut
 

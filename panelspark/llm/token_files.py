@@ -126,6 +126,7 @@ def _shard_writer(tokenizer: str, folder: str, end_id: int, id_type: pa.DataType
                         offset += len(raw) // 4
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        encoder.forget()
 
     return write
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 
 import numpy as np
@@ -13,21 +14,31 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORDS_PER_CALL = 2_000
 _LONG_WORD = 64
 
+# Bytes as the letters of byte-level models: printable ones stand for themselves, the others for 256 and on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_PROBES = ("word", "\u00c9cole,", "stra\u00dfe", "THE!!", "a.", "\u0142\u00f3d\u017a")
+
 
 class WordEncoder:
     """Encodes texts word by word and remembers the ids of words, at most ``cache_words`` of them.
 
     For tokenizers that drop white space and lower the case: no token spans white space, so the ids of a
-    text are those of its words in order. Most words are looked up. When the memory is full it starts anew.
+    text are those of its words in order. Most words are looked up. When the memory is full, only the
+    words of the texts just encoded stay: the frequent ones are among them.
     """
 
-    def __init__(self, path: str, cache_words: int = 1_000_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
         self.known: dict[str, bytes] = {}
+        # Whether this tokenizer's model may be asked directly; _simple() says for which words.
+        self.direct = False
+        self.direct = all(self._simple(w) == self._whole(w) for w in _PROBES)
+        self.recent: list[str] = []
 
     @classmethod
     def of_worker(cls, path: str) -> WordEncoder:
@@ -39,7 +50,37 @@ class WordEncoder:
             kept[path] = cls(path)
         return kept[path]
 
+    def forget(self) -> None:
+        """Keep only the words of the texts just encoded; also at the end of a task, as idle workers hold memory."""
+        self.known = {w: self.known[w] for w in self.recent if w in self.known}
+        self.recent = []
+
+    def _model(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(_LETTERS)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], dtype="<u4").tobytes()
+
+    def _simple(self, word: str) -> bytes | None:
+        """Ids of Latin letters, with ASCII signs behind them or not: the pre-tokenizer makes one piece of
+        each. Below U+0250 normal form and lower case go letter by letter. None for other words."""
+        base = word.rstrip(string.punctuation)
+        if len(word) > _LONG_WORD or not base.isalpha() or max(base) >= "\u0250" or "\u0130" in base:
+            return None
+        base, signs = base.lower(), word[len(base):]
+        for part in (base, signs):
+            if part and part not in self.known:
+                self.known[part] = self._model(part)
+        return self.known[base] + self.known[signs] if signs else self.known[base]
+
     def _learn(self, words: list[str]) -> None:
+        if self.direct:
+            other = []
+            for word in words:
+                ids = self._simple(word)
+                if ids is None:
+                    other.append(word)
+                else:
+                    self.known[word] = ids
+            words = other
         for i in range(0, len(words), _WORDS_PER_CALL):
             part = words[i:i + _WORDS_PER_CALL]
             coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -57,8 +98,6 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null as empty."""
-        if len(self.known) > self.cache_words:
-            self.known = {}
         words, ends, whole = [], [], {}
         for i, text in enumerate(texts):
             if text and _SEPARATORS.search(text):
@@ -76,7 +115,10 @@ class WordEncoder:
                 found[i] = self.known[words[i]]
             for word in new:
                 if len(word) > _LONG_WORD:
-                    del self.known[word]
+                    self.known.pop(word, None)
+        self.recent = words
+        if len(self.known) > self.cache_words:
+            self.forget()
         out, begin = [], 0
         for end in ends:
             out.append(b"".join(found[begin:end]))

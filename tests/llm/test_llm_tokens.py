@@ -26,9 +26,10 @@ def whole(tokenizer, text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="aBé'sS. \t\n\r\x0b\x1c\x85\xa0   　́İΣ<|endoftx>9_!!", max_size=40), max_size=4))
+@given(st.lists(st.text(alphabet="aBéÑßżĶ,.'sS. \t\n\r\x0b\x1c\x85\xa0   　́İΣ<|endoftx>9_!!", max_size=40), max_size=4))
 def test_words_encode_like_whole_texts(tokenizer, texts):
     encoder = WordEncoder(catalog.TOKENIZER, cache_words=5)
+    assert encoder.direct
     assert encoder.encode(texts) == [whole(tokenizer, t) for t in texts]
     assert encoder.encode([*texts, None]) == [whole(tokenizer, t) for t in [*texts, None]]
 
