@@ -1,4 +1,5 @@
-"""Repeated passages: every run of consecutive sentences is hashed, and only its first place keeps it."""
+"""Repeated passages: every run of consecutive sentences and every long run of words that may repeat is hashed, and
+only its first place keeps it."""
 
 from __future__ import annotations
 
@@ -11,17 +12,25 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import Stored
+from panelspark.llm.decontaminate import grams
 from panelspark.llm.tokens import slices
 
 SENTENCES = 2
 WORDS = 12
 MAX_SENTENCE_WORDS = 24
+# So many equal words in a row are a passage wherever sentences end.
+PASSAGE_WORDS = 51
 # A longer sentence is cut after words whose checksum this divides, so that equal passages are cut alike.
 _CUT = 12
 
 # A sentence ends after . ! ? (and closing marks) before white space, or at a line end.
 _END = re.compile(r"""[.!?]+["')\]»”’]*(?=\s)|\n""")
 _WORD = re.compile(r"\S+")
+_SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
+
+# Words of the grams that stand for a passage, and passages looked at together.
+_GRAM = 16
+_AT_ONCE = 20_000
 
 
 def sentences(text: str, most_words: int = MAX_SENTENCE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -64,13 +73,45 @@ def runs(n_words: np.ndarray, least_sentences: int, least_words: int) -> np.ndar
     return np.where(stop <= count, stop, -1)
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word, lower-cased: the sum of its letters, each mixed with its place in the word."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    at = np.flatnonzero(~_SPACE[np.minimum(points, len(_SPACE) - 1)])
+    if not len(at):
+        return np.empty(0, np.uint64)
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return _mix(np.add.reduceat(_mix(points[at].astype(np.uint64) | (place.astype(np.uint64) + np.uint64(1)) << np.uint64(32)), first))
+
+
+def marks(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each gram, and for each passage which of its grams has the least hash.
+
+    The choice depends on the passage's own words only: equal passages have equal marks.
+    """
+    size = min(_GRAM, passage)
+    if len(words) < passage:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    small = grams(words, size)
+    window = np.lib.stride_tricks.sliding_window_view(small, passage - size + 1)
+    least = [window[i:i + _AT_ONCE].argmin(axis=1) for i in range(0, len(window), _AT_ONCE)]
+    return small, np.arange(len(window)) + np.concatenate(least)
+
+
 def _hash_runs(joined: list[str], stop: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest("\n".join(joined[i:s])) for i, s in enumerate(stop.tolist()) if s > 0], np.uint64)
 
 
 def _spans(rows: DataFrame, settings) -> DataFrame:
-    """hash, doc_id, text_hash and sentence (where the run starts) of every run."""
-    least_sentences, least_words, most = settings
+    """hash, doc_id, text_hash and sentence (where the run starts) of every run; -1 - word for the mark of a passage."""
+    least_sentences, least_words, most, passage = settings
 
     def hashed(batches):
         for batch in batches:
@@ -80,16 +121,69 @@ def _spans(rows: DataFrame, settings) -> DataFrame:
                     *_, n, joined = sentences(text or "", most)
                     stop = runs(n, least_sentences, least_words)
                     at = np.flatnonzero(stop > 0)
+                    small, mark = marks(word_hashes(text or ""), passage)
+                    mark = np.unique(mark)
+                    counts.append(len(at) + len(mark))
+                    found.append((np.concatenate([_hash_runs(joined, stop), small[mark]]), np.concatenate([at, -1 - mark])))
+                yield _placed(part, found, counts)
+
+    return rows.mapInArrow(hashed, _PLACES.format(rows.schema["doc_id"].dataType.simpleString()))
+
+
+_PLACES = "hash long, doc_id {}, text_hash long, sentence int"
+
+
+def _placed(part, found, counts):
+    h, at = (np.concatenate(c) for c in zip(*found))
+    of = pa.array(np.repeat(np.arange(len(counts)), counts))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h.view(np.int64)), part.column("doc_id").take(of), part.column("text_hash").take(of), pa.array(at.astype(np.int32))],
+        names=["hash", "doc_id", "text_hash", "sentence"])
+
+
+def _passages(rows: DataFrame, settings) -> DataFrame:
+    """hash, doc_id, text_hash and sentence (-1 - first word) of each passage whose mark is one of the text's ``starts``."""
+    passage = settings[-1]
+
+    def hashed(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found, counts = [], []
+                for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist()):
+                    words = word_hashes(text)
+                    _, mark = marks(words, passage)
+                    at = np.flatnonzero(np.isin(mark, -1 - np.array(starts, np.int64)))
                     counts.append(len(at))
-                    found.append((_hash_runs(joined, stop).view(np.int64), at.astype(np.int32)))
-                h, at = (np.concatenate(c) for c in zip(*found))
-                of = pa.array(np.repeat(np.arange(len(counts)), counts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), part.column("doc_id").take(of), part.column("text_hash").take(of), pa.array(at)],
-                    names=["hash", "doc_id", "text_hash", "sentence"])
+                    found.append((grams(words, passage)[at], -1 - at))
+                yield _placed(part, found, counts)
+
+    return rows.mapInArrow(hashed, _PLACES.format(rows.schema["doc_id"].dataType.simpleString()))
+
+
+def _repeated(spans: Stored, name: str) -> Stored:
+    """The places of the spans that stand at more than one."""
+    repeated = Stored(spans.df.groupBy("hash").count().where(F.col("count") > 1).select("hash"), f"repeated{name}")
+    hits = Stored(spans.df.join(repeated.df, "hash"), f"hits{name}")
+    for s in (spans, repeated):
+        s.delete()
+    return hits
+
+
+def _later(hits: DataFrame, name: str) -> Stored:
+    """The places of each span but the first."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", F.abs("sentence").alias("sentence"))
+    first = Stored(hits.groupBy("hash").agg(F.min(place).alias("first")), f"first_places{name}")
+    later = hits.join(first.df, "hash").where(place != F.col("first")).select("doc_id", "text_hash", "sentence")
+    later = Stored(later, f"later{name}")
+    first.delete()
+    return later
 
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(hashed, f"hash long, doc_id {id_type}, text_hash long, sentence int")
+
+def _by_text(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """doc_id, text_hash, text and starts, the places of each text."""
+    starts = Stored(places.groupBy("doc_id", "text_hash").agg(F.collect_set("sentence").alias("starts")), "starts").df
+    same = rows["text_hash"].eqNullSafe(starts["text_hash"]) & rows["doc_id"].eqNullSafe(starts["doc_id"])
+    return rows.join(starts, same, how).select(rows["doc_id"], rows["text_hash"], "text", "starts")
 
 
 _OUT = "doc_id {}, text string, n_sentences long, n_removed long, removed array<struct<start:bigint,stop:bigint>>"
@@ -97,27 +191,37 @@ _REMOVED = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def _cutter(settings):
-    least_sentences, least_words, most = settings
+    least_sentences, least_words, most, passage = settings
 
     def cut(text: str, starts: list[int]):
-        begin, end, n, _ = sentences(text, most)
+        *_, n, _ = sentences(text, most)
+        if not starts:
+            return text, len(n), 0, []
         stop = runs(n, least_sentences, least_words)
         covered = np.zeros(len(n) + 1, np.int64)
         for s in starts:
-            covered[s] += 1
-            covered[stop[s]] -= 1
-        gone = np.cumsum(covered)[:-1] > 0
+            if s >= 0:
+                covered[s] += 1
+                covered[stop[s]] -= 1
+        in_runs = np.cumsum(covered)[:-1] > 0
+        begin, end = np.array([m.span() for m in _WORD.finditer(text)], np.int64).T
+        covered = np.zeros(len(begin) + 1, np.int64)
+        for s in starts:
+            if s < 0:
+                covered[-1 - s] += 1
+                covered[-1 - s + passage] -= 1
+        gone = np.repeat(in_runs, n) | (np.cumsum(covered)[:-1] > 0)
         edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         kept, removed, at = [], [], 0
         for a, b in zip(first.tolist(), last.tolist()):
-            # Up to the next sentence, so that no gap is left behind.
+            # Up to the next word, so that no gap is left behind.
             stop_at = int(begin[b]) if b < len(begin) else len(text)
             kept.append(text[at:int(begin[a])])
             removed.append({"start": int(begin[a]), "stop": int(end[b - 1])})
             at = stop_at
         kept.append(text[at:])
-        return "".join(kept).rstrip() if removed else text, len(n), int(gone.sum()), removed
+        return "".join(kept).rstrip() if removed else text, len(n), int(in_runs.sum()), removed
 
     def cut_all(batches):
         for batch in batches:
@@ -133,32 +237,30 @@ def _cutter(settings):
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = SENTENCES,
-                   least_words: int = WORDS, most_words: int = MAX_SENTENCE_WORDS) -> DataFrame:
-    """doc_id, text without repeated passages, n_sentences, n_removed and removed (spans of the whole text).
+                   least_words: int = WORDS, most_words: int = MAX_SENTENCE_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, text without repeated passages, n_sentences, n_removed (sentences in repeated runs) and removed (spans
+    of the whole text).
 
     From each sentence, the shortest run of at least ``least_sentences`` sentences and ``least_words`` words is a
-    span; words are compared without regard to case and white space. The first place of a span, by id
-    (null last), text hash and position, keeps it; the sentences of all other places go, in the same
-    document too. Rows equal in id and text count as one place. A null text stays null, an empty one
-    empty; an empty table gives no rows. Other columns are not read.
+    span, and so are any ``passage_words`` words in a row, wherever sentences end; words are compared without regard
+    to case and white space. The first place of a span, by id (null last), text hash and position, keeps it; the
+    words of all other places go, in the same document too. Rows equal in id and text count as one place. A null
+    text stays null, an empty one empty; an empty table gives no rows. Other columns are not read.
 
-    Spans are counted, map-side first; only places of repeated ones go on. A span that a third of all
-    documents hold is split by adaptive execution: both sides of each join are plain scans.
+    Spans are counted, map-side first; only places of repeated ones go on. Of passages only the marks are counted at
+    first, about one in eighteen words; passages whose mark repeats are then hashed from each word. A span that a
+    third of all documents hold is split by adaptive execution: both sides of each join are plain scans.
     """
-    settings = (least_sentences, least_words, most_words)
+    settings = (least_sentences, least_words, most_words, passage_words)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    spans = Stored(_spans(rows, settings), "spans")
-    repeated = Stored(spans.df.groupBy("hash").count().where(F.col("count") > 1).select("hash"), "repeated")
-    hits = Stored(spans.df.join(repeated.df, "hash"), "hits")
-    spans.delete()
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "sentence")
-    first = Stored(hits.df.groupBy("hash").agg(F.min(place).alias("first")), "first_places")
-    later = hits.df.join(first.df, "hash").where(place != F.col("first"))
-    starts = later.groupBy("doc_id", "text_hash").agg(F.collect_set("sentence").alias("starts"))
-    starts = Stored(starts, "starts").df
-    for s in (repeated, hits, first):
+    hits = _repeated(Stored(_spans(rows, settings), "spans"), "")
+    marked = _by_text(rows, hits.df.where(F.col("sentence") < 0), "inner")
+    passages = _repeated(Stored(_passages(marked, settings), "passages"), "_passages")
+    later = [_later(hits.df.where(F.col("sentence") >= 0), ""), _later(passages.df, "_passages")]
+    hits.delete()
+    passages.delete()
+    both = _by_text(rows, later[0].df.unionByName(later[1].df), "left").select("doc_id", "text", "starts")
+    for s in later:
         s.delete()
-    same = rows["text_hash"].eqNullSafe(starts["text_hash"]) & rows["doc_id"].eqNullSafe(starts["doc_id"])
-    both = rows.join(starts, same, "left").select(rows["doc_id"], "text", "starts")
     return both.mapInArrow(_cutter(settings), _OUT.format(id_type))

@@ -163,6 +163,27 @@ def test_span_of_odd_rows(spark):
     assert sentence_spans.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_go_whole_in_any_surroundings(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passages = [[word() for _ in range(51)] for _ in range(12)]
+    passages[1][10] += "."
+    passages[2][25] += "."
+    passages[3][20] += "!"
+    passages[3][30] += "?"
+    rows = []
+    for i, p in enumerate(passages):
+        for k in range(3):
+            around = [word() for _ in range(rng.randrange(1, 60))], [word() for _ in range(rng.randrange(1, 60))]
+            rows.append((100 * k + i, *(" ".join(x) for x in around), (" " if k else "\t").join(p if k < 2 else [w.upper() for w in p])))
+    short = " ".join(passages[0][:50])
+    docs = [(i, f"{a} {p} {b}") for i, a, b, p in rows]
+    docs += [(1000 + i, f"{word()} {' '.join(word() for _ in range(50))} {word()}") for i in range(3)] + [(2000, short)]
+    got = {r.doc_id: r.text for r in sentence_spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i] == (f"{a} {p} {b}" if i < 100 else f"{a} {b}") for i, a, b, p in rows)
+    assert all(got[i] == text for i, text in docs if 1000 <= i < 2000)
+
+
 # ---- page text --------------------------------------------------------------------------
 
 @pytest.mark.parametrize("html,text", [
