@@ -31,8 +31,10 @@ ENDS = {
 _SCOPE = frozenset("html table td th caption template object".split())
 _HEAD = frozenset("html head title meta link base style script noscript template".split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""")
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+# A quote opens a string only directly after the = of an attribute; one that never closes goes up to the first >.
+_VALUE = r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|["'][^>]*+|[^\s>]++)?+"""
+_TAG = re.compile(rf"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?+[^\s=/>]++(?:{_VALUE})?+|=)*+)>""")
+_ATTRIBUTE = re.compile(r"""(=?[^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(["'][^>]*|[^\s>]+)))?""")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BLANK = re.compile(r"[ \t\n\f\r]+")
 

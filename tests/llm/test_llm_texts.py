@@ -198,6 +198,17 @@ def test_layout(html, text):
     assert html_text.render(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<a title=Bob's href=x>Text</a> more text", "Text more text"),
+    ("<a title=Bob's href=x>Text</a> we don't lose > this", "Text we don't lose > this"),
+    ("<a b'c>T</a> isn't > cut", "T isn't > cut"), ("<a b='c'd'>T</a> isn't > cut", "T isn't > cut"),
+    ("<a b = '>' c=\">\">T</a> x", "T x"), ("<a b='c>T</a> x", "T x"), ("<a b=\"c>T<i>u</i> x", "Tu x"),
+    ("<p hidden'>a<p b=it's style='display:none'>n<p/ hidden>m<p =\"'>z", "a\n\nz"), ("<a b=>T</a =x>u", "Tu"),
+    ("<a b=\"c d='>it's > here", "it's > here"), ("<p b='c hidden>x", "x"), ("</p a='>'>x", "x"), ("<a b==\"c>\">T", "\">T")])
+def test_quotes_in_tags(html, text):
+    assert html_text.render(html) == text
+
+
 def test_deep_and_broken_pages():
     assert html_text.render("<div>" * 50_000 + "x") == "x"
     assert html_text.render("<ul><li>" * 3_000 + "x").endswith("- x")
