@@ -136,25 +136,35 @@ def held_out(doc_id) -> F.Column:
 def sample(docs: DataFrame, text_col: str, lang_col: str, most: int, windows_per_doc: int):
     """Windows and labels of at most ``most`` documents, as many of each language as there are.
 
-    The documents with the least hashes of their texts are taken, and windows at even distances in them.
-    Only these windows come to the driver, at most most * windows_per_doc * WINDOW characters.
+    The distinct texts with the least hashes are taken, and windows at even distances in them. Only these windows come
+    to the driver, at most most * windows_per_doc * WINDOW characters, or one text's of each language if there are
+    more than ``most`` languages. Ranked are only hashes below a bound, set from the count of a language's texts so
+    that about twice as many as wanted lie below it: no task holds a language.
     """
     from pyspark.sql import Window as W
 
     texts = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    langs = sorted(r["lang"] for r in texts.select("lang").distinct().limit(most).collect())
+    counts = {r["lang"]: r["count"] for r in texts.select("lang", "hash").distinct().groupBy("lang").count().collect()}
+    langs = sorted(counts)
     if not langs:
         return [], np.empty((0, WINDOW), np.uint8), np.empty(0, np.int64)
     step = F.greatest(F.lit(0), (F.length("text") - WINDOW) / F.lit(max(1, windows_per_doc - 1)))
     parts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(windows_per_doc - 1)), lambda i: F.substring(
         F.col("text"), (i * step).cast("int") + 1, F.lit(WINDOW))))
+    each = max(1, most // len(langs))
+    # Hashes spread evenly from -2**63 on; 2 * each + 100 or more are expected below the bound.
+    bounds = {x: int((2 * each + 100) / n * 2.0**64) - 2**63 for x, n in counts.items() if n > 2 * each + 100}
+    spark = docs.sparkSession
+    bound = spark.createDataFrame(list(bounds.items()), "lang string, bound long")
+    low = texts.join(bound, "lang", "left").where(F.col("bound").isNull() | (F.col("hash") <= F.col("bound")))
+    low = low.select("lang", "hash", parts.alias("parts")).dropDuplicates(["lang", "hash"])
     least = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
-    rows = texts.select("lang", "hash", parts.alias("parts")).withColumn("nth", least).where(
-        F.col("nth") <= max(1, most // len(langs))).select("lang", F.explode("parts").alias("part")).collect()
+    rows = low.withColumn("nth", least).where(F.col("nth") <= each).select("lang", F.explode("parts").alias("part")).collect()
     rows = sorted((r["lang"], r["part"]) for r in rows)
     windows = np.concatenate([windows_of(p.encode()[:WINDOW]) for _, p in rows])
-    return langs, windows, np.array([langs.index(x) for x, _ in rows], np.int64)
+    place = {x: i for i, x in enumerate(langs)}
+    return langs, windows, np.array([place[x] for x, _ in rows], np.int64)
 
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS,

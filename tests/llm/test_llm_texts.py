@@ -22,6 +22,18 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_sample_takes_each_text_once_and_every_language(spark):
+    copies = [(f"text number {i}", "x") for i in range(60) for _ in range(40)] + [(f"other {i}", "y") for i in range(900)]
+    docs = spark.createDataFrame(copies, "text string, lang string")
+    langs, windows, labels = language.sample(docs, "text", "lang", 40, 1)
+    assert langs == ["x", "y"] and np.bincount(labels).tolist() == [20, 20]
+    assert len({w.tobytes() for w in windows}) == 40
+    least = docs.where("lang = 'y'").select("text").distinct().orderBy(F.xxhash64("text")).limit(20).collect()
+    assert {w.tobytes().rstrip(b"\0").decode() for w, y in zip(windows, labels) if y == 1} == {r.text for r in least}
+    langs, _, labels = language.sample(docs.withColumn("lang", F.col("text")), "text", "lang", 40, 1)
+    assert len(langs) == 960 and np.bincount(labels).tolist() == [1] * 960
+
+
 def test_language_of_odd_texts(spark):
     rows = [(1, "aa bb " * 300, "x"), (2, "öö ßß " * 300, "y"), (3, None, "x"), (4, "12 !!", "y"), (None, "aa bb aa", None), (2, "öö ßß " * 30_000, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS letters", "2 AS score")
