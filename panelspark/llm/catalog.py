@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import decontaminate, html_text, language, packing, quality, secrets, sentence_spans, simhash, statements, token_files, url_filter
+from panelspark.llm import decontaminate, filter_audit, html_text, language, packing, quality, secrets, sentence_spans, simhash, statements, token_files, url_filter
 from panelspark.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -125,3 +125,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query(statements.filter_audit())
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.llm import quality, secrets
+from panelspark.llm import filter_audit as filter_audit_, quality, secrets
 
 
 def _text(value: str) -> str:
@@ -82,3 +82,33 @@ def quality_rules() -> str:
       FROM counted k LEFT JOIN chosen c USING (stratum))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by,
            NOT base_failed AND rejected_by = '' AS kept FROM judged"""
+
+
+def filter_audit() -> str:
+    """Masks by plain conditions, copies by a window over equal texts, orders by a join of the letters with themselves."""
+    word = _text("[^\\x20\\x09-\\x0D]+")
+    letters = ", ".join(f"('{f}', {1 << i})" for i, f in enumerate(filter_audit_.FILTERS))
+    return f"""
+    WITH RECURSIVE d AS MATERIALIZED (
+      SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {word}) AS ws FROM documents),
+    masked AS MATERIALIZED (
+      SELECT doc_id, part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+             + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+    truth AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+    counted AS MATERIALIZED (SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+                FROM masked LEFT JOIN truth USING (doc_id) GROUP BY ALL),
+    letters(f, bit) AS (VALUES {letters}),
+    orders AS (SELECT f AS o, bit AS used FROM letters UNION ALL
+               SELECT o || f, used + bit FROM orders JOIN letters ON used & bit = 0),
+    whole AS (SELECT o FROM orders WHERE length(o) = 5),
+    steps AS (SELECT o, i AS step, f, bit, coalesce((SELECT sum(b.bit) FROM letters b WHERE position(b.f IN substr(o, 1, i - 1)) > 0), 0)::INT AS before
+              FROM whole, range(1, 6) r(i) JOIN letters ON f = substr(o, i, 1)),
+    each AS (SELECT part, o, step, n, good, toxic, mask, bit, mask & bit <> 0 AS fails, mask & before <> 0 AS gone FROM counted, steps)
+    SELECT part, o AS filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+           coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+           coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0)::BIGINT AS good_lost,
+           coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost,
+           coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (fails), 0)::BIGINT AS shapley
+    FROM each GROUP BY part, o, step"""
