@@ -22,7 +22,7 @@ SYMBOLS = b"#$%&*|"
 LEVELS = (4, 16, 64, 256, 1024)
 MOST_PREFIXES = 4096
 ROWS_PER_PREFIX = 100
-ROWS_PER_RANGE = 20_000
+LENGTH_PER_RANGE = 32 << 20
 _CHUNK_BYTES = 16 << 20
 
 _NOT_CAPITAL = bytes(set(range(256)) - set(range(65, 91)))
@@ -113,15 +113,15 @@ def _key(text: Column, crowded: dict[int, list[int]]) -> Column:
     return F.coalesce(key, F.concat(F.substring(text, 1, LEVELS[-1]).cast("binary"), digest))
 
 
-def plan_ranges(texts: DataFrame, rows_per_prefix: int, rows_per_range: int) -> tuple[Column, list[bytes]]:
+def plan_ranges(texts: DataFrame, rows_per_prefix: int, length_per_range: int) -> tuple[Column, list[bytes]]:
     """The key of column ``text``, and the least keys of the ranges in order.
 
     Rows are counted for each prefix of each length; only crowded ones reach the driver, at most
-    MOST_PREFIXES of each length. Then Spark orders the distinct keys, each as often as its rows weigh, and
+    MOST_PREFIXES of each length. Then Spark orders the distinct keys, each as often as its texts weigh, and
     the first key of each range is taken.
     """
-    total = texts.count()
     text = F.col("text")
+    total, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
     limit = max(rows_per_prefix, total // MOST_PREFIXES)
     levels = [F.when(F.length(text) > before, F.struct(
         F.lit(n).alias("level"), F.xxhash64(F.substring(text, 1, n) if n else text).alias("hash")))
@@ -131,9 +131,9 @@ def plan_ranges(texts: DataFrame, rows_per_prefix: int, rows_per_range: int) ->
     for r in found.where(F.col("count") > limit).collect():
         crowded.setdefault(r["level"], []).append(r["hash"])
     key = _key(text, crowded)
-    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_range))
-    weight = F.when(F.hex(F.substring("key", 1, 1)) == "FF", 1).otherwise(F.ceil(F.col("count") * (8 * n / max(1, total))))
-    weighed = texts.select(key.alias("key")).groupBy("key").count().select(
+    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // length_per_range))
+    weight = F.when(F.hex(F.substring("key", 1, 1)) == "FF", 1).otherwise(1 + F.floor(F.col("size") * (8 * n / max(1, size))))
+    weighed = texts.select(key.alias("key"), F.length(text).alias("size")).groupBy("key").agg(F.sum("size").alias("size")).select(
         "key", F.explode(F.sequence(F.lit(1).cast("long"), weight.cast("long"))))
     first = weighed.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("at")).agg(F.min("key").alias("key"))
     return key, sorted({bytes(r["key"]) for r in first.collect()})
@@ -156,7 +156,7 @@ def _batch(rows: list[tuple], schema: pa.Schema):
 
 
 def masks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang",
-          rows_per_prefix: int = ROWS_PER_PREFIX, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+          rows_per_prefix: int = ROWS_PER_PREFIX, length_per_range: int = LENGTH_PER_RANGE) -> DataFrame:
     """doc_id, part, mask and n: rows by the filters they fail (bit i: the i-th of ABCDE), equal ones counted.
 
     E is found in tries over whole texts. A task first merges the copies among its own rows: all but the
@@ -165,7 +165,7 @@ def masks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    key, bounds = plan_ranges(rows.select("text"), rows_per_prefix, rows_per_range)
+    key, bounds = plan_ranges(rows.select("text"), rows_per_prefix, length_per_range)
     ranges = max(1, len(bounds))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     keyed = rows.select("doc_id", "part", "text", F.length("text").alias("points"), key.alias("key"))

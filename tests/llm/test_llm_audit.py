@@ -64,7 +64,7 @@ def test_beside_all_pairs(spark, monkeypatch, seed, crowd):
     monkeypatch.setattr(filter_audit, "_CHUNK_BYTES", 200_000)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"mask": F.lit(1), "n": F.lit(5)}).repartition(5)
     truth = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = filter_audit.audit(docs, truth, rows_per_prefix=crowd, rows_per_range=20).collect()
+    got = filter_audit.audit(docs, truth, rows_per_prefix=crowd, length_per_range=20_000).collect()
     assert {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in got} == brute(rows, labels)
     assert len(got) == len({(r.part, r.filter_order, r.step) for r in got})
 
@@ -89,7 +89,7 @@ def test_trie_keeps_least_ids_of_whole_texts():
 
 def test_prefixes_adapt_to_crowds(spark):
     docs = spark.createDataFrame([(f"shared beginning of many texts {i:04d}",) for i in range(2000)] + [("copy",)] * 2000, "text string")
-    key, bounds = filter_audit.plan_ranges(docs, 50, 100)
+    key, bounds = filter_audit.plan_ranges(docs, 50, 2000)
     rows = docs.select("text", key.alias("key")).distinct().collect()
     assert len({bytes(r.key) for r in rows}) > 1000 and len(bounds) > 20
     assert [bytes(r.key)[0] for r in rows if r.text == "copy"] == [0xFF]
