@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import decontaminate, filter_audit, hard_negatives, html_text, language, packing, quality, secrets, sentence_spans, simhash, statements, token_files, url_filter
+from panelspark.llm import decontaminate, filter_audit, hard_negatives, html_text, language, packing, quality, secrets, sentence_spans, simhash, statements, token_files, toxicity, url_filter
 from panelspark.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -135,3 +135,8 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(statements.hard_negatives())
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
