@@ -120,14 +120,14 @@ def _first(scores: np.ndarray, good: np.ndarray, k: int):
     return row[kept], column[kept]
 
 
-def search(tree: CoverTree, queries: np.ndarray, labels: np.ndarray, same: bool, low: np.ndarray, high: np.ndarray, k: int):
-    """(query, point, score): for each query the k points of its label (or of others) with the highest scores within
-    its window, ties by smaller id. The points of a tree are in order of their ids.
+def search(tree: CoverTree, queries: np.ndarray, labels: np.ndarray, same: bool, low: np.ndarray, high: np.ndarray, k: int, best: list[list]):
+    """Bring ``best`` up to date: for each query the k points (-score, ids) of its label (or of others) with the highest
+    scores within its window, ties by smaller id. The points of a tree are in order of their ids.
 
     Best first: each query opens the node of the highest bound next. A node is skipped where its bounds show that
-    no score within is in the window or above the k-th found. Queries that open the same node do it together.
+    no score within is in the window or above the k-th found, in earlier trees too. Queries that open the same node do
+    it together.
     """
-    best: list[list] = [[] for _ in queries]
     length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
     reach = float(np.sqrt((tree.vectors.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
     rounding = 1e-9 * length * reach + 1e-6
@@ -142,11 +142,10 @@ def search(tree: CoverTree, queries: np.ndarray, labels: np.ndarray, same: bool,
         r, c = _first(found[:, order], good[:, order], k)
         c = order[c]
         for i, s, p in zip(rows[r].tolist(), found[r, c].tolist(), point[c].tolist()):
-            best[i].append((-s, p))
+            best[i].append((-s, tree.ids[p]))
         for i in np.unique(rows[r]).tolist():
             best[i] = sorted(best[i])[:k]
-        inner = np.flatnonzero(tree.radius[nodes] > 0)
-        inner = np.union1d(inner, np.flatnonzero([tree.children[n] is not None for n in nodes.tolist()]))
+        inner = np.flatnonzero([tree.children[n] is not None for n in nodes.tolist()])
         slack = length[rows][:, None] * tree.radius[nodes[inner]][None, :] + rounding[rows][:, None]
         return inner, found[:, inner] - slack, found[:, inner] + slack
 
@@ -172,7 +171,6 @@ def search(tree: CoverTree, queries: np.ndarray, labels: np.ndarray, same: bool,
         for node, rows in opened.items():
             visit(np.array(rows), tree.children[node])
         live = [i for i in live if frontier[i]]
-    return [(i, p, -s) for i, found in enumerate(best) for s, p in found]
 
 
 # ---- Spark ------------------------------------------------------------------------------
@@ -183,7 +181,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     label = F.when(F.col(id_col) % 7 == 0, (F.col(label_col) + 1) % 10).otherwise(F.col(label_col)).cast("int")
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & x.isNotNull() & fine).select(
-        F.col(id_col).alias("vec_id"), label.alias("label"),
+        F.col(id_col).cast("long").alias("vec_id"), label.alias("label"),
         F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long")).alias("v"))
     return rows.withColumn("key", F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join("v", ",")), 256))
 
@@ -222,7 +220,6 @@ def search_all(trees: DataFrame, queries: DataFrame, same: bool, k: int) -> Stor
     size = queries.agg(F.sum(F.size("v") * 8 + 200).alias("s")).first()["s"] or 0
     blocks = -(-size // BLOCK_BYTES)
     path = scratch_path(spark, "found")
-    id_type = "bigint"
     for block in range(max(1, blocks)):
         mine = queries.where(F.pmod(F.xxhash64("key"), F.lit(max(1, blocks))) == block).collect()
         flat = defaultdict(list)
@@ -233,21 +230,23 @@ def search_all(trees: DataFrame, queries: DataFrame, same: bool, k: int) -> Stor
                    *[np.array([x[j] for x in rows], np.int64) for j in (3, 4, 5)]) for dims, rows in flat.items()})
 
         def look(batches, sent=sent):
+            best = {dims: [[] for _ in keys] for dims, (keys, *_) in sent.value.items()}
             for batch in batches:
                 for raw in batch.column("tree").to_pylist():
                     tree = CoverTree.of_bytes(raw)
-                    if tree.vectors.shape[1] not in sent.value:
-                        continue
-                    keys, labels, vectors, mark, low, high = sent.value[tree.vectors.shape[1]]
-                    found = search(tree, vectors, labels, same, low, high, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([keys[i] for i, _, _ in found], pa.string()), pa.array([int(mark[i]) for i, _, _ in found], pa.int64()),
-                         pa.array([s for _, _, s in found], pa.int64()), pa.array([tree.ids[p] for _, p, _ in found], pa.list_(pa.int64()))],
-                        names=["key", "mark", "score", "ids"])
-
-        trees.mapInArrow(look, f"key string, mark bigint, score bigint, ids array<{id_type}>").write.mode("append").parquet(path)
+                    if (dims := tree.vectors.shape[1]) in best:
+                        _, labels, vectors, _, low, high = sent.value[dims]
+                        search(tree, vectors, labels, same, low, high, k, best[dims])
+            for dims, found in best.items():
+                keys, _, _, mark, *_ = sent.value[dims]
+                flat = [(keys[i], int(mark[i]), -s, ids) for i, near in enumerate(found) for s, ids in near]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[j] for x in flat], kind) for j, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))],
+                    names=["key", "mark", "score", "ids"])
+
+        trees.mapInArrow(look, "key string, mark bigint, score bigint, ids array<bigint>").write.mode("append").parquet(path)
         sent.unpersist()
-    every = spark.read.schema(f"key string, mark bigint, score bigint, ids array<{id_type}>").parquet(path)
+    every = spark.read.schema("key string, mark bigint, score bigint, ids array<bigint>").parquet(path)
     order = W.partitionBy("key", "mark").orderBy(F.desc("score"), "id")
     first = every.select("key", "mark", "score", F.explode("ids").alias("id")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
     top = first.groupBy("key", "mark").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "score"))).alias("found"))

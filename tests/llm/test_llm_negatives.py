@@ -38,7 +38,7 @@ def made(seed, n, dims, hot):
 
 @pytest.mark.parametrize("seed,dims,hot,tree_rows", [(1, 8, 0.3, 64), (2, 3, 0.0, 500), (3, 1, 0.1, 40)])
 def test_beside_all_pairs(spark, seed, dims, hot, tree_rows):
-    rows = made(seed, 600, dims, hot)
+    rows = made(seed, 400, dims, hot)
     odd = [(700, None, 1, "", 1), (750, [0.1] * (dims - 1) + [None], 1, "", 1), (800, [0.1] * (dims - 1) + [float("nan")], 1, "", 1),
            (850, [float("inf")] * dims, 1, "", 1), (900, [0.5] * dims, None, "", 1), (None, [0.5] * dims, 1, "", 1), (1000, [], 1, "", 1),
            (1001, [], 2, "", 1), (1002, [], 1, "", 1), (1050, [0.5] * (dims + 1), 1, "", 1), rows[3], rows[50]]
@@ -92,7 +92,8 @@ def test_search_opens_few_nodes(monkeypatch):
     exact = x @ one[0]
     for low, high in ((0, 10**9), (exact.max() // 2, exact.max() * 3 // 4)):
         scored.clear()
-        got = H.search(tree, one, np.array([0]), False, np.array([low]), np.array([high]), 3)
+        got = [[]]
+        H.search(tree, one, np.array([0]), False, np.array([low]), np.array([high]), 3, got)
         want = sorted((-int(s), i) for i, s in enumerate(exact) if low <= s <= high and i % 3)[:3]
-        assert [(-s, p) for _, p, s in got] == want
+        assert [(s, p) for s, (p,) in got[0]] == want
         assert sum(scored) < 1500
