@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 import zlib
 
 import numpy as np
@@ -145,32 +146,101 @@ def test_odd_documents_and_items(spark):
 
 # ---- repeated spans ---------------------------------------------------------------------
 
+def pieces(text):
+    """(word spans, words, first words of sentences), split character by character."""
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    words = [text[a:b].lower() for a, b in spans]
+    hashes = sentence_spans.Split([text]).hash.tolist()
+    assert len(hashes) == len(words)
+    starts = {0} if spans else set()
+    for i in range(1, len(spans)):
+        gap = text[spans[i - 1][1]:spans[i][0]]
+        if "\n" in gap or words[i - 1].rstrip("\"')]\u00bb\u201d\u2019").endswith((".", "!", "?")):
+            starts.add(i)
+    whole = sorted(starts) + [len(spans)]
+    for a, b in zip(whole, whole[1:]):
+        for w in range(a, b - sentence_spans.CUT_WINDOW + 1):
+            cut = min(range(w, w + sentence_spans.CUT_WINDOW), key=lambda i: (hashes[i], i)) + 1
+            starts |= {cut} if cut < b else set()
+    return spans, words, sorted(starts)
+
+
+def shortest_runs(words, starts):
+    for i, a in enumerate(starts):
+        for b in [*starts[i + sentence_spans.SENTENCES:], len(words)]:
+            if b - a >= sentence_spans.WORDS and (b in starts and starts.index(b) - i >= 2 or b == len(words) and len(starts) - i >= 2):
+                yield a, b
+                break
+
+
+def repeats_beside_one_pass(rows):
+    """{row number: (n_removed, removed)} with ids in order, by looking at the first place of each run."""
+    first, split, gone = {}, {}, {}
+    for k, (doc_id, text) in enumerate(rows):
+        split[k] = pieces(text)
+        gone[k] = set()
+        for a, b in shortest_runs(*split[k][1:]):
+            run = tuple(split[k][1][a:b])
+            if first.setdefault(run, (k, a)) != (k, a):
+                gone[k].add((a, b))
+    out = {}
+    for k, runs in gone.items():
+        spans, words, starts = split[k]
+        lost = {w for a, b in runs for w in range(a, b)}
+        for a, b in runs:
+            k0, a0 = first[tuple(words[a:b])]
+            there = split[k0][1]
+            if a - 1 not in lost and not any(x < a <= y for x, y in runs):
+                n = 0
+                while n < 24 and a - n > 0 and a0 - n > 0 and words[a - n - 1] == there[a0 - n - 1]:
+                    n += 1
+                lost |= set(range(a - n, a))
+        for a, b in runs:
+            k0, a0 = first[tuple(words[a:b])]
+            there, b0 = split[k0][1], a0 + b - a
+            if not any(x <= b < y for x, y in runs):
+                n = 0
+                while n < 24 and b + n < len(words) and b0 + n < len(there) and words[b + n] == there[b0 + n]:
+                    n += 1
+                lost |= set(range(b, b + n))
+        whole = sum(all(w in lost for w in range(a, b)) for a, b in zip(starts, [*starts[1:], len(words)]))
+        ranges = []
+        for w in sorted(lost):
+            if ranges and ranges[-1][1] == w - 1:
+                ranges[-1][1] = w
+            else:
+                ranges.append([w, w])
+        out[k] = (len(starts), whole, [(spans[a][0], spans[b][1]) for a, b in ranges])
+    return out
+
+
 def test_spans_beside_one_pass_in_order(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    seen, removed = set(), {}
-    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
-        *_, n, joined = sentence_spans.sentences(r.text)
-        stop = sentence_spans.runs(n, sentence_spans.SENTENCES, sentence_spans.WORDS)
-        gone = set()
-        for i, s in enumerate(stop.tolist()):
-            if s > 0:
-                run = tuple(joined[i:s])
-                gone |= set(range(i, s)) if run in seen else set()
-                seen.add(run)
-        removed[r.doc_id] = len(gone)
-    got = sentence_spans.remove_repeats(docs).collect()
-    assert {r.doc_id: r.n_removed for r in got} == removed and sum(removed.values()) > 0
+    rng = random.Random(2)
+    docs = [(r.doc_id, r.text[:6000]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs += [(10_000 + i, " ".join(rng.choice(docs)[1][rng.randrange(40):][:rng.randrange(60, 500)] for _ in range(3))) for i in range(60)]
+    docs += [(20_000, "In. " * 60), (20_001, "for " * 90), (20_002, "\u0130stanbul STRASSE. " * 30), (20_003, "word " * 1_500 + docs[0][1])]
+    want = repeats_beside_one_pass(docs)
+    got = {r.doc_id: r for r in sentence_spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert len(got) == len(docs)
+    for k, (doc_id, text) in enumerate(docs):
+        r = got[doc_id]
+        assert (r.n_sentences, r.n_removed, [tuple(x) for x in r.removed]) == want[k]
+        assert r.n_removed_words == sum(len(text[a:b].split()) for a, b in want[k][2])
+    assert sum(len(x[2]) for x in want.values()) > 50
 
 
 def test_span_of_odd_rows(spark):
     passage = " ".join(f"Word{i} is here and stays{'.' if i % 3 == 0 else ''}" for i in range(12)) + "."
     rows = [(2, f"Before it. {passage} After it."), (1, passage), (None, passage.lower()), (3, None), (4, ""), (1, passage), (5, f"{passage}\n\n{passage}")]
+    long = " ".join(f"{i:x}" for i in range(300_000))
+    rows += [(6, f"{long} {passage}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS hash", "2 AS starts")
     got = collections.defaultdict(list)
     for r in sentence_spans.remove_repeats(docs).collect():
         got[r.doc_id].append(r)
     assert [r.text for r in got[1]] == [passage, passage]
     assert got[2][0].text == "Before it. After it." and got[2][0].removed[0].start == 11
+    assert got[6][0].text == long
     assert (got[None][0].text, got[3][0].text, got[4][0].text, got[5][0].text) == ("", None, "", "")
     assert sentence_spans.remove_repeats(docs.limit(0)).count() == 0
 
