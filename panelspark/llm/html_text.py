@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from panelspark.llm.tokens import slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("""head title script style template noscript noframes noembed iframe object embed audio video canvas
-    svg math datalist select map area param source track link meta base col colgroup""".split())
+    datalist map area param source track link meta base col colgroup input desc metadata defs annotation annotation-xml""".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset form".split())
 BLOCKS = PARAGRAPHS | frozenset("""html body div section article aside nav header footer main address li dt dd tr td th caption
     thead tbody tfoot figcaption details summary center legend dialog menu hgroup search option optgroup""".split())
@@ -35,13 +36,19 @@ _HEAD = frozenset("html head title meta link base style script noscript template
 _VALUE = r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|["'][^>]*+|[^\s>]++)?+"""
 _TAG = re.compile(rf"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?+[^\s=/>]++(?:{_VALUE})?+|=)*+)>""")
 _ATTRIBUTE = re.compile(r"""(=?[^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(["'][^>]*|[^\s>]+)))?""")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_COMMENT_END = re.compile(r"--!?>")
+_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 _BLANK = re.compile(r"[ \t\n\f\r]+")
 
 # Bounds of the layout alone; no text is cut.
 MOST_INDENT = 16
 MOST_PADDING = 40
 MOST_COLUMNS = 1000
+# A table that would need more padding than so many times its text (and some more) has its cells side by side only.
+MOST_PADDING_SHARE = 4
+_SOME_PADDING = 2000
 
 
 class Node:
@@ -51,20 +58,34 @@ class Node:
         self.name, self.attrs, self.children, self.parent = name, attrs, [], parent
 
 
+def _decode(text: str) -> str:
+    """References replaced; a number of many digits is cut to its value or, beyond all characters, is U+FFFD."""
+    def shorter(m):
+        hexadecimal = m[0][2] in "xX"
+        digits = m[0][3 if hexadecimal else 2:].rstrip(";").lstrip("0") or "0"
+        return f"&#{'x' * hexadecimal}{digits};" if len(digits) < 8 else "\ufffd"
+
+    return unescape(_NUMBER.sub(shorter, text) if "&#" in text else text)
+
+
 def tokens(html: str):
     """("text", s), ("start", name, attribute text) and ("end", name); comments and declarations are left out."""
     at, end = 0, len(html)
     while at < end:
         mark = html.find("<", at)
         if mark < 0:
-            yield "text", unescape(html[at:]), ""
+            yield "text", _decode(html[at:]), ""
             return
         if mark > at:
-            yield "text", unescape(html[at:mark]), ""
+            yield "text", _decode(html[at:mark]), ""
         following = html[mark + 1:mark + 2]
-        if following in ("!", "?") or html.startswith("</", mark) and not html[mark + 2:mark + 3].isalpha():
-            stop = html.find("-->", mark + 4) + 2 if html.startswith("<!--", mark) else html.find(">", mark)
-            at = end if stop < 2 or stop < mark else stop + 1
+        if html.startswith("<!--", mark):
+            short = next((x for x in ("<!-->", "<!--->") if html.startswith(x, mark)), "")
+            stop = None if short else _COMMENT_END.search(html, mark + 4)
+            at = mark + len(short) if short else stop.end() if stop else end
+        elif following in ("!", "?") or html.startswith("</", mark) and not html[mark + 2:mark + 3].isalpha():
+            stop = html.find(">", mark)
+            at = end if stop < 0 else stop + 1
         elif following.isascii() and following.isalpha() or following == "/":
             found = _TAG.match(html, mark)
             if not found:  # the page ends within a tag
@@ -75,7 +96,7 @@ def tokens(html: str):
                 close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
                 stop = close.start() if close else end
                 text = html[at:stop]
-                yield "text", unescape(text) if name in ("title", "textarea") else text, ""
+                yield "text", _decode(text) if name in ("title", "textarea") else text, ""
                 at = stop
         else:
             yield "text", "<", ""
@@ -86,7 +107,7 @@ def _attributes(text: str) -> dict:
     out: dict = {}
     if text.strip(" /\n\t"):
         for name, a, b, c in _ATTRIBUTE.findall(text):
-            out.setdefault(name.lower(), unescape(a or b or c))
+            out.setdefault(name.lower(), _decode(a or b or c))
     return out
 
 
@@ -153,10 +174,14 @@ def tree(html: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
-    if node.name in HIDDEN or "hidden" in node.attrs or node.name == "input":
-        return False
-    return not ("style" in node.attrs and _UNSEEN.search(node.attrs["style"]))
+def displayed(node: Node) -> bool:
+    return not (node.name in HIDDEN or "hidden" in node.attrs or "style" in node.attrs and _GONE.search(node.attrs["style"]))
+
+
+def seen(node: Node, parent_seen: bool) -> bool:
+    """Visibility is that of the parent unless the element has its own: a hidden element may hold a visible one."""
+    own = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else None
+    return own[-1].lower() == "visible" if own else parent_seen
 
 
 class Flow:
@@ -225,30 +250,48 @@ def _span(node: Node, name: str, most: int) -> int:
 
 
 def _lay_table(rows: list[list[tuple[Node, str]]]) -> list[str]:
-    """Cells at the same column start at the same place; spans take the columns they cover."""
-    placed, widths, busy = [], {}, {}
+    """Cells that begin at the same column start at the same place; spans take the columns they cover.
+
+    Only columns where some cell begins take room, so a span costs nothing by itself.
+    """
+    placed, spanning = [], []  # spanning: (first column, column after, rows left) of cells from rows above
     for row in rows:
-        line, column = [], 0
+        line, column, above = [], 0, iter(sorted(spanning))
+        following = next(above, None)
+        new = []
         for cell, text in row:
-            while busy.get(column, 0):
-                column += 1
+            while following and following[0] <= column:
+                column = max(column, following[1])
+                following = next(above, None)
             across, down = _span(cell, "colspan", MOST_COLUMNS), _span(cell, "rowspan", 65_534)
-            line.append((column, across, text))
-            if across == 1:
-                widths[column] = max(widths.get(column, 0), min(len(text), MOST_PADDING))
-            for c in range(column, column + across):
-                busy[c] = max(busy.get(c, 0), down)
+            line.append((column, column + across, text))
+            if down > 1:
+                new.append((column, column + across, down))
             column += across
-        busy = {c: n - 1 for c, n in busy.items() if n > 1}
+        spanning = [(a, b, n - 1) for a, b, n in spanning + new if n > 1]
         placed.append(line)
+    starts = sorted({a for line in placed for a, _, _ in line})
+    widths = [0] * len(starts)
+    for line in placed:
+        for a, b, text in line:
+            at = bisect_left(starts, a)
+            if at + 1 == len(starts) or starts[at + 1] >= b:
+                widths[at] = max(widths[at], min(len(text), MOST_PADDING))
+    reach = [0]  # where each column starts, if none is wider than its width
+    for w in widths:
+        reach.append(reach[-1] + w + 3)
+    room = sum(reach[bisect_left(starts, line[-1][0])] for line in placed if line)
+    aligned = room <= MOST_PADDING_SHARE * sum(len(t) for line in placed for *_, t in line) + _SOME_PADDING
     lines = []
     for line in placed:
         out, at = [], 0
-        for column, across, text in line:
-            out += [" " * widths.get(c, 0) for c in range(at, column)]
-            room = sum(widths.get(c, 0) for c in range(column, column + across)) + 3 * (across - 1)
-            out.append(text.ljust(min(room, MOST_PADDING * across)))
-            at = column + across
+        for a, b, text in line:
+            column = bisect_left(starts, a)
+            if aligned:
+                out += [" " * w for w in widths[at:column]]
+                at = max(column + 1, bisect_left(starts, b))
+                text = text.ljust(min(reach[at] - reach[column] - 3, MOST_PADDING * (at - column))) if (a, b, text) is not line[-1] else text
+            out.append(text)
         lines.append(" | ".join(out).rstrip())
     return [x for x in lines if x.strip(" |")]
 
@@ -260,16 +303,20 @@ def render(html: str | None) -> str:
     flow = Flow()
     flows, tables, lists = [], [], []
     pre = 0
-    stack = [(tree(html), True)]
+    # A node to enter, with whether its parent is seen; or one to leave, with whether it opened a cell.
+    stack = [(tree(html), True, True)]
     while stack:
-        node, entering = stack.pop()
+        node, entering, flag = stack.pop()
         if isinstance(node, str):
-            flow.verbatim(node) if pre else flow.text(node)
+            if flag:
+                flow.verbatim(node) if pre else flow.text(node)
             continue
         name = node.name
         if entering:
-            if not visible(node):
+            if not displayed(node):
                 continue
+            flag = seen(node, flag)
+            cell = name in ("td", "th") and bool(tables and tables[-1])
             if name == "br":
                 flow.new_line()
                 continue
@@ -277,7 +324,7 @@ def render(html: str | None) -> str:
                 flow.ask(2 if name in PARAGRAPHS and not (lists and name in ("ul", "ol", "dl")) else 1)
             if name in ("ul", "ol", "menu"):
                 start = node.attrs.get("start", "")
-                lists.append([int(start) if name == "ol" and start.isascii() and start.isdigit() else 1, name == "ol"])
+                lists.append([int(start) if name == "ol" and start.isascii() and start.isdigit() and len(start) < 10 else 1, name == "ol"])
                 flow.indent += 1
             elif name == "li" and lists:
                 number, ordered = lists[-1]
@@ -291,15 +338,17 @@ def render(html: str | None) -> str:
                 tables.append([])
             elif name == "tr" and tables:
                 tables[-1].append([])
-            elif name in ("td", "th") and tables and tables[-1]:
-                flows.append(flow)
+            elif cell:
+                tables[-1][-1].append(None)
+                flows.append((flow, tables[-1][-1], len(tables[-1][-1]) - 1))
                 flow = Flow()
-            stack.append((node, False))
-            stack += [(c, True) for c in reversed(node.children)]
+            stack.append((node, False, cell))
+            stack += [(c, True, flag) for c in reversed(node.children)]
             continue
-        if name in ("td", "th") and tables and tables[-1]:
-            cell, flow = flow.result(), flows.pop()
-            tables[-1][-1].append((node, " ".join(cell.split())))
+        if flag and name in ("td", "th"):
+            text = " ".join(flow.result().split())
+            flow, row, place = flows.pop()
+            row[place] = (node, text)
         elif name == "table":
             flow.ask(2)
             for line in _lay_table(tables.pop()):
@@ -325,8 +374,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
 
     Blocks stand on lines of their own, paragraphs between empty lines; list items have a bullet or number and
     are indented by depth (at most MOST_INDENT steps); cells of a table are aligned (padded to MOST_PADDING
-    characters at most, longer ones kept whole); pre keeps its lines. Left out: head, scripts, styles,
-    form controls, embedded objects, hidden elements. A null or empty page has an empty text; null, equal and
+    characters at most, longer ones kept whole; side by side only where padding would outgrow the text); pre keeps its lines.
+    Text areas, options, formulas and texts of drawings are shown. Left out: head, scripts, styles, inputs, embedded
+    objects, hidden elements (not visible ones within). No markup, however broken, is an error. A null or empty page has an empty text; null, equal and
     repeated ids stay; an empty table gives no rows. Other columns are not read. A map: no row moves.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))

@@ -1,6 +1,7 @@
 """Languages, URLs, benchmark passages, repeated spans and page text."""
 
 import collections
+import html.parser
 import random
 import re
 import zlib
@@ -297,6 +298,90 @@ def test_deep_and_broken_pages():
     assert html_text.render('<a "' * 20_000) == ""
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<table><form><td><tr>x</table>", "x"), ("<table><div><td><tr>x</table>", "x"), (f"<ol start={'9' * 5000}><li>a</ol>", "1. a"),
+    (f"a&#{'9' * 5000};b <a title='&#{'1' * 6000}'>c</a>", "a\ufffdb c"), ("&#0000000000065;&#x00000000041;", "AA"),
+    ("<math><mi>x</mi></math> <svg><title>n</title><text>hi</text></svg>", "x hi"), ("<textarea>a<b>c</textarea>", "a<b>c"),
+    ("<select><option>one<option>two</select>", "one\ntwo"), ("a<!-->b<!--->c<!-- x --!>d<!-- y", "abcd"),
+    ("<p style='visibility:hidden'>n<b style='visibility: visible'>yes</b>n", "yes"), ("<p style='display:none'>n<b style='visibility:visible'>n</b>", "")])
+def test_broken_and_rare_pages(html, text):
+    assert html_text.render(html) == text
+
+
+def test_spans_of_tables_stay_small():
+    for page in ("<table>" + ("<tr>" + "<td colspan=1000>x" * 30) * 60, "<table><tr>" + "<td rowspan=9999>x" * 500 + "<tr><td>y" * 2000,
+                 "<table>" + "".join(f"<tr>{'<td>' * i}x" for i in range(150))):
+        assert len(html_text.render(page)) <= 6 * len(page) + 2000
+
+
+def test_tag_soup_is_never_an_error():
+    rng = random.Random(11)
+    names = sorted(html_text.BLOCKS | html_text.HIDDEN | html_text.VOID | html_text.RAW) + ["b", "i", "x-y", "svg", "math"]
+    attrs = ["", " hidden", " style='display:none'", " style=visibility:hidden", " style='visibility:visible'", " colspan=9", " rowspan=7", " start=3", " a='", ' b="c>']
+    parts = ["text ", "&amp;", "&#65", "&#x;", "&#99999999999999;", "<", ">", "</", "<!--", "-->", "--!>", "<!", "<?", "\n", "\u00a0", "&lt;p&gt;", "</>", "'", '"']
+    for _ in range(1500):
+        page = "".join(rng.choice(parts) if rng.random() < 0.4 else f"<{rng.choice(('', '/'))}{rng.choice(names)}{rng.choice(attrs)}{rng.choice(('>', '>', '>', '/>', ' '))}"
+                       for _ in range(rng.randrange(60)))
+        assert len(html_text.render(page)) <= 10 * len(page) + 2000
+
+
+class Lines(html.parser.HTMLParser):
+    """Another renderer: lines of words of pages whose tags are all written out. No tree: a count of hidden elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [""], []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden.append((self.hidden[-1] if self.hidden else False) or tag in ("script", "style", "title", "video") or "hidden" in dict(attrs)
+                           or "none" in dict(attrs).get("style", ""))
+        if tag in ("p", "div", "section", "h2", "ul", "li", "blockquote") and not self.hidden[-1]:
+            self.out.append("")
+
+    def handle_startendtag(self, tag, attrs):
+        self.out += [""] * (tag == "br" and not (self.hidden and self.hidden[-1]))
+
+    def handle_endtag(self, tag):
+        if not self.hidden.pop() and tag in ("p", "div", "section", "h2", "ul", "li", "blockquote"):
+            self.out.append("")
+
+    def handle_data(self, data):
+        if not (self.hidden and self.hidden[-1]):
+            self.out[-1] += data
+
+
+def test_lines_beside_another_renderer():
+    rng = random.Random(12)
+    inside = {"p": ("b", "i", "span"), "h2": ("b",), "b": ("i", "span"), "i": ("span",), "span": (), "ul": ("li",)}
+    blocks = ("div", "section", "p", "h2", "ul", "blockquote", "b", "script", "style", "video")
+
+    def page(name, depth):
+        kinds = inside.get(name, blocks)
+        out = []
+        for _ in range(rng.randrange(5)):
+            if name != "ul" and rng.random() < 0.5:
+                out.append(rng.choice(("one ", " two", "a&amp;b", " &lt;i&gt; ", "\n x\t y ", "&eacute;")))
+            elif name != "ul" and rng.random() < 0.2:
+                out.append("<br/>")
+            elif kinds and depth < 5:
+                kind = rng.choice(kinds)
+                attr = rng.choice(("", "", "", " hidden", " style='display: none'", " class=\"a>b\""))
+                out.append(f"<{kind}{attr}>{'code' if kind in ('script', 'style') else page(kind, depth + 1)}</{kind}>")
+        return "".join(out)
+
+    seen = 0
+    for _ in range(800):
+        made = page("body", 0)
+        other = Lines()
+        other.feed(made)
+        other.close()
+        want = [" ".join(x.split()) for x in other.out if x.strip()]
+        got = [re.sub(r"^- ", "", " ".join(x.split())) for x in html_text.render(made).split("\n") if x.strip()]
+        assert [x for x in got if x != "-"] == want, made
+        seen += len(want)
+    assert seen > 500
+
+
 def test_pages_as_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, None)], "page_id long, html string").selectExpr("*", "1 AS text")
     assert [tuple(r) for r in html_text.extract(pages).collect()] == [(1, "a"), (1, "a"), (None, "")]
