@@ -138,8 +138,9 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, most: int, windows_per
 
     The distinct texts with the least hashes are taken, and windows at even distances in them. Only these windows come
     to the driver, at most most * windows_per_doc * WINDOW characters, or one text's of each language if there are
-    more than ``most`` languages. Ranked are only hashes below a bound, set from the count of a language's texts so
-    that about twice as many as wanted lie below it: no task holds a language.
+    more than ``most`` languages. A hash counts only below a bound, set from the count of a language's texts so that
+    about twice as many as wanted lie below it. The bounds, one row per language, are sent to all tasks, and texts are cut to
+    their windows there: no whole text moves, and no task ranks more than a language's few hashes.
     """
     from pyspark.sql import Window as W
 
@@ -157,7 +158,7 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, most: int, windows_per
     bounds = {x: int((2 * each + 100) / n * 2.0**64) - 2**63 for x, n in counts.items() if n > 2 * each + 100}
     spark = docs.sparkSession
     bound = spark.createDataFrame(list(bounds.items()), "lang string, bound long")
-    low = texts.join(bound, "lang", "left").where(F.col("bound").isNull() | (F.col("hash") <= F.col("bound")))
+    low = texts.join(F.broadcast(bound), "lang", "left").where(F.col("bound").isNull() | (F.col("hash") <= F.col("bound")))
     low = low.select("lang", "hash", parts.alias("parts")).dropDuplicates(["lang", "hash"])
     least = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
     rows = low.withColumn("nth", least).where(F.col("nth") <= each).select("lang", F.explode("parts").alias("part")).collect()
@@ -178,7 +179,8 @@ def predict(docs: DataFrame, model: ByteNet | None, *, id_col: str = "doc_id", t
     """doc_id, lang_pred and score of every row.
 
     All windows of a text count: their log probabilities are averaged, score is the chance of the best class then.
-    lang_pred is ``und`` and score 0 for a null text, one without a letter, or without a model. Null and repeated ids stay; an
+    lang_pred is ``und`` and score 0 for a null text, one without a letter, or without a model; of languages of equal chance
+    the first by name wins. Null and repeated ids stay; an
     empty table gives no rows. Other columns are not read. A map: no row moves.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),

@@ -46,6 +46,48 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
 
 
+def test_no_whole_text_moves(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"text number {i}", "x" if i % 7 else "y") for i in range(900)], "text string, lang string")
+    taken = []
+    frame = type(docs)
+    plain = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: taken.append(self._jdf.queryExecution().executedPlan().toString()) or plain(self))
+    language.sample(docs, "text", "lang", 20, 2)
+    monkeypatch.undo()
+    for plan in taken:
+        for line in re.findall(r"Exchange [^\n]*", plan):
+            assert "BroadcastExchange" in line or "text" not in line
+        assert "SortMergeJoin" not in plan
+    assert any("BroadcastHashJoin" in p for p in taken)
+    # A text moves as windows: nothing above the scan and its projection reads the column itself.
+    moved = [p.split("Exchange hashpartitioning")[0] for p in taken]
+    assert all(not re.search(r"\btext#\d+", p) for p in moved)
+
+
+def test_ties_go_to_the_first_name(spark):
+    net = language.ByteNet(["a", "b"])
+    net.weights["out"][:] = 0
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    assert [(r.lang_pred, r.score) for r in language.predict(docs, net).collect()] == [("a", 0.5)]
+
+
+def test_network_beside_loops():
+    """A convolution written out with loops over bytes, filters and widths."""
+    rng = np.random.default_rng(3)
+    net = language.ByteNet(["a", "b"], seed=5)
+    window = rng.integers(0, 256, (1, language.WINDOW)).astype(np.uint8)
+    embedded = [net.weights["embed"][b] for b in window[0]]
+    features = []
+    for w in language.WIDTHS:
+        kernel = net.weights[f"filter{w}"]
+        for f in range(language.FILTERS):
+            answers = [sum(float(embedded[i + j] @ kernel[j, :, f]) for j in range(w)) for i in range(language.WINDOW - w + 1)]
+            features.append(max(0.0, max(answers)))
+    raw = [sum(x * net.weights["out"][i, c] for i, x in enumerate(features)) + net.weights["bias"][c] for c in range(2)]
+    chance = np.exp(raw) / np.exp(raw).sum()
+    assert np.allclose(np.exp(net.predict(window, net.tables()))[0], chance, atol=1e-4)
+
+
 def test_tables_give_the_trained_answers():
     rng = np.random.default_rng(0)
     windows = rng.integers(0, 256, (20, language.WINDOW)).astype(np.uint8)
