@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -13,9 +15,14 @@ Q = 8
 # Edits allowed for an item: this share of its characters, as far as the lemma can bear.
 EDIT_SHARE = 0.08
 ITEMS_PER_BLOCK = 20_000
+LENGTH_PER_BLOCK = 16 << 20
+# Of a longer item, each window of PART characters, one every PART_STEP, is searched for by itself too.
+PART = 100
+PART_STEP = 50
 _TABLE_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_CELLS_AT_ONCE = 4_000_000
+_CELLS_AT_ONCE = 1_000_000
+_HITS_AT_ONCE = 1_000_000
 
 
 def _tables():
@@ -84,9 +91,22 @@ class Items:
     """A block of items: normal forms, budgets, and the sorted q-grams with their places."""
 
     def __init__(self, rows: list[tuple], tables, q: int, share: float):
-        self.q = q
         texts = Texts([text or "" for _, text in rows], tables)
-        kept = [(key, texts.points[a:b]) for (key, _), a, b in zip(rows, texts.start, texts.stop) if b - a >= q]
+        self._fill([(key, texts.points[a:b]) for (key, _), a, b in zip(rows, texts.start, texts.stop) if b - a >= q], q, share)
+
+    def parts(self, share: float) -> Items:
+        """Overlapping windows of the items that are longer than one, each an item of its own."""
+        out = Items.__new__(Items)
+        found = []
+        for key, p in zip(self.keys, self.points):
+            if len(p) > PART:
+                starts = sorted({*range(0, len(p) - PART, PART_STEP), len(p) - PART})
+                found += [(key, p[a:a + PART]) for a in starts]
+        out._fill(found, self.q, share)
+        return out
+
+    def _fill(self, kept: list[tuple], q: int, share: float):
+        self.q = q
         self.keys, self.points = [k for k, _ in kept], [p for _, p in kept]
         self.length = np.array([len(p) for p in self.points], np.int64)
         self.edits = np.array([edit_budget(int(n), q, share) for n in self.length], np.int64)
@@ -102,33 +122,48 @@ class Items:
         self.present[(self.gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
 
-def candidates(texts: Texts, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared(texts: Texts, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the texts of q-grams that some item has, and their hashes."""
+    hashes = grams(texts.points, items.q)
+    at = np.flatnonzero(items.present[(hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
+    low = np.searchsorted(items.gram, hashes[at], "left")
+    low[low == len(items.gram)] = 0
+    real = items.gram[low] == hashes[at] if len(items.gram) else np.zeros(len(at), bool)
+    at = at[real]
+    at = at[at + items.q <= texts.stop[texts.of(at)]] if len(at) else at
+    return at, hashes[at]
+
+
+def candidates(texts: Texts, items: Items, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, item, lowest diagonal) of bands that hold as many shared q-grams as the lemma asks for.
 
     A match with e edits keeps n - q + 1 - q * e q-grams of an item of n characters, all on diagonals no
     more than e from where it starts. Bands are 2 (e + 1) wide and begin every e + 1, so the e + 1
-    diagonals that any match meets lie within one. Diagonals count from the start of the text.
+    diagonals that any match meets lie within one. Diagonals count from the start of the text. Where a q-gram
+    repeats in text and item, hits grow with the square: they are made and counted _HITS_AT_ONCE at a time, so only the counts of bands are held.
     """
-    hashes = grams(texts.points, items.q)
-    at = np.flatnonzero(items.present[(hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-    low = np.searchsorted(items.gram, hashes[at], "left")
+    empty = np.empty(0, np.int64)
+    if not len(at) or not len(items.gram):
+        return empty, empty, empty
+    low = np.searchsorted(items.gram, hashes, "left")
     low[low == len(items.gram)] = 0
-    real = items.gram[low] == hashes[at] if len(items.gram) else np.zeros(len(at), bool)
+    real = items.gram[low] == hashes
     at, low = at[real], low[real]
-    text = texts.of(at)
-    whole = at + items.q <= texts.stop[text]
-    at, low, text = at[whole], low[whole], text[whole]
-    if not len(at):
-        return at, at, at
-    count = items.copies[low]
-    found = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    item = items.item[found]
-    diagonal = np.repeat(at - texts.start[text], count) - items.place[found]
-    step = items.edits[item] + 1
-    # A hit counts for the two bands that cover its diagonal; text and item take the high bits of a key.
-    owner = (np.repeat(text, count) * len(items.keys) + item) << 36
-    band = diagonal // step + (1 << 35)
-    keys, n = np.unique(np.concatenate([owner + band, owner + band - 1]), return_counts=True)
+    text, copies = texts.of(at), items.copies[low]
+    # Keys of bands and how many hits each has, of the pieces so far.
+    keys, n = empty, empty
+    piece = np.cumsum(copies) // _HITS_AT_ONCE
+    for a, b in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.flatnonzero(np.diff(piece, prepend=-1, append=-1)).tolist())):
+        count = copies[a:b]
+        found = np.repeat(low[a:b], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        item = items.item[found]
+        diagonal = np.repeat(at[a:b] - texts.start[text[a:b]], count) - items.place[found]
+        # A hit counts for the two bands that cover its diagonal; text and item take the high bits of a key.
+        owner = (np.repeat(text[a:b], count) * len(items.keys) + item) << 36
+        band = diagonal // (items.edits[item] + 1) + (1 << 35)
+        some, times = np.unique(np.concatenate([owner + band, owner + band - 1]), return_counts=True)
+        keys, of = np.unique(np.concatenate([keys, some]), return_inverse=True)
+        n = np.bincount(of, np.concatenate([n, times]), len(keys)).astype(np.int64)
     item = (keys >> 36) % len(items.keys)
     enough = n >= items.length[item] - items.q + 1 - items.q * items.edits[item]
     keys, item = keys[enough], item[enough]
@@ -182,76 +217,120 @@ def align(points: np.ndarray, items: Items, item: np.ndarray, diagonal: np.ndarr
     return best, first, last
 
 
-def matches(texts: list[str | None], items: Items, tables) -> list[tuple]:
-    """(text number, item key, start, stop, edits) of each item in the texts, in code points."""
-    if not items.keys:
-        return []
-    normal = Texts([t or "" for t in texts], tables)
-    text, item, diagonal = candidates(normal, items)
-    out = []
+def _aligned(normal: Texts, items: Items, at: np.ndarray, hashes: np.ndarray):
+    """(text number, {(item key, start, stop): edits}) of the candidates that align, in code points."""
+    text, item, diagonal = candidates(normal, items, at, hashes)
     for t in np.unique(text):
         mine = text == t
         a, b = normal.start[t], normal.stop[t]
         edits, first, last = align(normal.points[a:b], items, item[mine], diagonal[mine])
         good = (edits <= items.edits[item[mine]]) & (last > first)
-        at = normal.at[a:b] - normal.first[t]
-        found = {(int(k), int(at[i]), int(at[j - 1]) + 1): int(e) for k, e, i, j in zip(
-            item[mine][good], edits[good], first[good], last[good])}
-        # Bands overlap: of matches of one item that share text, the one with fewest edits stays.
-        kept: dict[int, list] = {}
-        for (k, i, j), e in sorted(found.items(), key=lambda x: (x[1], x[0])):
-            if all(j <= c or d <= i for c, d, _ in kept.get(k, ())):
-                kept.setdefault(k, []).append((i, j, e))
-        out += sorted((int(t), items.keys[k], i, j, e) for k, spans in kept.items() for i, j, e in spans)
-    return out
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, per_block: int):
-    """The items in blocks of bounded size, each read to the driver and sent out by itself."""
-    rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    n_blocks = max(1, -(-rows.count() // per_block))
-    block = F.pmod(F.xxhash64("text"), F.lit(n_blocks))
+        place = normal.at[a:b] - normal.first[t]
+        found: dict[tuple, int] = {}
+        for k, e, i, j in zip(item[mine][good].tolist(), edits[good].tolist(), first[good], last[good]):
+            span = (items.keys[k], int(place[i]), int(place[j - 1]) + 1)
+            found[span] = min(e, found.get(span, e))
+        yield int(t), found
+
+
+def _apart(found: dict[tuple, int]) -> dict[object, list]:
+    """Bands overlap: of matches of one item that share text, the one with fewest edits stays."""
+    kept: dict[object, dict[int, tuple]] = {}
+    starts: dict[object, list[int]] = {}
+    for (key, i, j), e in sorted(found.items(), key=lambda x: (x[1], x[0][1:])):
+        mine, order = kept.setdefault(key, {}), starts.setdefault(key, [])
+        at = bisect_left(order, i)
+        if (at == len(order) or order[at] >= j) and (not at or mine[order[at - 1]][1] <= i):
+            mine[i] = (i, j, e)
+            order.insert(at, i)
+    return {key: [mine[i] for i in starts[key]] for key, mine in kept.items()}
+
+
+def matches(texts: list[str | None], items: Items, tables, parts: Items | None = None) -> list[tuple]:
+    """(text number, item key, start, stop, edits, whole) of each item in the texts, in code points.
+
+    With ``parts``, an item of which only windows match is there too, once for each stretch of windows that overlap, with
+    the edits of its worst window.
+    """
+    if not items.keys:
+        return []
+    normal = Texts([t or "" for t in texts], tables)
+    at, hashes = shared(normal, items)
+    whole = {t: _apart(found) for t, found in _aligned(normal, items, at, hashes)}
+    out = [(t, key, *span, True) for t, kept in whole.items() for key, spans in kept.items() for span in spans]
+    for t, found in _aligned(normal, parts, at, hashes) if parts is not None else ():
+        stretches: dict[object, list[list]] = {}
+        for (key, i, j), e in sorted(found.items(), key=lambda x: x[0][1:]):
+            mine = stretches.setdefault(key, [])
+            if mine and i < mine[-1][1]:
+                mine[-1] = [mine[-1][0], max(j, mine[-1][1]), max(e, mine[-1][2])]
+            else:
+                mine.append([i, j, e])
+        for key, spans in stretches.items():
+            covered = whole.get(t, {}).get(key, [])
+            out += [(t, key, *s, False) for s in spans if all(s[1] <= i or j <= s[0] for i, j, _ in covered)]
+    return sorted(out, key=lambda x: (x[0], x[2], x[3]))
+
+
+def _texts(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """item_id, text and key, which is the text's hash."""
+    return benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).where(
+        F.col("text").isNotNull())
+
+
+def _blocks(items: DataFrame, per_block: int):
+    """Each distinct text once, in blocks of bounded number and summed length, each read to the driver and sent out by
+    itself."""
+    texts = items.groupBy("key").agg(F.first("text").alias("text"))
+    count, length = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n_blocks = max(1, -(-count // per_block), -(-length // LENGTH_PER_BLOCK))
     for i in range(n_blocks):
-        yield [tuple(r) for r in rows.where(block == i).distinct().collect()]
+        yield [tuple(r) for r in texts.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == i).collect()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
          item_text_col: str = "text", q: int = Q, edit_share: float = EDIT_SHARE, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
-    """doc_id, text_hash, item_id, start, stop, edits: where documents hold an item of the benchmark.
+    """doc_id, text_hash, item_id, start, stop, edits, whole: where documents hold an item of the benchmark.
 
     Texts are compared without case, signs and white space. An item matches where the whole of it aligns with at
-    most ``edit_share`` of its characters edited (fewer where the q-gram lemma would ask for nothing). Items
-    shorter than ``q`` and null texts match nothing; null, equal and repeated ids and items stay as they are; empty tables
-    give no rows. Other columns are not read.
-
-    The benchmark is the query set: it goes out in blocks of about ``per_block`` items, each a map over all
-    documents, so no document moves and memory is bounded.
+    most ``edit_share`` of its characters edited (fewer where the q-gram lemma would ask for nothing). Of one longer than PART
+    characters, each window of that length is searched for likewise, so a part of it that holds a window is found
+    (``whole`` is false). Items shorter than ``q`` and null texts match nothing; null ids, repeated documents and items of
+    equal text stay as they are, repeated items count once; empty tables give no rows. Other columns are not read.
+
+    The benchmark is the query set: its distinct texts go out in blocks of about ``per_block`` texts and
+    LENGTH_PER_BLOCK characters, each a map over all documents, so no document moves and memory is bounded. Ids of items
+    are joined to what was found.
     """
+    items = _texts(benchmark, item_col, item_text_col)
+    found = _find(docs, items, id_col, text_col, q, edit_share, per_block)
+    named = items.select("key", "item_id").distinct().withColumnRenamed("key", "_key")
+    return found.join(named, found["key"] == named["_key"]).select("doc_id", "text_hash", "item_id", "start", "stop", "edits", "whole")
+
+
+def _find(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, q: int, edit_share: float, per_block: int) -> DataFrame:
+    """As ``find``, with the key of the item's text for its id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    item_type = benchmark.schema[item_col].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow_item = to_arrow_type(item_type)
-    schema = f"doc_id {id_type}, text_hash long, item_id {item_type.simpleString()}, start long, stop long, edits long"
+    schema = f"doc_id {id_type}, text_hash long, key long, start long, stop long, edits long, whole boolean"
     out = None
-    for block in _blocks(benchmark, item_col, item_text_col, per_block):
+    for block in _blocks(items, per_block):
         sent = spark.sparkContext.broadcast(block)
 
         def search(batches, sent=sent):
             tables = _tables()
-            items = Items(sent.value, tables, q, edit_share)
+            whole = Items(sent.value, tables, q, edit_share)
+            windows = whole.parts(edit_share)
             for batch in batches:
                 for part in slices(batch, 200):
-                    found = matches(part.column("text").to_pylist(), items, tables)
+                    found = matches(part.column("text").to_pylist(), whole, tables, windows)
                     if found:
-                        of, key, start, stop, edits = zip(*found)
+                        of, *columns, all_of = zip(*found)
                         of = pa.array(of)
                         yield pa.RecordBatch.from_arrays(
-                            [part.column("doc_id").take(of), part.column("text_hash").take(of), pa.array(key, arrow_item),
-                             *(pa.array(c, pa.int64()) for c in (start, stop, edits))],
-                            names=["doc_id", "text_hash", "item_id", "start", "stop", "edits"])
+                            [part.column("doc_id").take(of), part.column("text_hash").take(of), *(pa.array(c, pa.int64()) for c in columns),
+                             pa.array(all_of)], names=["doc_id", "text_hash", "key", "start", "stop", "edits", "whole"])
 
         part = rows.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
@@ -259,8 +338,10 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item; columns are those of ``docs``."""
-    found = find(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    """The rows of ``docs`` that hold no item and no window of one; columns are those of ``docs``."""
+    settings = {"q": Q, "edit_share": EDIT_SHARE, "per_block": ITEMS_PER_BLOCK, "item_col": "item_id", "item_text_col": "text"} | options
+    items = _texts(benchmark, settings.pop("item_col"), settings.pop("item_text_col"))
+    found = _find(docs, items, id_col, text_col, **settings)
     hit = Stored(found.select("text_hash").distinct().withColumnRenamed("text_hash", "_hit"), "contaminated").df
     # Equal texts share a fate, so the text's hash is the key; one of 64 bits.
     return docs.join(hit, F.xxhash64(docs[text_col]) == hit["_hit"], "left_anti")

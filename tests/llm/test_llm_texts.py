@@ -157,7 +157,7 @@ def test_alignment_beside_the_full_matrix(spark, sf):
         texts.append(text)
         wants.append((rows[n][0], edits, edits <= items.edits[n]))
     got = collections.defaultdict(list)
-    for text, key, start, stop, edits in decontaminate.matches(texts, items, tables):
+    for text, key, start, stop, edits, _ in decontaminate.matches(texts, items, tables):
         got[(text, key)].append(edits)
     assert any(w for *_, w in wants) and not all(w for *_, w in wants)
     for i, (key, edits, within) in enumerate(wants):
@@ -187,6 +187,41 @@ def test_odd_documents_and_items(spark):
     assert decontaminate.drop_contaminated(docs, items).columns == docs.columns
 
 
+def test_parts_of_items(spark, sf):
+    rng = random.Random(6)
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = [r for r in items.collect() if len(r.text) > 220]
+    docs = []
+    for i, r in enumerate(rows):
+        n = len(r.text)
+        docs += [(3 * i, f"before {r.text[:n // 2]}"), (3 * i + 1, f"{r.text[n // 2:]} after"), (3 * i + 2, r.text[:60])]
+    got = collections.defaultdict(set)
+    for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), items).collect():
+        got[r.doc_id].add((r.item_id, r.whole))
+    for i, r in enumerate(rows):
+        halves = [len(t) > 160 for t in (r.text[:len(r.text) // 2], r.text[len(r.text) // 2:])]
+        assert [(r.item_id, False) in got[3 * i + k] for k in (0, 1)] == [True, True] or not all(halves)
+        assert not got[3 * i + 2]
+    assert len(rows) > 3
+
+
+def test_copied_items_and_periodic_texts(spark):
+    import tracemalloc
+    tables = decontaminate._tables()
+    whole = decontaminate.Items([(1, "a " * 300)], tables, decontaminate.Q, decontaminate.EDIT_SHARE)
+    windows = whole.parts(decontaminate.EDIT_SHARE)
+    tracemalloc.start()
+    found = decontaminate.matches(["a " * 40_000], whole, tables, windows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 200e6
+    passage = "The quick brown fox jumps over the lazy dog and 9 more; é runs."
+    items = spark.createDataFrame([(i, passage) for i in range(300)] + [(1, passage)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, passage), (2, "other")], "doc_id long, text string")
+    assert sorted(r.item_id for r in decontaminate.find(docs, items).collect()) == list(range(300))
+    assert [len(b) for b in decontaminate._blocks(decontaminate._texts(items, "item_id", "text"), 10)] == [1]
+
+
 # ---- repeated spans ---------------------------------------------------------------------
 
 def pieces(text):
