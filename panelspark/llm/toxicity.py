@@ -17,6 +17,8 @@ EXAMPLES = 8_000
 VOCABULARY = 4_096
 LEAST_DOCS = 5
 LEAST_CHI_SQUARE = 30.0
+# The share of chi-square in the number of examples: how strong a link is, whatever the number of examples.
+LEAST_LINK = 0.004
 NEIGHBOURS = 25
 # One in so many examples is kept out of the index to calibrate votes.
 CALIBRATE_EVERY = 4
@@ -196,8 +198,8 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, mos
     return Stored(texts, "examples"), share
 
 
-def select_terms(found: DataFrame, least_docs: int, least_chi: float, most: int) -> list[str]:
-    """The terms that go most with either label, by chi-square on the documents that hold them."""
+def select_terms(found: DataFrame, least_docs: int, least_chi: float, least_link: float, most: int) -> list[str]:
+    """The terms that go most with label 1, by chi-square on the documents that hold them."""
     size = {r["toxic"]: r["count"] for r in found.groupBy("toxic").count().collect()}
     n1, n0 = size.get(True, 0), size.get(False, 0)
     if not n1 or not n0:
@@ -232,7 +234,8 @@ def select_terms(found: DataFrame, least_docs: int, least_chi: float, most: int)
     a, b = F.col("a"), F.col("n") - F.col("a")
     c, d = n1 - a, n0 - b
     chi = (n1 + n0) * F.pow(a * d - b * c, F.lit(2)) / F.greatest(F.col("n") * (c + d) * n1 * n0, F.lit(1e-9))
-    best = terms.select("term", chi.alias("chi")).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(most)
+    best = terms.where(a * n0 > b * n1).select("term", chi.alias("chi")).where(
+        F.col("chi") >= max(least_chi, least_link * (n1 + n0))).orderBy(F.desc("chi"), "term").limit(most)
     return [r["term"] for r in best.collect()]
 
 
@@ -255,11 +258,11 @@ def features(docs: DataFrame, vocabulary: list[str], *keep: str) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", examples_per_label: int = EXAMPLES,
-          vocabulary: int = VOCABULARY, least_docs: int = LEAST_DOCS, least_chi: float = LEAST_CHI_SQUARE) -> DataFrame:
+          vocabulary: int = VOCABULARY, least_docs: int = LEAST_DOCS, least_chi: float = LEAST_CHI_SQUARE, least_link: float = LEAST_LINK) -> DataFrame:
     """doc_id, held_out, score (chance of label 1), predicted (1 from 0.5 on) and evidence, the nearest examples.
 
     Labels (doc_id, toxic) teach unless crc32 of the id as text divides by five. Terms are words and stems; the
-    vocabulary holds those that go with a label among the examples, their document frequencies come from all documents. A text is
+    vocabulary holds those that go with label 1 among the examples, their document frequencies come from all documents. A text is
     the vector of its terms' (1 + log n) * idf; the examples with the highest cosines vote, each by 1 / (0.05 + distance),
     and votes become chances by a rising curve fitted on examples outside the index. Examples count by the share of their label's rows
     that was taken. Texts without a term (null and empty ones too) get the share of toxic examples among
@@ -271,7 +274,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     found, share = examples(docs, labels, id_col, text_col, examples_per_label)
-    terms = select_terms(found.df, least_docs, least_chi, vocabulary)
+    terms = select_terms(found.df, least_docs, least_chi, least_link, vocabulary)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     read = Stored(features(rows, terms, "doc_id"), "term_counts")
     known = {r["p"]: r["count"] for r in read.df.select(F.explode("place").alias("p")).groupBy("p").count().collect()}
