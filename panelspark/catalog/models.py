@@ -80,16 +80,81 @@ def _on_train(rows):
     return train, train.withColumn("split", F.lit("test"))
 
 
+def _linear(train, features, keys=()):
+    """Scored train rows with the gap of their model, and the fitted models."""
+    setup = Setup(list(keys), ALPHAS, features, "target", {})
+    model = registry.get("linear_quantile")
+    fitted = model.fit(train, setup)
+    return model.predict(train, fitted, setup), fitted
+
+
 @query()
-def linear_quantile_fit(spark, sf):
+def linear_quantile_losses(spark, sf):
     """One linear model per level over all rows, beside the constant quantile."""
     train, seen = _on_train(prepared(spark, sf))
-    setup = Setup([], ALPHAS, FEATURES, "target", {})
-    model = registry.get("linear_quantile")
-    scored = model.predict(seen, model.fit(train, setup), setup)
     constant = quantiles.by_level(
         empirical.predict(seen, empirical.fit(train, [], ALPHAS), []), ALPHAS, name="prediction")
-    return _quantile_check(scored, constant)
+    return _quantile_check(_linear(train, FEATURES)[0], constant)
+
+
+@query(with_ctes(f"""
+    SELECT quantile_level, count(*) AS n_rows, round(avg({pinball_sql('target', 'q', 'quantile_level', rounded=False)}), 6) AS loss_constant,
+           true AS gap_ok, true AS below_constant, true AS share_ok
+    FROM modeling m, model_combined f WHERE m.split = 'train' GROUP BY quantile_level""", "modeling", "model_combined"))
+def linear_quantile_fit(spark, sf):
+    """One linear model per level over all rows: is each proven to have the least loss?
+
+    gap_ok: the duality gap is at most a millionth of the loss. share_ok: as the least loss needs, at most a share alpha of the rows
+    lie below the plane and at least that share below or on it.
+    """
+    train = _on_train(prepared(spark, sf))[0]
+    scored, fitted = _linear(train, FEATURES)
+    y, p, a = F.col("target"), F.col("prediction"), F.col("quantile_level")
+    constant = quantiles.by_level(empirical.predict(train, empirical.fit(train, [], ALPHAS), []), ALPHAS, name="prediction").groupBy(
+        "quantile_level").agg(F.avg(pinball(y, p, a)).alias("loss_constant"))
+    seen = scored.groupBy("quantile_level").agg(
+        F.count("*").alias("n_rows"), F.avg(pinball(y, p, a)).alias("loss"), F.avg((y < p - 1e-5).cast("double")).alias("below"),
+        F.avg((y <= p + 1e-5).cast("double")).alias("reached"))
+    table = seen.join(constant, "quantile_level").join(fitted.select("quantile_level", "gap"), "quantile_level")
+    return rounded(table.select(
+        "quantile_level", "n_rows", "loss_constant", (F.col("gap") <= 1e-6).alias("gap_ok"),
+        (F.col("loss") <= F.col("loss_constant")).alias("below_constant"), ((F.col("below") <= a) & (F.col("reached") >= a)).alias("share_ok")),
+        six=["loss_constant"])
+
+
+# With one 0/1 feature the least loss is that of each side's own quantile, an order statistic.
+@query(with_ctes(f"""
+    SELECT quantile_level, count(*) AS n_rows, round(avg({pinball_sql('f.target', 's.q', 'quantile_level', rounded=False)}), 6) AS loss, true AS gap_ok
+    FROM flagged f JOIN (SELECT flag, unnest({LEVEL_LIST}) AS quantile_level, unnest(quantile_disc(target::DOUBLE, {LEVEL_LIST})) AS q
+                         FROM flagged GROUP BY flag) s USING (flag) GROUP BY quantile_level""", "modeling",
+    flagged="SELECT *, target_lag_1 > 25 AS flag FROM modeling WHERE split = 'train'"))
+def linear_quantile_two_sides(spark, sf):
+    """The least loss over all rows where it has a closed form."""
+    train = _on_train(prepared(spark, sf))[0].withColumn("flag", (F.col("target_lag_1") > 25).cast("double"))
+    scored, fitted = _linear(train, ["flag"])
+    loss = scored.groupBy("quantile_level").agg(
+        F.count("*").alias("n_rows"), F.avg(pinball(F.col("target"), F.col("prediction"), F.col("quantile_level"))).alias("loss"))
+    return rounded(loss.join(fitted.select("quantile_level", (F.col("gap") <= 1e-6).alias("gap_ok")), "quantile_level"), six=["loss"])
+
+
+@query(with_ctes(f"""
+    SELECT productID, storeID, quantile_level, count(*) AS n_rows,
+           round(avg({pinball_sql('f.target', 's.q', 'quantile_level', rounded=False)}), 6) AS loss, true AS gap_ok
+    FROM flagged f JOIN (SELECT productID, storeID, flag, unnest({LEVEL_LIST}) AS quantile_level,
+                                unnest(quantile_disc(target::DOUBLE, {LEVEL_LIST})) AS q
+                         FROM flagged GROUP BY productID, storeID, flag) s USING (productID, storeID, flag)
+    JOIN (SELECT productID, storeID FROM flagged GROUP BY ALL HAVING count(*) > 3 AND min(target) < max(target)) USING (productID, storeID)
+    GROUP BY ALL""", "modeling", flagged="SELECT *, target_lag_1 > 25 AS flag FROM modeling WHERE split = 'train'"))
+def linear_quantile_two_sides_individual(spark, sf):
+    """The same for every SKU with more than three rows that differ."""
+    train = _on_train(prepared(spark, sf))[0].withColumn("flag", (F.col("target_lag_1") > 25).cast("double"))
+    varied = train.groupBy(*SKU_KEYS).agg(F.count("*").alias("n"), F.min("target").alias("low"), F.max("target").alias("high")).where(
+        (F.col("n") > 3) & (F.col("low") < F.col("high")))
+    scored, fitted = _linear(train.join(varied.select(*SKU_KEYS), list(SKU_KEYS), "left_semi"), ["flag"], SKU_KEYS)
+    loss = scored.groupBy(*SKU_KEYS, "quantile_level").agg(
+        F.count("*").alias("n_rows"), F.avg(pinball(F.col("target"), F.col("prediction"), F.col("quantile_level"))).alias("loss"))
+    ok = fitted.select(*SKU_KEYS, "quantile_level", (F.col("gap") <= 1e-6).alias("gap_ok"))
+    return rounded(loss.join(ok, [*SKU_KEYS, "quantile_level"]), six=["loss"])
 
 
 @query()

@@ -91,7 +91,7 @@ register("empirical_quantile", ModelType(
 
 
 def _linear_fit(train, s):
-    options = {k: s.params[k] for k in ("max_iter", "p_tol") if k in s.params}
+    options = {k: s.params[k] for k in ("max_iter", "p_tol", "method") if k in s.params}
     return linear.fit(train, s.keys, s.alphas, s.features, s.target, **options)
 
 

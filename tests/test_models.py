@@ -82,6 +82,51 @@ def test_linear_for_all_rows_never_collects_rows_and_repeats(frame, monkeypatch)
     assert np.allclose(one["coefficients"], two["coefficients"], atol=1e-6) and one["n_iter"] == two["n_iter"]
 
 
+def test_interior_point_proves_its_loss():
+    rng = np.random.default_rng(1)
+    for n, p, alpha in ((400, 4, 0.5), (60, 8, 0.95), (3000, 3, 0.99)):
+        x = np.column_stack([np.ones(n), rng.normal(size=(n, p - 1)), np.ones(n)])  # one column twice
+        y = np.round(x[:, 1:p] @ rng.normal(size=p - 1) + rng.gamma(2, 2, n))
+        unit = np.ones(n)
+        beta, d = linear.interior_point(x, y, (alpha - 1) * unit, alpha * unit, np.zeros(p + 1), np.zeros(p + 1))
+        assert (d >= alpha - 1).all() and (d <= alpha).all() and abs(x.T @ d).max() < 1e-6 * n
+        assert abs(loss(y, x @ beta, alpha) * n - d @ y) <= 1e-7 * n
+
+
+@pytest.mark.parametrize("band", [100, 20_000])
+def test_linear_gap_closes_for_any_band(frame, data, monkeypatch, band):
+    """Bands that hold only some of the rows are sampled, narrowed and widened again; the bound is that of all rows."""
+    monkeypatch.setattr(linear, "BAND_ROWS", band)
+    passes = []
+    plain = linear._pass
+    monkeypatch.setattr(linear, "_pass", lambda *a: passes.append(1) or plain(*a))
+    train, own = frame.where("split = 'train'"), data[data.split == "train"]
+    model = linear.fit(train, [], [0.5, 0.9], FEATURES).collect()
+    assert len(passes) < 20
+    for r in model:
+        p = r["intercept"] + own[FEATURES].to_numpy() @ np.array(r["coefficients"])
+        low = best_linear_loss(own[FEATURES].to_numpy(), own.target.to_numpy(), r["quantile_level"])
+        assert loss(own.target, p, r["quantile_level"]) <= low * (1 + 1e-6)
+        assert r["gap"] is not None and r["gap"] <= 1e-6
+
+
+def test_linear_options(frame):
+    train = frame.where("split = 'train'")
+    with pytest.raises(ValueError, match="method"):
+        linear.fit(train, [], [0.5], FEATURES, method="bfgs")
+    assert linear.fit(train, [], [0.5], FEATURES, max_iter=1).first()["n_iter"] == 1
+    per_sku = linear.fit(train, ["productID", "storeID"], [0.5, 0.9], FEATURES)
+    assert per_sku.where("gap IS NULL OR gap > 1e-6").count() == 0
+
+
+def test_linear_with_many_rows_on_the_plane(spark):
+    """More rows than a band holds lie exactly on the best plane: it is found, its gap is unknown or small."""
+    rows = [(float(i % 7), 0.0 if i % 10 else float(i % 13)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, target double")
+    row = linear.fit(df, [], [0.5], ["a"]).first()
+    assert abs(row["intercept"]) < 1e-4 and abs(row["coefficients"][0]) < 1e-4
+
+
 def test_linear_with_few_rows_falls_back_to_the_quantile(spark):
     df = spark.createDataFrame([(1, 1, 0.1, 5.0), (1, 1, 0.2, 9.0)], "productID int, storeID int, a double, target double")
     row = linear.fit(df, ["productID", "storeID"], [0.5], ["a"]).first()

@@ -44,7 +44,7 @@ def test_entry_has_rows_and_a_stable_schema(spark):
     assert df.count() > 0
 
 
-LOSS_TABLES = {"linear_quantile_fit": 1.0, "linear_quantile_fit_individual": 1.0, "gbt_quantile": 1.0}
+LOSS_TABLES = {"linear_quantile_losses": 1.0, "linear_quantile_fit_individual": 1.0, "gbt_quantile": 1.0}
 
 
 @pytest.mark.parametrize("name", LOSS_TABLES)
