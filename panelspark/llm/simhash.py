@@ -255,11 +255,12 @@ def _rooted(docs, id_col, text_col, words, max_bits, bucket_limit) -> DataFrame:
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
              max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs``, one of each component: that of the smallest id, then of the smallest
-    text hash. Columns are those of ``docs``."""
+    text hash. Columns are those of ``docs``, whatever their names."""
     found = _rooted(docs, id_col, text_col, words, max_bits, BUCKET_LIMIT)
     first = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
     first = Stored(first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct(), "first").df
-    hashed = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    kept = hashed.join(first, hashed[id_col].eqNullSafe(first["_id"]) & (hashed["_text_hash"] == first["_hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    packed = packed.select("row", F.col(f"row.{id_col}").alias("id"), F.xxhash64(f"row.{text_col}").alias("hash"))
+    kept = packed.join(first, packed["id"].eqNullSafe(first["_id"]) & (packed["hash"] == first["_hash"]), "left_semi")
+    return kept.dropDuplicates(["id", "hash"]).select("row.*")

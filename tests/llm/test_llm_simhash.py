@@ -81,3 +81,11 @@ def test_masks_cover_all_near_pairs():
             for _ in range(50):
                 change = sum(1 << int(b) for b in rng.choice(np.arange(20, 64), 4, replace=False))
                 assert any(not change & m for m in masks) and all(m & fixed == fixed for m in masks)
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "same text here", "a", 5, "r"), (2, "same text here", "b", 6, "s"), (3, "another one, quite different from it", None, 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_hash string, hash int, row string").selectExpr("*", "1 AS id", "2 AS _id", "3 AS root")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect()) == sorted(r for r in docs.collect() if r.doc_id != 2)
