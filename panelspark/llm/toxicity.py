@@ -27,7 +27,8 @@ EVIDENCE = 3
 _WORD = re.compile(r"\w+")
 _STEMS = range(4, 9)
 _BLOCK = 64
-_MEMORY = 300_000
+# Words, judged vectors and terms that a worker remembers at a time.
+_MEMORY, _VECTORS, _TERMS = 100_000, 20_000, 150_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -219,14 +220,14 @@ def select_terms(found: DataFrame, least_docs: int, least_chi: float, least_link
             return made
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 100):
                 for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                     for t in {t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)}:
                         every[t] = every.get(t, 0) + 1
                         if toxic:
                             bad[t] = bad.get(t, 0) + 1
-                if len(every) > 1_000_000:
-                    yield flush()
+                    if len(every) > _TERMS:
+                        yield flush()
         yield flush()
 
     terms = found.select("text", "toxic").mapInArrow(count, "term string, a long, n long").groupBy("term").agg(
@@ -246,7 +247,7 @@ def features(docs: DataFrame, vocabulary: list[str], *keep: str) -> DataFrame:
     def read(batches):
         places = Places(sent.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 100):
                 found = [counts_of(t, places) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in keep], pa.array([p for p, _ in found], pa.list_(pa.int32())),
@@ -288,12 +289,12 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def judge(batches):
         model, seen = sent.value, {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2000)):
             out = []
             for place, n in zip(batch.column("place").to_pylist(), batch.column("n").to_pylist()):
                 key = (tuple(place), tuple(n))
                 if key not in seen:
-                    if len(seen) >= _MEMORY:
+                    if len(seen) >= _VECTORS:
                         seen.clear()
                     seen[key] = model.judge(place, n)
                 out.append(seen[key])
