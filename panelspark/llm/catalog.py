@@ -61,9 +61,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", language.held_out(F.col("doc_id")))
 
 
-# Fixed rules (host, path, verdict) and the hosts whose crawled pages make up the list of URLs.
+# Fixed rules (host, path, verdict). The list of URLs: pages of these hosts that were crawled by a tracked link; other forms
+# of the same page are listed by it, other pages of the host are not.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 LISTED_HOSTS = r"(^|\.)(spam-farm|adult-x)\."
+TRACKED = r"[?&](utm_[^=&#]*|ref)="
 
 _CANONICAL = r"""CASE WHEN host = '' THEN '' ELSE regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+\z', '')
   || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END"""
@@ -80,8 +82,9 @@ split AS (
          list_sort([p FOR p IN string_split(regexp_extract(u, '(?s)^[^?#]*\?([^#]*)', 1), '&')
            IF p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|fbclid|gclid|ref)(=|\z)')]) AS kept
   FROM cut),
-canon AS (SELECT page_id, host, path, {_CANONICAL} AS canonical FROM split),
-list AS (SELECT DISTINCT canonical FROM canon WHERE canonical <> '' AND regexp_matches(host, '(^|\.)(spam-farm|adult-x)\.')),
+canon AS (SELECT page_id, u, host, path, {_CANONICAL} AS canonical FROM split),
+list AS (SELECT DISTINCT canonical FROM canon WHERE canonical <> '' AND regexp_matches(host, '(^|\.)(spam-farm|adult-x)\.')
+         AND regexp_matches(u, '[?&](utm_[^=&#]*|ref)=')),
 ruled AS (
   SELECT page_id, host, path, canonical IN (SELECT canonical FROM list) AS listed,
     CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
@@ -95,7 +98,7 @@ SELECT page_id, host, path, rule, listed,
 FROM ruled""")
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(url_filter.host_and_path(F.col("url"))[0].rlike(LISTED_HOSTS)).select("url")
+    listed = pages.where(url_filter.host_and_path(F.col("url"))[0].rlike(LISTED_HOSTS) & F.col("url").rlike(TRACKED)).select("url")
     return url_filter.judge(pages, listed, URL_RULES)
 
 

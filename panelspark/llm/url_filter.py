@@ -50,9 +50,9 @@ def _masks() -> list[Column]:
 
 
 def bloom_filter(listed: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
-    """Blocks of the filter as rows (block, w0..w3), and their number, at most MAX_BLOCKS."""
+    """Blocks of the filter as rows (block, w0..w3), and their number, which grows with the list."""
     n_blocks = 64
-    while n_blocks * 64 * _WORDS < n_keys * _BITS_PER_KEY and n_blocks < MAX_BLOCKS:
+    while n_blocks * 64 * _WORDS < n_keys * _BITS_PER_KEY:
         n_blocks *= 2
     words = [F.bit_or(m).alias(f"w{i}") for i, m in enumerate(_masks())]
     return listed.groupBy(_block(n_blocks).alias("block")).agg(*words), n_blocks
@@ -63,9 +63,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     """page_id, host, path, rule, verdict and listed of every row.
 
     ``listed`` has one column of URLs to block, in any form. A URL is listed if the canonical forms are equal. The
-    filter, at most MAX_BLOCKS rows however long the list, goes to every executor and lets through all listed
-    URLs and few others; only these are shuffled to the exact join, where one much repeated URL is
-    split by adaptive execution. A longer list passes more; the join decides in any case. A null URL or one
+    filter has 16 bits for each listed URL, so it lets through all listed URLs and few others; only these are
+    shuffled to the exact join, where one much repeated URL is split by adaptive execution. Up to MAX_BLOCKS rows, some four million
+    URLs, the filter goes to every executor; a larger one is a table that pages meet by block. A null URL or one
     without ``://`` has an empty host and path, is never listed, and is allowed. Repeated rows and null ids
     stay; an empty table gives no rows, an empty list blocks nothing. Other columns are not read.
     """
@@ -81,7 +81,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     blocks, n_blocks = bloom_filter(keys, keys.count())
     blocks = Stored(blocks, "bloom").df
     rows = parsed(pages, url_col, F.col(id_col).alias("page_id")).withColumn("block", _block(n_blocks))
-    probed = rows.join(F.broadcast(blocks), "block", "left")
+    probed = rows.drop("url").join(F.broadcast(blocks) if n_blocks <= MAX_BLOCKS else blocks, "block", "left")
     passes = F.lit(True)
     for i, m in enumerate(_masks()):
         passes &= F.coalesce(F.col(f"w{i}").bitwiseAND(m), F.lit(0)) != 0

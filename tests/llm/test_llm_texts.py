@@ -116,6 +116,14 @@ def test_url_verdicts(spark):
     assert url_filter.judge(pages.limit(0), listed, []).count() == 0
 
 
+def test_long_list_by_a_joined_filter(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 8)
+    listed = spark.range(4000).selectExpr("concat('http://www.h', id % 7, '.org/p', id, '?utm_x=1') AS url")
+    pages = spark.range(9000).selectExpr("id AS page_id", "concat('https://h', id % 7, '.org/p', id, '/') AS url")
+    got = url_filter.judge(pages, listed, [])
+    assert {r.page_id for r in got.where("listed").collect()} == set(range(4000)) and got.count() == 9000
+
+
 def test_filter_passes_every_key(spark):
     keys = spark.range(5000).selectExpr("concat('k', id) AS canonical")
     blocks, n = url_filter.bloom_filter(keys, 5000)
