@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
@@ -48,8 +46,6 @@ class ModelType:
     description: str = ""
 
 
-LEVELS_AT_ONCE = 4
-
 _TYPES: dict[str, ModelType] = {}
 
 
@@ -112,12 +108,7 @@ def _gbt_fit(train, s):
 
 
 def _gbt_quantile_fit(train, s):
-    if s.keys:
-        return _gbt_fit(train, s)
-    # Levels are independent chains of small jobs; side by side they share the executors.
-    with ThreadPoolExecutor(max_workers=LEVELS_AT_ONCE) as pool:
-        tables = list(pool.map(lambda a: trees.fit_quantile(train, a, s.features, s.target, s.params), s.alphas))
-    return reduce(DataFrame.unionByName, tables)
+    return _gbt_fit(train, s) if s.keys else trees.fit_levels(train, s.alphas, s.features, s.target, s.params)
 
 
 register("gbt_regress", ModelType(
@@ -125,5 +116,5 @@ register("gbt_regress", ModelType(
     description="boosted trees, squared loss"))
 register("gbt_quantile", ModelType(
     fit=_gbt_quantile_fit, predict=_tree_predict, requires_quantile=True,
-    search_space=trees.QUANTILE_SEARCH_SPACE, as_table=lambda fitted, s: fitted,
+    search_space=trees.SEARCH_SPACE, as_table=lambda fitted, s: fitted,
     description="boosted trees, pinball loss"))

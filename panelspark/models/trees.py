@@ -1,6 +1,6 @@
 """Boosted trees: squared loss and quantile loss.
 
-One model for all rows uses Spark's distributed trees. One model per daily series grows
+One model for all rows adds up histograms over all tasks. One model per daily series grows
 small trees inside tasks, since a series is bounded by the calendar.
 """
 
@@ -10,13 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.config import check_alphas
-from panelspark.operators.quantiles import spread_quantiles
-from panelspark.session import materialize, scratch_path, spread_by_key
+from panelspark.models import boosting
+from panelspark.models.histograms import BINS, choose, descend, histogram, leaf_value, nodes_of as _nodes_of
+from panelspark.session import spread_by_key
 
 # The tuning space of the tree models, name, low, high, whole number.
 SEARCH_SPACE = (
@@ -26,28 +25,29 @@ SEARCH_SPACE = (
     ("subsample", 0.6, 1.0, False),
     ("colsample_bytree", 0.6, 1.0, False),
     ("gamma", 0.0, 5.0, False),
+    ("reg_alpha", 0.0, 10.0, False),
+    ("reg_lambda", 0.1, 10.0, False),
     ("n_estimators", 50, 300, True),
 )
 
-# The pinball fit draws rows, not columns.
-QUANTILE_SEARCH_SPACE = tuple(x for x in SEARCH_SPACE if x[0] != "colsample_bytree")
-
-ROUNDS_PER_CUT = 5
-BINS = 64
-
 # One default for each parameter, whichever tree model it goes to.
-DEFAULTS = {"eta": 0.3, "max_depth": 6, "min_child_weight": 1, "gamma": 0.0, "subsample": 1.0, "colsample_bytree": 1.0}
-_ALSO = {"num_boost_round", "n_estimators", "max_bins", "seed", "random_state", "quantile_alphas"}
+DEFAULTS = {"eta": 0.3, "max_depth": 6, "min_child_weight": 1, "gamma": 0.0, "subsample": 1.0, "colsample_bytree": 1.0,
+            "reg_alpha": 0.0, "reg_lambda": 0.0}
+_ALSO = {"num_boost_round", "n_estimators", "seed", "random_state", "quantile_alphas"}
 
 
-def settings_of(params: dict, unsupported: tuple = ()) -> dict:
-    """Parameters with defaults filled in. Unknown names, and values that a fit would not heed, are errors."""
+def settings_of(params: dict) -> dict:
+    """Parameters with defaults filled in, as numbers. Unknown names are errors: they would have no effect.
+
+    ``gamma`` is the least gain per row of a node; ``reg_alpha`` and ``reg_lambda`` act on cuts and on the
+    leaves of squared loss (pinball leaves are quantiles).
+    """
     unknown = sorted(set(params) - set(DEFAULTS) - _ALSO)
-    found = {**DEFAULTS, **params}
-    unheeded = [name for name in unsupported if float(found[name]) != DEFAULTS[name]]
-    if unknown or unheeded:
-        raise ValueError(f"tree parameters that would have no effect: {unknown + unheeded}")
-    return found
+    if unknown:
+        raise ValueError(f"tree parameters that would have no effect: {unknown}")
+    found = {name: float(params.get(name, value)) for name, value in DEFAULTS.items()}
+    whole = {name: int(found[name]) for name in ("max_depth", "min_child_weight")}
+    return {**found, **whole, "seed": int(params.get("seed", params.get("random_state", 42)))}
 
 
 def rounds_of(params: dict) -> int:
@@ -58,21 +58,6 @@ def rounds_of(params: dict) -> int:
     raise ValueError("give 'n_estimators' or 'num_boost_round'")
 
 
-def _tree_settings(params: dict) -> dict:
-    names = {
-        "max_depth": "maxDepth", "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain",
-        "subsample": "subsamplingRate", "max_bins": "maxBins",
-    }
-    # gamma is the least gain per row of a node, in tasks as in Spark.
-    settings = {ml: params[own] for own, ml in names.items() if own in params}
-    settings["seed"] = int(params.get("seed", params.get("random_state", 42)))
-    return settings
-
-
-def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_x").transform(df)
-
-
 # ---- fitted trees as rows ------------------------------------------------------------
 
 # A row with ``value`` x is added where a tree ends there; tree 0 is one leaf, the start value. A row goes to
@@ -82,21 +67,6 @@ TABLE = f"quantile_level double, {NODE_FIELDS}"
 _NODE_NAMES = [f.split()[0] for f in NODE_FIELDS.split(", ")]
 
 
-def _saved_nodes(model, spark) -> DataFrame:
-    """Nodes of a Spark tree model, read from its saved form; ids follow the order of the tree, lower side first."""
-    path = scratch_path(spark, "tree")
-    model.write().save(path)
-    saved = spark.read.parquet(f"{path}/data")
-    if "nodeData" in saved.columns:
-        saved = saved.select(F.col("treeID").alias("tree"), "nodeData.*")
-    else:
-        saved = saved.withColumn("tree", F.lit(0))
-    return saved.select(
-        "tree", F.col("id").alias("node"), F.col("split.featureIndex").alias("feature"),
-        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("border"), F.col("leftChild").alias("low"),
-        F.col("rightChild").alias("high"), F.col("prediction").alias("value"))
-
-
 def _evaluate(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Sum over the trees of the leaf value of each row; ``nodes`` are rows of NODE_FIELDS."""
     out = np.zeros(len(x))
@@ -145,64 +115,21 @@ def predict(df: DataFrame, table: DataFrame, keys: list[str], features: list[str
 
 # ---- one model for all rows ----------------------------------------------------------
 
+def fit_levels(train: DataFrame, alphas: list, features: list[str], target: str, params: dict) -> DataFrame:
+    """Boosting of the pinball loss at all levels at once, as a table of nodes; a level of None is squared loss."""
+    levels = [None if a is None else check_alphas([a])[0] for a in alphas]
+    rows = boosting.fit(train, levels, features, target, settings_of(params), rounds_of(params))
+    return train.sparkSession.createDataFrame([tuple(None if v != v else v for v in r) for r in rows], TABLE)
+
+
 def fit_regression(train: DataFrame, features: list[str], target: str, params: dict) -> DataFrame:
     """Squared-loss boosting over all rows, as a table of nodes."""
-    params = settings_of(params)
-    settings = _tree_settings(params)
-    if float(params["colsample_bytree"]) < 1:
-        settings["featureSubsetStrategy"] = str(float(params["colsample_bytree"]))
-    gbt = GBTRegressor(
-        featuresCol="_x", labelCol=target, predictionCol="prediction",
-        maxIter=rounds_of(params), stepSize=float(params["eta"]),
-        checkpointInterval=10, **settings)
-    model = gbt.fit(_assemble(train, features))
-    weights = F.array(*[F.lit(float(w)) for w in model.treeWeights])
-    nodes = _saved_nodes(model, train.sparkSession)
-    return nodes.withColumn("value", F.col("value") * F.get(weights, F.col("tree"))).select(
-        F.lit(None).cast("double").alias("quantile_level"), *_NODE_NAMES)
+    return fit_levels(train, [None], features, target, params)
 
 
 def fit_quantile(train: DataFrame, alpha: float, features: list[str], target: str, params: dict) -> DataFrame:
-    """Gradient boosting of the pinball loss over all rows, as a table of nodes.
-
-    A tree is fitted to the sign-like gradient, then each leaf takes the exact quantile of
-    its residuals. A leaf may hold any share of the rows, so leaf quantiles use the spread
-    form. Rows are written again every few rounds, which keeps plans short and makes a lost
-    executor cost only those rounds.
-    """
-    alpha = check_alphas([alpha])[0]
-    params = settings_of(params, ("colsample_bytree",))
-    eta = float(params["eta"])
-    settings = _tree_settings(params)
-    spark = train.sparkSession
-    start = spread_quantiles(train, [], target, [alpha]).first()["quantiles"][0]
-    rows = _assemble(train, features).select("_x", F.col(target).cast("double").alias("_y"))
-    rows = materialize(rows.withColumn("_f", F.lit(float(start))), "boost")
-    table = [(alpha, 0, 0, -1, None, -1, -1, float(start))]
-    for i in range(rounds_of(params)):
-        gradient = F.when(F.col("_y") >= F.col("_f"), F.lit(alpha)).otherwise(F.lit(alpha - 1))
-        learner = DecisionTreeRegressor(
-            featuresCol="_x", labelCol="_g", predictionCol="_step", leafCol="_leaf",
-            **{k: v for k, v in settings.items() if k != "subsamplingRate"})
-        sample = rows.withColumn("_g", gradient)
-        if float(params["subsample"]) < 1.0:
-            sample = sample.sample(float(params["subsample"]), settings["seed"] + i)
-        tree = learner.fit(sample)
-        residuals = tree.transform(rows).select("_leaf", (F.col("_y") - F.col("_f")).alias("_r"))
-        quantiles = spread_quantiles(residuals, ["_leaf"], "_r", [alpha])
-        leaves = {int(r["_leaf"]): r["quantiles"][0] for r in quantiles.collect()}
-        nth = 0
-        for node in _saved_nodes(tree, spark).orderBy("node").collect():
-            leaf = node["low"] < 0
-            step = eta * leaves.get(nth, 0.0) if leaf else 0.0
-            nth += leaf
-            table.append((alpha, i + 1, node["node"], node["feature"], node["border"], node["low"], node["high"], step))
-        steps = F.create_map(*[F.lit(v) for pair in leaves.items() for v in pair])
-        moved = F.col("_f") + eta * F.coalesce(F.try_element_at(steps, F.col("_leaf").cast("int")), F.lit(0.0))
-        rows = tree.transform(rows).withColumn("_f", moved).drop("_leaf", "_step")
-        if (i + 1) % ROUNDS_PER_CUT == 0:
-            rows = materialize(rows, "boost")
-    return spark.createDataFrame(table, TABLE)
+    """Gradient boosting of the pinball loss over all rows, as a table of nodes."""
+    return fit_levels(train, [alpha], features, target, params)
 
 
 # ---- one model per daily series ------------------------------------------------------
@@ -214,54 +141,36 @@ def _bins(x):
     return np.column_stack([np.searchsorted(b, col) for b, col in zip(borders, x.T)]), borders
 
 
-def _grow(bins, g, depth, min_rows, min_gain):
+def _grow(bins, g, depth, min_rows, min_gain, l1=0.0, l2=0.0, live=None, columns=None):
     """Leaf numbers of the rows and, per level, whether, by which column and at which border each node is cut.
 
-    All nodes of a level are cut at once.
+    All nodes of a level are cut at once, by the ``live`` rows.
     """
-    n, width = bins.shape
-    leaf, cuts = np.zeros(n, int), []
+    cuts = []
     for level in range(depth):
-        shape = (2 ** level, width, BINS)
-        cell = ((leaf[:, None] * width + np.arange(width)) * BINS + bins).ravel()
-        count = np.bincount(cell, minlength=np.prod(shape)).reshape(shape).cumsum(2)
-        total = np.bincount(cell, np.repeat(g, width), np.prod(shape)).reshape(shape).cumsum(2)
-        rest, rest_total = count[..., -1:] - count, total[..., -1:] - total
-        gain = total ** 2 / np.maximum(count, 1) + rest_total ** 2 / np.maximum(rest, 1)
-        gain = gain - total[..., -1:] ** 2 / np.maximum(count[..., -1:], 1)
-        gain = gain / np.maximum(count[..., -1:], 1)
-        gain = np.where((count >= min_rows) & (rest >= min_rows), gain, -np.inf).reshape(shape[0], -1)
-        best = gain.argmax(1)
-        useful = gain[np.arange(shape[0]), best] > max(min_gain, 1e-12)
-        column, border = best // BINS, best % BINS
-        cuts.append((useful, column, border))
-        leaf = 2 * leaf + (useful[leaf] & (bins[np.arange(n), column[leaf]] > border[leaf]))
-    return leaf, cuts
-
-
-def _nodes_of(number, cuts, borders, leaves):
-    """Rows of NODE_FIELDS of one tree; nodes that are not cut pass rows on to their lower side."""
-    rows = []
-    for level, (useful, column, border) in enumerate(cuts):
-        first, below = 2 ** level - 1, 2 ** (level + 1) - 1
-        for i, (cut, c, b) in enumerate(zip(useful, column, border)):
-            rows.append((number, first + i, int(c) if cut else -1, float(borders[c][b]) if cut else np.nan,
-                         below + 2 * i, below + 2 * i + 1, 0.0))
-    first = 2 ** len(cuts) - 1
-    return rows + [(number, first + i, -1, np.nan, -1, -1, leaves.get(i, 0.0)) for i in range(2 ** len(cuts))]
-
-
-def _boost_series(bins, borders, y, alpha, rounds, eta, depth, min_rows, min_gain):
+        leaf = descend(bins, cuts)
+        *cut, _ = choose(*histogram(bins, g, leaf if live is None else np.where(live, leaf, -1), 2 ** level), min_rows, min_gain, l1, l2, columns)
+        cuts.append(tuple(cut))
+    return descend(bins, cuts), cuts
+
+
+def _boost_series(bins, borders, y, alpha, rounds, o, ids):
     """Nodes of the trees of one series; no level means squared loss."""
-    center = np.mean if alpha is None else (lambda v: np.quantile(v, alpha))
-    fit = np.full(len(y), center(y))
-    rows = [(0, 0, -1, np.nan, -1, -1, float(center(y)))]
+    fit = np.full(len(y), np.mean(y) if alpha is None else np.quantile(y, alpha))
+    rows = [(0, 0, -1, np.nan, -1, -1, float(fit[0]))]
     for number in range(1, rounds + 1):
         g = y - fit if alpha is None else np.where(y >= fit, alpha, alpha - 1)
-        leaf, cuts = _grow(bins, g, depth, min_rows, min_gain)
+        live = boosting.draw(ids, o["seed"], number) < o["subsample"] if o["subsample"] < 1 else np.ones(len(y), bool)
+        columns = boosting.drawn_columns(bins.shape[1], o["colsample_bytree"], o["seed"], number)
+        leaf, cuts = _grow(bins, g, o["max_depth"], o["min_child_weight"], o["gamma"], o["reg_alpha"], o["reg_lambda"], live, columns)
         leaves = {}
         for one in np.unique(leaf):
-            leaves[int(one)] = step = float(eta * center((y - fit)[leaf == one]))
+            r = (y - fit)[leaf == one]
+            if alpha is None:
+                step = leaf_value(r[live[leaf == one]].sum(), live[leaf == one].sum(), o["reg_alpha"], o["reg_lambda"])
+            else:
+                step = np.quantile(r, alpha)
+            leaves[int(one)] = step = float(o["eta"] * step)
             fit[leaf == one] += step
         rows += _nodes_of(number, cuts, borders, leaves)
     return rows
@@ -278,14 +187,15 @@ def fit_series(train: DataFrame, keys: list[str], alphas, features: list[str], t
     """
     levels = check_alphas(alphas) if alphas else [None]
     rounds = rounds_of(params)
-    params = settings_of(params, ("subsample", "colsample_bytree"))
-    options = (rounds, float(params["eta"]), int(params["max_depth"]), int(params["min_child_weight"]), float(params["gamma"]))
+    options = settings_of(params)
     names = [*keys, *[f.split()[0] for f in TABLE.split(", ")]]
 
     def boost(key, pdf):
         bins, borders = _bins(pdf[features].to_numpy(float))
         y = pdf[target].to_numpy(float)
-        rows = [(*key, a, *r) for a in levels for r in _boost_series(bins, borders, y, a, *options)]
+        # Draws go by a row's place in the order of its values, which does not depend on the shuffle.
+        ids = np.lexsort((*bins.T, y)).argsort()
+        rows = [(*key, a, *r) for a in levels for r in _boost_series(bins, borders, y, a, rounds, options, ids)]
         return pd.DataFrame(rows, columns=names).astype({"quantile_level": float})
 
     rows = spread_by_key(train.select(*keys, target, *features), keys)

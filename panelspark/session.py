@@ -45,6 +45,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, files: list[str]) -> None:
+    """Remove written tables below the shared folder, given by their files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    inside = jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
+    for folder in {f.rsplit("/", 1)[0] for f in files}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(f"{inside}/"):
+            path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: a cut that outlives executors."""
     path = scratch_path(df.sparkSession, name)
