@@ -204,11 +204,25 @@ def _regression_check(scored, rows):
 
 
 @query()
-def gbt_regress(spark, sf):
+def gbt_regress_losses(spark, sf):
     rows = prepared(spark, sf)
     return _regression_check(_run(rows, "gbt_regress", Strategy.COMBINED, **TREES)[0], rows)
 
 
+@query(with_ctes("""
+    SELECT count(*) AS n_rows, round(stddev_pop(target), 6) AS rmse_mean, true AS below_mean, true AS mean_kept
+    FROM modeling WHERE split = 'train'""", "modeling"))
+def gbt_regress(spark, sf):
+    """Boosted trees on the rows they saw: closer than the mean, and right on average, as steps of leaf means keep it."""
+    train, seen = _on_train(prepared(spark, sf))
+    scored = _run(train.unionByName(seen), "gbt_regress", Strategy.COMBINED, **TREES)[0]
+    y, p = F.col("target"), F.col("prediction")
+    table = scored.agg(F.count("*").alias("n_rows"), F.stddev_pop(y).alias("rmse_mean"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"),
+                       F.avg(y - p).alias("bias"))
+    return rounded(table.select("n_rows", "rmse_mean", (F.col("rmse") < F.col("rmse_mean")).alias("below_mean"),
+                                (F.abs("bias") < 1e-6).alias("mean_kept")), six=["rmse_mean"])
+
+
 @query()
 def gbt_regress_individual(spark, sf):
     rows = prepared(spark, sf)
@@ -217,7 +231,8 @@ def gbt_regress_individual(spark, sf):
 
 
 @query()
-def gbt_quantile(spark, sf):
+def gbt_quantile_losses(spark, sf):
+    """Boosted trees of five levels over all rows, beside the constant quantile."""
     train, seen = _on_train(prepared(spark, sf))
     scored, _ = _run(train.unionByName(seen), "gbt_quantile", Strategy.COMBINED, ALPHAS, **TREES)
     constant = quantiles.by_level(
@@ -225,14 +240,42 @@ def gbt_quantile(spark, sf):
     return _quantile_check(scored, constant)
 
 
+@query(with_ctes(f"""
+    SELECT quantile_level, count(*) AS n_rows, round(avg({pinball_sql('target', 'q', 'quantile_level', rounded=False)}), 6) AS loss_constant,
+           true AS below_constant, true AS share_ok
+    FROM modeling m, model_combined f WHERE m.split = 'train' GROUP BY quantile_level""", "modeling", "model_combined"))
+def gbt_quantile(spark, sf):
+    """Boosted trees of five levels over all rows: losses below the constant quantile's, and each level's share of rows reached."""
+    found = gbt_quantile_losses(spark, sf)
+    return rounded(found.select(
+        "quantile_level", F.col("n_model").alias("n_rows"), "loss_constant", (F.col("loss_model") < F.col("loss_constant")).alias("below_constant"),
+        (F.abs(F.col("coverage_model") - F.col("quantile_level")) < 0.03).alias("share_ok")), six=["loss_constant"])
+
+
+# Two 0/1 features cut twice leave four cells, whichever is cut first; each round goes half of what is left of the way from the
+# whole quantile to a cell's own.
+@query(with_ctes(f"""
+    SELECT t.bdID, c.quantile_level, round(w.q + 0.75 * (c.q - w.q), 6) AS prediction
+    FROM flagged t JOIN (SELECT flag, dear, unnest({LEVEL_LIST}) AS quantile_level, unnest(quantile_cont(target::DOUBLE, {LEVEL_LIST})) AS q
+                         FROM flagged WHERE split = 'train' GROUP BY flag, dear) c USING (flag, dear)
+    JOIN model_combined w USING (quantile_level) WHERE t.split = 'test'""", "modeling", "model_combined",
+    flagged="SELECT *, target_lag_1 > 25 AS flag, price > 1500 AS dear FROM modeling"))
+def gbt_quantile_two_rounds(spark, sf):
+    rows = prepared(spark, sf).withColumns({"flag": (F.col("target_lag_1") > 25).cast("double"), "dear": (F.col("price") > 1500).cast("double")})
+    config = ModelConfig("gbt_quantile", {"n_estimators": 2, "eta": 0.5, "max_depth": 2}, ALPHAS)
+    setup = experiment.setup_of(rows, config, Strategy.COMBINED, features=["flag", "dear"])
+    scored = experiment.fit_predict(rows, "gbt_quantile", setup)[1]
+    return rounded(scored.select("bdID", "quantile_level", "prediction"), six=["prediction"])
+
+
 # One round of one cut by a 0/1 feature, taken whole, has a closed form: the two sides' means or quantiles.
 _FLAGGED = "SELECT *, target_lag_1 > 25 AS flag FROM modeling"
 _ALONE = "CAST(NULL AS DOUBLE)"
 
 
-def _one_cut(spark, sf, model_type, strategy, alphas=None):
+def _one_cut(spark, sf, model_type, strategy, alphas=None, **penalties):
     rows = prepared(spark, sf).withColumn("flag", (F.col("target_lag_1") > 25).cast("double"))
-    config = ModelConfig(model_type, {"n_estimators": 1, "eta": 1.0, "max_depth": 1}, alphas)
+    config = ModelConfig(model_type, {"n_estimators": 1, "eta": 1.0, "max_depth": 1, **penalties}, alphas)
     setup = experiment.setup_of(rows, config, strategy, features=["flag"])
     scored = experiment.fit_predict(rows, model_type, setup)[1]
     return rounded(scored.select("bdID", "quantile_level", "prediction"), six=["prediction"])
@@ -246,6 +289,32 @@ def gbt_regress_one_cut(spark, sf):
     return _one_cut(spark, sf, "gbt_regress", Strategy.COMBINED)
 
 
+def _penalised(keys: str, l1: float, l2: float) -> str:
+    """Each side's sum of residuals, shrunk by the L1 penalty, over its rows and the L2 penalty, on top of the mean."""
+    by = f"{keys}, " if keys else ""
+    using = f"USING ({keys})" if keys else "ON true"
+    return with_ctes(f"""
+    SELECT t.bdID, CAST(NULL AS DOUBLE) AS quantile_level, round(a.m + sign(g) * greatest(abs(g) - {l1}, 0) / (n + {l2}), 6) AS prediction
+    FROM flagged t JOIN whole a {using}
+    LEFT JOIN (SELECT {by}flag, sum(target - m) AS g, count(*) AS n FROM flagged JOIN whole {using} WHERE split = 'train' GROUP BY {by}flag) s
+    USING ({by}flag) WHERE t.split = 'test' AND n IS NOT NULL""", "modeling", flagged=_FLAGGED,
+    whole=f"SELECT {by}avg(target) AS m FROM flagged WHERE split = 'train' {'GROUP BY ' + keys if keys else ''}")
+
+
+@query(_penalised("", 5000.0, 300.0))
+def gbt_regress_penalties(spark, sf):
+    return _one_cut(spark, sf, "gbt_regress", Strategy.COMBINED, reg_alpha=5000.0, reg_lambda=300.0)
+
+
+@query(_penalised("productID, storeID", 20.0, 4.0))
+def gbt_regress_penalties_individual(spark, sf):
+    """Only rows of sides that the SKU's train rows have."""
+    scored = _one_cut(spark, sf, "gbt_regress", Strategy.INDIVIDUAL, reg_alpha=20.0, reg_lambda=4.0)
+    rows = prepared(spark, sf).withColumn("flag", F.col("target_lag_1") > 25)
+    sides = rows.where(F.col("split") == "train").select(*SKU_KEYS, "flag").distinct()
+    return scored.join(rows.join(sides, [*SKU_KEYS, "flag"], "left_semi").select("bdID"), "bdID", "left_semi")
+
+
 _ONE_CUT_OF_SKUS = """
     SELECT t.bdID, {level} AS quantile_level, round(coalesce(g.p, a.p), 6) AS prediction FROM flagged t
     JOIN whole a USING (productID, storeID)

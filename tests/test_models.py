@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.models import empirical, linear, trees
+from panelspark.models import boosting, empirical, linear, trees
 from panelspark.operators import sampling, scaling
 from panelspark.plans import tuning
 
@@ -217,6 +217,62 @@ def test_first_cut_of_a_series_tree_by_brute_force():
     assert gain(leaf == 0) == pytest.approx(best)
 
 
+def options(**more):
+    return trees.settings_of({"eta": 1.0, "max_depth": 2, **more})
+
+
+@pytest.mark.parametrize("levels,at_once", [([None, 0.5, 0.9], 10**6), ([0.25], 3)])
+def test_boosting_over_tasks_equals_one_series_in_a_task(data, frame, monkeypatch, levels, at_once):
+    """The same trees from histograms of many tasks, half of them by subtraction, and from all rows in one place; exact leaf
+    quantiles also where prefixes must be narrowed again."""
+    monkeypatch.setattr(boosting, "VALUES_AT_ONCE", at_once)
+    own = data.assign(a=data.a.round(1), b=(data.b / 4).round())
+    o = options(max_depth=3, eta=0.5, min_child_weight=4, reg_lambda=2.0, reg_alpha=1.5)
+    spark = frame.sparkSession
+    seen = []
+    plain = boosting.Booster._borders
+    monkeypatch.setattr(boosting.Booster, "_borders", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = boosting.fit(spark.createDataFrame(own).repartition(4), levels, ["a", "b"], "target", o, 3)
+    x, y = own[["a", "b"]].to_numpy(float), own.target.to_numpy(float)
+    borders = seen[0]
+    bins = np.column_stack([np.searchsorted(b, c) for b, c in zip(borders, x.T)])
+    for level in levels:
+        rows = trees._boost_series(bins, borders, y, level, 3, o, np.arange(len(y)))
+        want = trees._evaluate(np.array(rows, float), x)
+        mine = trees._evaluate(np.array([r[1:] for r in got if r[0] == level], float), x)
+        assert np.allclose(mine, want, atol=1e-9)
+
+
+def test_draws_of_rows_and_columns_change_trees_but_repeat(frame):
+    train = frame.where("split = 'train'")
+    fitted = {}
+    for name, params in {"all": {}, "rows": {"subsample": 0.6}, "columns": {"colsample_bytree": 0.5}}.items():
+        for keys in ([], ["productID", "storeID"]):
+            def run():
+                if keys:
+                    table = trees.fit_series(train, keys, None, ["a", "b"], "target", {**TREES, **params})
+                else:
+                    table = trees.fit_regression(train, ["a", "b"], "target", {**TREES, **params})
+                return trees.predict(train, table, keys, ["a", "b"]).orderBy("bdID").toPandas().prediction
+            fitted[name, bool(keys)] = run()
+            if keys or name == "columns":
+                assert np.allclose(fitted[name, bool(keys)], run())
+    for keys in (False, True):
+        assert not np.allclose(fitted["all", keys], fitted["rows", keys])
+        assert not np.allclose(fitted["all", keys], fitted["columns", keys])
+
+
+def test_unknown_tree_parameters_are_errors():
+    with pytest.raises(ValueError, match="tree_method"):
+        trees.settings_of({"tree_method": "hist"})
+
+
+def test_keys_sort_like_the_numbers():
+    v = np.array([-1e300, -2.5, -1e-300, -0.0, 0.0, 3e-310, 1.0, 2.5, 1e300, np.inf])
+    k = boosting.ordered(v)
+    assert (np.diff(k) >= 0).all() and (boosting.unordered(k) == v).all()
+
+
 def test_folds_cover_all_rows_and_repeat(frame):
     folds = sampling.kfold(frame, 3, 42).select("bdID", "fold").toPandas()
     assert set(folds.fold) == {0, 1, 2} and len(folds) == N_SKUS * N_DAYS

@@ -44,7 +44,7 @@ def test_entry_has_rows_and_a_stable_schema(spark):
     assert df.count() > 0
 
 
-LOSS_TABLES = {"linear_quantile_losses": 1.0, "linear_quantile_fit_individual": 1.0, "gbt_quantile": 1.0}
+LOSS_TABLES = {"linear_quantile_losses": 1.0, "linear_quantile_fit_individual": 1.0, "gbt_quantile_losses": 1.0}
 
 
 @pytest.mark.parametrize("name", LOSS_TABLES)
@@ -59,7 +59,7 @@ def test_fit_tables_show_lower_losses_than_the_constant(spark, sf, name):
         assert name.endswith("individual") or abs(r["coverage_model"] - r["quantile_level"]) < 0.05
 
 
-@pytest.mark.parametrize("name", ["gbt_regress", "gbt_regress_individual"])
+@pytest.mark.parametrize("name", ["gbt_regress_losses", "gbt_regress_individual"])
 def test_regression_tables_are_whole(spark, sf, name):
     row = entry.queries()[name](spark, sf).first()
     assert row["n_rows"] > 0 and 0 < row["rmse_model"] < 1.5 * row["rmse_mean"]
