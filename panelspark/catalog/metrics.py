@@ -11,7 +11,8 @@ from panelspark.catalog.base import (
 from panelspark.config import SKU_KEYS
 from panelspark.functions.losses import pinball, pinball_rounded
 from panelspark.models import empirical
-from panelspark.operators import metrics, quantiles, summaries
+from panelspark.operators import metrics, quantiles, sketches, summaries
+from panelspark.session import materialize
 
 _MODEL = [*SKU_KEYS, "quantile_level"]
 _KEYS = ", ".join(_MODEL)
@@ -30,6 +31,21 @@ def empirical_quantile(spark, sf):
     return rounded(quantiles.by_level(model, ALPHAS), "value")
 
 
+@query(with_ctes("""
+    SELECT productID, storeID, quantile_level, count(*) AS n_rows, true AS within FROM modeling JOIN model_individual USING (productID, storeID)
+    WHERE split = 'train' GROUP BY ALL""", "modeling", "model_individual"))
+def empirical_quantile_sketch(spark, sf):
+    """Sketches per SKU and month, written once, merged to one per SKU: do their quantiles stay within the stated accuracy?"""
+    keys = list(SKU_KEYS)
+    train = materialize(modeling(spark, sf).where(F.col("split") == "train"), "train")
+    monthly = materialize(sketches.build(train, [*keys, F.trunc("date", "month").alias("month")], "target"), "sketches")
+    near = quantiles.by_level(sketches.quantiles(sketches.merge(monthly, keys), keys, ALPHAS), ALPHAS)
+    exact = quantiles.by_level(empirical.fit(train, keys, ALPHAS), ALPHAS, name="exact")
+    off = F.abs(F.col("value") - F.col("exact"))
+    return near.join(exact, [*keys, "quantile_level"]).select(
+        *keys, "quantile_level", F.col("total").alias("n_rows"), (off <= sketches.ACCURACY * F.col("exact") + 1e-9).alias("within"))
+
+
 @query(with_ctes("SELECT quantile_level, round(q, 9) AS value FROM model_combined", "model_combined"))
 def empirical_quantile_combined(spark, sf):
     train = modeling(spark, sf).where(F.col("split") == "train")

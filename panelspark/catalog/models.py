@@ -6,6 +6,8 @@ cases with a closed form stand beside them.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from panelspark.catalog.base import (
@@ -382,27 +384,51 @@ def gbt_quantile_individual(spark, sf):
     return experiment.score(scored, config, Strategy.INDIVIDUAL)
 
 
-@query()
-def tune_random_search(spark, sf):
-    """Two trials of boosted trees in two folds on the train rows of 100 sampled SKUs."""
+def _tuned(spark, sf, **settings):
+    """Trials of boosted trees on the train rows of 100 sampled SKUs."""
     rows = prepared(spark, sf)
     chosen = sampling.sample_skus(rows, 100, SEED)
     train = rows.where(F.col("split") == "train").join(chosen, list(SKU_KEYS), "left_semi")
-    found = tuning.random_search(
-        train, "gbt_regress", FEATURES, n_trials=2, n_folds=2, seed=SEED, parallelism=2,
-        fixed={"n_estimators": 5, "max_depth": 4}, n_skus=100)
+    return train, tuning.random_search(train, "gbt_regress", FEATURES, seed=SEED, parallelism=2, n_skus=100, **settings)
+
+
+@query()
+def tune_random_search_trials(spark, sf):
+    """Two trials in two folds, few rounds: the table of trials."""
+    _, found = _tuned(spark, sf, n_trials=2, n_folds=2, fixed={"n_estimators": 5, "max_depth": 4})
     return found.trials.withColumn("is_best", F.col("loss") == found.best_score)
 
 
+@query(with_ctes(f"""
+    SELECT 20::BIGINT AS n_trials, 3 AS n_folds, count(*) AS n_rows, round(var_pop(target), 6) AS variance, true AS best_is_lowest,
+           true AS beats_constant, true AS all_in_space
+    FROM modeling JOIN (SELECT DISTINCT productID, storeID FROM modeling
+                        ORDER BY md5('{SEED}-' || productID || '-' || storeID), productID, storeID LIMIT 100) c USING (productID, storeID)
+    WHERE split = 'train'""", "modeling"))
+def tune_random_search(spark, sf):
+    """Twenty trials in three folds with every parameter free: is the best one the lowest, and below the variance, a constant's loss?"""
+    train, found = _tuned(spark, sf, n_trials=20, n_folds=3)
+    space = {name: (low, high) for name, low, high, _ in registry.get("gbt_regress").search_space}
+    inside = F.lit(True)
+    for name, (low, high) in space.items():
+        inside &= F.col("params")[name].between(0 if name == "n_estimators" else low, high)
+    trials = found.trials.agg(F.count("*").alias("n_trials"), F.min("loss").alias("least"), F.min(inside).alias("all_in_space"))
+    facts = train.agg(F.count("*").alias("n_rows"), F.var_pop("target").alias("variance"))
+    table = trials.select("*", facts.select(F.struct("n_rows", "variance")).scalar().alias("f")).select(
+        "n_trials", F.lit(found.n_folds).alias("n_folds"), "f.n_rows", "f.variance", (F.col("least") == found.best_score).alias("best_is_lowest"),
+        (F.col("least") < F.col("f.variance")).alias("beats_constant"), "all_in_space")
+    return rounded(table, six=["variance"])
+
+
 @query(with_ctes("""
-    SELECT hp_type, quantile_level, count(*) AS n_models FROM results
-    WHERE hp_type = '100' AND quantile_level IS NOT NULL AND model_type = 'empirical_quantile' GROUP BY ALL""",
-    "results"))
+    SELECT productID, storeID, quantile_level, round(mean_quantile_loss, 9) AS mean_quantile_loss, hp_type, model_type,
+           'individual' AS modeling_strategy
+    FROM results WHERE hp_type = '100' AND quantile_level IS NOT NULL AND model_type = 'empirical_quantile'""", "results"))
 def lookup_models(spark, sf):
+    """The models of one strategy and type among the results of two experiments."""
     named = experiment_results(spark, sf).withColumn(
         "modeling_strategy", F.when(F.col("hp_type") == "0", "combined").otherwise("individual"))
-    found = experiment.lookup(named, Strategy.INDIVIDUAL, quantile_only=True, model_type="empirical_quantile")
-    return found.groupBy("hp_type", "quantile_level").agg(F.count("*").alias("n_models"))
+    return experiment.lookup(named, Strategy.INDIVIDUAL, quantile_only=True, model_type="empirical_quantile")
 
 
 def _weekday_fit(train, s):
@@ -428,3 +454,20 @@ def model_plugin(spark, sf):
     scored, config = _run(prepared(spark, sf), "weekday_mean", Strategy.INDIVIDUAL)
     table = experiment.score(scored, config, Strategy.INDIVIDUAL)
     return rounded(table, "mse", "mae", six=["rmse"])
+
+
+@query(with_ctes("""
+    SELECT bdID, CAST(NULL AS DOUBLE) AS quantile_level,
+           round((SELECT regr_intercept(target, target_lag_1) FROM modeling WHERE split = 'train')
+                 + (SELECT regr_slope(target, target_lag_1) FROM modeling WHERE split = 'train') * target_lag_1, 6) AS prediction
+    FROM modeling WHERE split = 'test'""", "modeling"))
+def model_plugin_ml(spark, sf):
+    """An estimator of Spark ML as a model type: fitted, saved, loaded again, predicting."""
+    registry.register("ml_line", registry.from_ml(LinearRegression(solver="normal"), "least squares by Spark ML"))
+    rows = prepared(spark, sf)
+    setup = experiment.setup_of(rows, ModelConfig("ml_line", {}), Strategy.COMBINED, features=["target_lag_1"])
+    model = registry.get("ml_line")
+    path = scratch_path(spark, "ml")
+    model.fit(rows.where(F.col("split") == "train"), setup).write().save(path)
+    scored = model.predict(rows.where(F.col("split") == "test"), PipelineModel.load(path), setup)
+    return rounded(scored.select("bdID", "quantile_level", "prediction"), six=["prediction"])

@@ -74,9 +74,28 @@ def sample_rows(spark, sf):
     return sampling.sample_rows(df, 500, SEED)
 
 
+@query(with_ctes(f"""
+    SELECT bdID, productID, storeID, date, target FROM panel ORDER BY md5('{SEED}-' || bdID), bdID LIMIT (SELECT count(*) // 2 FROM panel)""",
+    "panel"))
+def sample_rows_half(spark, sf):
+    """Half the table at random: more rows than any task could merge."""
+    df = written_panel(spark, sf).select("bdID", *SKU_KEYS, "date", "target")
+    return sampling.sample_rows(df, df.count() // 2, SEED)
+
+
+@query(with_ctes(f"""
+    SELECT bdID, CAST((row_number() OVER (ORDER BY md5('{SEED}-' || bdID), bdID) - 1) % {N_FOLDS} AS INTEGER) AS fold
+    FROM modeling WHERE split = 'train'""", "modeling"))
+def kfold_assign(spark, sf):
+    """Folds whose sizes differ by one at most."""
+    train = modeling(spark, sf).where(F.col("split") == "train")
+    return sampling.equal_folds(train.select("bdID"), N_FOLDS, SEED)
+
+
 @query(with_ctes(f"SELECT bdID, {_FOLD.format(seed=SEED, k=N_FOLDS)} AS fold FROM modeling WHERE split = 'train'",
                  "modeling"))
-def kfold_assign(spark, sf):
+def kfold_assign_hashed(spark, sf):
+    """Folds fixed by each row's id alone."""
     train = modeling(spark, sf).where(F.col("split") == "train")
     return sampling.kfold(train, N_FOLDS, SEED).select("bdID", "fold")
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.models import empirical, linear, trees
@@ -63,6 +65,30 @@ def available() -> dict[str, str]:
     return {name: m.description for name, m in sorted(_TYPES.items())}
 
 
+def from_ml(estimator, description: str = "") -> ModelType:
+    """A Spark ML estimator or pipeline stage as a model type for all rows.
+
+    Features are assembled into the estimator's features column and parameters of the same name as one of its own are set on a copy; the
+    fitted object is a ``PipelineModel``, which has ML's own saving and loading. Predictions come from its prediction column.
+    """
+    def fit(train, s):
+        if s.keys:
+            raise ValueError("an ML estimator is fitted for all rows")
+        own = estimator.copy()
+        for name, value in s.params.items():
+            if own.hasParam(name):
+                own.set(own.getParam(name), value)
+        own.set(own.getParam("labelCol"), s.target)
+        return Pipeline(stages=[VectorAssembler(inputCols=list(s.features), outputCol=own.getOrDefault("featuresCol")), own]).fit(train)
+
+    def predict(rows, fitted, s):
+        last = fitted.stages[-1]
+        scored = fitted.transform(rows).withColumnRenamed(last.getOrDefault("predictionCol"), "prediction")
+        return scored.drop(last.getOrDefault("featuresCol")).withColumn("quantile_level", F.lit(None).cast("double"))
+
+    return ModelType(fit, predict, description=description)
+
+
 def _empirical_predict(rows, fitted, s):
     return quantiles.by_level(empirical.predict(rows, fitted, s.keys), s.alphas, name="prediction")
 

@@ -17,6 +17,16 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MAPPING_SCHEMA).json(path)
 
 
+def read_nested(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON object whose members are codes: ``{"feature_0038": {"feature_name": .., "company_name": ..}, ..}``.
+
+    A file is parsed as a whole: it has one entry for each column of a table.
+    """
+    entry = "STRUCT<feature_name: STRING, company_name: STRING>"
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"MAP<STRING, {entry}>").alias("m"))
+    return parsed.select(F.explode("m").alias("feature", "v")).select("feature", "v.feature_name", "v.company_name")
+
+
 def rename_features(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rename coded columns to their feature names; the column list bounds what is read."""
     known = mapping.where(F.col("feature").isin(df.columns)).groupBy("feature").agg(

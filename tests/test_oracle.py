@@ -72,5 +72,5 @@ def test_boosted_series_are_scored_at_every_level(spark, sf):
 
 
 def test_the_best_trial_is_the_lowest(spark, sf):
-    found = entry.queries()["tune_random_search"](spark, sf).toPandas()
+    found = entry.queries()["tune_random_search_trials"](spark, sf).toPandas()
     assert len(found) == 2 and (found.loss[found.is_best] == found.loss.min()).all()
