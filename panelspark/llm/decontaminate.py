@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import Stored
-from panelspark.llm.tokens import slices
+from panelspark.llm.tokens import grouped
 
 Q = 8
 # Edits allowed for an item: this share of its characters, as far as the lemma can bear.
@@ -22,7 +22,9 @@ PART_STEP = 50
 _TABLE_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CELLS_AT_ONCE = 1_000_000
+_CHARS_AT_ONCE = 1 << 20
 _HITS_AT_ONCE = 1_000_000
+_STRETCH = 101
 
 
 def _tables():
@@ -120,6 +122,11 @@ class Items:
         self.copies = ends - np.arange(len(ends))  # from the first of equal ones, how many
         self.present = np.zeros(1 << _TABLE_BITS, bool)
         self.present[(self.gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+        # What the lemma leaves to any match: so many q-grams within _STRETCH places (of a longer item the share of one of the
+        # stretches that cover it), and the places that a match may span.
+        need, span = self.length - q + 1 - q * self.edits, self.length - q + 1 + self.edits
+        self.dense = int((-(-need // -(-span // _STRETCH))).min()) if len(need) else 1
+        self.span = int(span.max()) if len(span) else 0
 
 
 def shared(texts: Texts, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +141,18 @@ def shared(texts: Texts, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
+def crowded(at: np.ndarray, items: Items) -> np.ndarray:
+    """Which of the ascending places are no further than a match from a stretch with as many as any match must have."""
+    k = items.dense
+    if k <= 1 or len(at) < k:
+        return np.full(len(at), k <= 1)
+    first = np.flatnonzero(at[k - 1:] - at[:len(at) - k + 1] < _STRETCH)
+    near = np.zeros(len(at) + 1, np.int64)
+    np.add.at(near, np.searchsorted(at, at[first] - items.span), 1)
+    np.add.at(near, np.searchsorted(at, at[first + k - 1] + items.span, "right"), -1)
+    return np.cumsum(near)[:-1] > 0
+
+
 def candidates(texts: Texts, items: Items, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, item, lowest diagonal) of bands that hold as many shared q-grams as the lemma asks for.
 
@@ -143,6 +162,8 @@ def candidates(texts: Texts, items: Items, at: np.ndarray, hashes: np.ndarray) -
     repeats in text and item, hits grow with the square: they are made and counted _HITS_AT_ONCE at a time, so only the counts of bands are held.
     """
     empty = np.empty(0, np.int64)
+    kept = crowded(at, items)
+    at, hashes = at[kept], hashes[kept]
     if not len(at) or not len(items.gram):
         return empty, empty, empty
     low = np.searchsorted(items.gram, hashes, "left")
@@ -171,66 +192,74 @@ def candidates(texts: Texts, items: Items, at: np.ndarray, hashes: np.ndarray) -
     return (keys >> 36) // len(items.keys), item, band * (items.edits[item] + 1)
 
 
-def align(points: np.ndarray, items: Items, item: np.ndarray, diagonal: np.ndarray):
-    """Least edits of each item within its band, and where in ``points`` that match starts and ends.
+def align(texts: Texts, items: Items, text: np.ndarray, item: np.ndarray, diagonal: np.ndarray):
+    """Least edits of each item within its band of its text, and where in the text that match starts and ends.
 
-    Rows are the item's characters, columns the band's diagonals; a match may start at any. All
-    candidates of equal budget advance together.
+    Rows are the item's characters, columns the band's diagonals; a match may start at any. Candidates of all texts with
+    like budgets advance together, in bands of the widest.
     """
     best = np.full(len(item), 1 << 20, np.int64)
     first, last = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
-    for e in np.unique(items.edits[item]):
-        every = np.flatnonzero(items.edits[item] == e)
-        width = 4 * int(e) + 3  # the band, and e to either side for a path that leaves its start
+    far = np.int32(1 << 20)
+    like = np.ceil(np.log2(items.edits[item] + 1)).astype(int)
+    for group in np.unique(like):
+        every = np.flatnonzero(like == group)
+        every = every[np.argsort(items.length[item[every]], kind="stable")]
+        e = int(items.edits[item[every]].max())
+        width = 4 * e + 3  # the band, and e to either side for a path that leaves its start
+        steps = np.arange(width, dtype=np.int32)[None, :]
         per = max(1, _CELLS_AT_ONCE // width)
         for some in (every[i:i + per] for i in range(0, len(every), per)):
             length = items.length[item[some]]
-            text = np.full((len(some), int(length.max())), 0, np.uint32)
+            letters = np.zeros((len(some), int(length.max())), np.uint32)
             for i, k in enumerate(item[some]):
-                text[i, :len(items.points[k])] = items.points[k]
-            base = diagonal[some][:, None] - int(e) + np.arange(width)[None, :]
-            far = np.int32(1 << 20)
-            cost = np.where((base >= 0) & (base <= len(points)), 0, far).astype(np.int32)
-            start = base.astype(np.int64)
-            steps = np.arange(width, dtype=np.int32)[None, :]
-            for row in range(text.shape[1]):
-                where = base + row  # the document character this row may take
-                inside = (where >= 0) & (where < len(points))
-                same = inside & (points[np.clip(where, 0, len(points) - 1)] == text[:, row:row + 1])
-                diagonal_cost = np.where(inside, cost + ~same, far)
-                skip = np.concatenate([cost[:, 1:] + 1, np.full((len(some), 1), far, np.int32)], axis=1)  # item character dropped
-                skip_start = np.concatenate([start[:, 1:], start[:, -1:]], axis=1)
-                new = np.minimum(diagonal_cost, skip)
-                new_start = np.where(diagonal_cost <= skip, start, skip_start)
+                letters[i, :len(items.points[k])] = items.points[k]
+            begin = texts.start[text[some]][:, None]
+            size = texts.stop[text[some]][:, None] - begin
+            base = diagonal[some][:, None] - e + np.arange(width)[None, :]
+            cost = np.where((base >= 0) & (base <= size), 0, far).astype(np.int32)
+            start = base.astype(np.int32)
+            wall = np.full((len(some), 1), far, np.int32)
+            for row in range(letters.shape[1]):
+                live = int(np.searchsorted(length, row, "right"))  # candidates before are done: they are in order of length
+                where = base[live:] + row  # the document character this row may take
+                inside = (where >= 0) & (where < size[live:])
+                same = texts.points[np.where(inside, begin[live:] + where, 0)] == letters[live:, row:row + 1]
+                old, begun = cost[live:], start[live:]
+                taken = np.where(inside, old + ~same, far)
+                skip = np.concatenate([old[:, 1:] + 1, wall[live:]], axis=1)  # item character dropped
+                skip_start = np.concatenate([begun[:, 1:], begun[:, -1:]], axis=1)
+                new = np.minimum(taken, skip)
+                new_start = np.where(taken <= skip, begun, skip_start)
                 # Document characters added: running least of cost - column, then the column back.
                 flat = new - steps
                 least = np.minimum.accumulate(flat, axis=1)
                 source = np.maximum.accumulate(np.where(flat == least, steps, 0), axis=1)
-                new, new_start = least + steps, np.take_along_axis(new_start, source.astype(np.int64), axis=1)
-                live = (row < length)[:, None]
-                cost, start = np.where(live, new, cost), np.where(live, new_start, start)
+                cost[live:], start[live:] = least + steps, np.take_along_axis(new_start, source, axis=1)
             stop = base + length[:, None]
-            cost = np.where((stop >= 0) & (stop <= len(points)), cost, far)
+            cost = np.where((stop >= 0) & (stop <= size), cost, far)
             column = cost.argmin(axis=1)
             row = np.arange(len(some))
             best[some], first[some], last[some] = cost[row, column], start[row, column], stop[row, column]
     return best, first, last
 
 
-def _aligned(normal: Texts, items: Items, at: np.ndarray, hashes: np.ndarray):
-    """(text number, {(item key, start, stop): edits}) of the candidates that align, in code points."""
+def _aligned(normal: Texts, items: Items, at: np.ndarray, hashes: np.ndarray, known=frozenset()):
+    """(text number, {(item key, start, stop): edits}) of the candidates that align, in code points; not of (text number, key)
+    that are ``known``."""
     text, item, diagonal = candidates(normal, items, at, hashes)
-    for t in np.unique(text):
-        mine = text == t
-        a, b = normal.start[t], normal.stop[t]
-        edits, first, last = align(normal.points[a:b], items, item[mine], diagonal[mine])
-        good = (edits <= items.edits[item[mine]]) & (last > first)
-        place = normal.at[a:b] - normal.first[t]
-        found: dict[tuple, int] = {}
-        for k, e, i, j in zip(item[mine][good].tolist(), edits[good].tolist(), first[good], last[good]):
-            span = (items.keys[k], int(place[i]), int(place[j - 1]) + 1)
-            found[span] = min(e, found.get(span, e))
-        yield int(t), found
+    if known:
+        new = np.array([(t, items.keys[i]) not in known for t, i in zip(text.tolist(), item.tolist())], bool)
+        text, item, diagonal = text[new], item[new], diagonal[new]
+    edits, first, last = align(normal, items, text, item, diagonal)
+    good = (edits <= items.edits[item]) & (last > first)
+    found: dict[int, dict[tuple, int]] = {}
+    for t, k, e, i, j in zip(*(x[good].tolist() for x in (text, item, edits, first, last))):
+        place = normal.at[normal.start[t]:normal.stop[t]] - normal.first[t]
+        span = (items.keys[k], int(place[i]), int(place[j - 1]) + 1)
+        mine = found.setdefault(t, {})
+        mine[span] = min(e, mine.get(span, e))
+    yield from found.items()
 
 
 def _apart(found: dict[tuple, int]) -> dict[object, list]:
@@ -249,8 +278,8 @@ def _apart(found: dict[tuple, int]) -> dict[object, list]:
 def matches(texts: list[str | None], items: Items, tables, parts: Items | None = None) -> list[tuple]:
     """(text number, item key, start, stop, edits, whole) of each item in the texts, in code points.
 
-    With ``parts``, an item of which only windows match is there too, once for each stretch of windows that overlap, with
-    the edits of its worst window.
+    With ``parts``, an item that is not in a text as a whole, but some of its windows are, is there too, once for each stretch of
+    windows that overlap, with the edits of its worst window.
     """
     if not items.keys:
         return []
@@ -258,7 +287,8 @@ def matches(texts: list[str | None], items: Items, tables, parts: Items | None =
     at, hashes = shared(normal, items)
     whole = {t: _apart(found) for t, found in _aligned(normal, items, at, hashes)}
     out = [(t, key, *span, True) for t, kept in whole.items() for key, spans in kept.items() for span in spans]
-    for t, found in _aligned(normal, parts, at, hashes) if parts is not None else ():
+    known = {(t, key) for t, kept in whole.items() for key in kept}
+    for t, found in _aligned(normal, parts, at, hashes, known) if parts is not None else ():
         stretches: dict[object, list[list]] = {}
         for (key, i, j), e in sorted(found.items(), key=lambda x: x[0][1:]):
             mine = stretches.setdefault(key, [])
@@ -266,9 +296,7 @@ def matches(texts: list[str | None], items: Items, tables, parts: Items | None =
                 mine[-1] = [mine[-1][0], max(j, mine[-1][1]), max(e, mine[-1][2])]
             else:
                 mine.append([i, j, e])
-        for key, spans in stretches.items():
-            covered = whole.get(t, {}).get(key, [])
-            out += [(t, key, *s, False) for s in spans if all(s[1] <= i or j <= s[0] for i, j, _ in covered)]
+        out += [(t, key, *span, False) for key, spans in stretches.items() for span in spans]
     return sorted(out, key=lambda x: (x[0], x[2], x[3]))
 
 
@@ -294,7 +322,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
     Texts are compared without case, signs and white space. An item matches where the whole of it aligns with at
     most ``edit_share`` of its characters edited (fewer where the q-gram lemma would ask for nothing). Of one longer than PART
-    characters, each window of that length is searched for likewise, so a part of it that holds a window is found
+    characters, each window of that length is searched for likewise in texts without the whole of it, so a part that holds a window is found
     (``whole`` is false). Items shorter than ``q`` and null texts match nothing; null ids, repeated documents and items of
     equal text stay as they are, repeated items count once; empty tables give no rows. Other columns are not read.
 
@@ -323,8 +351,8 @@ def _find(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, q: int,
             whole = Items(sent.value, tables, q, edit_share)
             windows = whole.parts(edit_share)
             for batch in batches:
-                for part in slices(batch, 200):
-                    found = matches(part.column("text").to_pylist(), whole, tables, windows)
+                for part, texts in grouped(batch, "text", _CHARS_AT_ONCE):
+                    found = matches(texts, whole, tables, windows)
                     if found:
                         of, *columns, all_of = zip(*found)
                         of = pa.array(of)

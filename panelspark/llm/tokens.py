@@ -136,3 +136,14 @@ def slices(batch, rows: int = 500):
     """Parts of an Arrow batch, so that a task holds few texts at a time."""
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
+
+
+def grouped(batch, column: str, most_chars: int):
+    """Parts of an Arrow batch, with the texts of a column, that end once they hold so many characters."""
+    texts = batch.column(column).to_pylist()
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most_chars or i == len(texts) - 1:
+            yield batch.slice(begin, i + 1 - begin), texts[begin:i + 1]
+            begin, size = i + 1, 0
