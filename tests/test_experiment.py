@@ -157,14 +157,23 @@ def test_fewer_skus_than_asked_for(bench):
 
 
 @pytest.mark.parametrize("params,alphas,strategy", [
-    ({"reg_alpha": 1.0}, None, Strategy.COMBINED), ({"subsample": 0.5}, None, Strategy.INDIVIDUAL),
-    ({"colsample_bytree": 0.5}, [0.5], Strategy.COMBINED)])
+    ({"tree_method": "hist"}, None, Strategy.COMBINED), ({"max_leaves": 4}, None, Strategy.INDIVIDUAL),
+    ({"scale_pos_weight": 0.5}, [0.5], Strategy.COMBINED)])
 def test_tree_parameters_without_effect_are_refused(bench, params, alphas, strategy):
     model = "gbt_quantile" if alphas else "gbt_regress"
     with pytest.raises(ValueError, match="no effect"):
         bench.run_experiment([(1, 3)], strategy, model, {"n_estimators": 1, **params}, alphas)
 
 
+@pytest.mark.parametrize("params,strategy", [
+    ({"reg_alpha": 500.0}, Strategy.COMBINED), ({"reg_lambda": 300.0}, Strategy.INDIVIDUAL), ({"subsample": 0.5}, Strategy.COMBINED)])
+def test_penalties_and_draws_have_an_effect(bench, params, strategy):
+    skus = [(2, 3), (5, 1), (9, 2), (11, 6)]
+    plain, other = (bench.run_experiment(skus, strategy, "gbt_regress", {"n_estimators": 2, "max_depth": 2, **p}) for p in ({}, params))
+    one, two = (f.predictions.orderBy("bdID").toPandas().prediction for f in (plain, other))
+    assert len(one) == len(two) and not np.allclose(one, two)
+
+
 def test_strict_sku_check(spark):
     bad = spark.createDataFrame([(1, 2), (0, 3), (None, 1)], "productID int, storeID int")
     with pytest.raises(ValueError, match="not positive|missing"):
@@ -186,16 +195,23 @@ def test_known_model_types():
     assert {"empirical_quantile", "linear_quantile", "gbt_regress", "gbt_quantile"} <= set(registry.available())
 
 
-def test_arrow_file_has_one_partition_per_batch(spark, tmp_path):
-    path = str(tmp_path / "two.feather")
+def test_arrow_ranges_hold_each_batch_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "some.feather")
     schema = pa.schema([("a", pa.int64()), ("b", pa.string())])
     with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, schema) as writer:
-        for part in ([1, 2], [3]):
+        for part in ([1, 2], [3], [4], [5, 6], [7]):
             writer.write_batch(pa.record_batch([pa.array(part), pa.array([str(v) for v in part])], schema=schema))
+    for size, ranges in ((1 << 20, 1), (os.path.getsize(path) // 3 + 1, 3), (1, os.path.getsize(path))):
+        monkeypatch.setattr(arrow_ipc, "RANGE_BYTES", size)
+        reader = arrow_ipc.ArrowReader(path, arrow_ipc.from_arrow_schema(schema))
+        plan = reader.partitions()
+        assert len(plan) == ranges
+        found = [[r for batch in reader.read(p) for r in batch.column("a").to_pylist()] for p in plan]
+        assert [v for part in found for v in part] == list(range(1, 8))
+    monkeypatch.undo()
     df = arrow_ipc.read(spark, path)
-    assert df.rdd.getNumPartitions() == 2
-    assert sorted(tuple(r) for r in df.collect()) == [(1, "1"), (2, "2"), (3, "3")]
-    assert sorted(r["b"] for r in arrow_ipc.read(spark, path, "b string").collect()) == ["1", "2", "3"]
+    assert sorted(tuple(r) for r in df.collect()) == [(i, str(i)) for i in range(1, 8)]
+    assert sorted(r["b"] for r in arrow_ipc.read(spark, path, "b string").collect()) == [str(i) for i in range(1, 8)]
 
 
 def test_arrow_round_trip(spark, panel, tmp_path):
