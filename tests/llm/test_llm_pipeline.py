@@ -48,3 +48,49 @@ def test_stages_beside_plain_python(spark, sf):
 
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secret_scans", "packing"]
+
+
+CLASHES = ["row", "stratum", "m", "kept", "hash", "text_hash", "_text_hash", "id", "_id", "_hash", "_hit", "key", "start", "stop", "root", "fingerprint"]
+
+
+def odd_documents(spark):
+    words = " ".join(f"word{i} goes" for i in range(40))
+    rows = [(1, words, "en", "s", 3), (None, words + " too", "en", None, None), (2, None, None, "s", 0), (3, "", "de", "s", 0),
+            (1, words, "en", "s", 3), (4, "few words", "en", "s", 9), (5, words.replace("goes", "went") + " password: hunter22", "fr", "s", 1),
+            (6, " ".join(f"{i:x}" for i in range(60_000)), "es", "s", 5), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.selectExpr("*", *[f"'{c}' AS {c}" for c in CLASHES])
+
+
+def test_odd_documents_go_through_every_stage(spark, sf):
+    docs = odd_documents(spark)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf)
+        assert kept.columns == docs.columns, name
+        assert {tuple(r[c] for c in CLASHES) for r in kept.collect()} == {tuple(CLASHES)}, name
+    rows = {(r.doc_id, (r.text or "")[:5]): r for r in kept.collect()}
+    # Base rules drop short, null and empty texts; of equal rows one stays; near copies of the smallest id go.
+    assert {k for k, _ in rows} >= {1, 5, 6} and not {2, 3, 4} & {k for k, _ in rows}
+    assert sum(r.doc_id == 1 for r in kept.collect()) == 1
+    secret = next(r for r in rows.values() if r.doc_id == 5)
+    assert "hunter22" not in secret.text and secret.n_chars == len(secret.text)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf).collect()
+    assert {p.doc_id for p in pieces} == {k for k, _ in rows}
+
+
+def test_every_stage_takes_odd_rows_by_itself(spark, sf):
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        found = stage(spark, docs, sf)
+        assert found.columns == docs.columns, name
+        texts = [r.text for r in found.collect()]
+        assert name == "near_duplicates" or len(texts) == 9, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == 7
+
+
+def test_empty_table_goes_through(spark, sf):
+    docs = odd_documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs_after = stage(spark, docs, sf)
+        assert docs_after.count() == 0, name
