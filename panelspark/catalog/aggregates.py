@@ -91,8 +91,13 @@ def scaler_fit_apply(spark, sf):
     return rounded(scaled.select("bdID", "split", *_SCALED), six=_SCALED)
 
 
-@query(with_ctes(f"SELECT bdID, split, {_APPLY} FROM modeling, stats", "modeling",
-                 stats=f"SELECT {_STATS} FROM modeling WHERE split = 'train'"))
+_TRAIN = "FILTER (WHERE split = 'train') OVER ()"
+_SCALED_AT_ONCE = ", ".join(
+    f"round(({c} - avg({c}) {_TRAIN}) / (CASE WHEN stddev_pop({c}) {_TRAIN} = 0 THEN 1.0 ELSE stddev_pop({c}) {_TRAIN} END), 6) AS {c}"
+    for c in _SCALED)
+
+
+@query(with_ctes(f"SELECT bdID, split, {_SCALED_AT_ONCE} FROM modeling", "modeling"))
 def scaler_fit_apply_combined(spark, sf):
     df = prepared(spark, sf)
     scaled = scaling.apply(df, scaling.fit(df, list(_SCALED), []), list(_SCALED), [])
