@@ -10,7 +10,8 @@ from panelspark.catalog.base import (
 )
 from panelspark.catalog.joins import _HISTORY
 from panelspark.config import SKU_KEYS
-from panelspark.operators import compare, filters, sampling, scaling, summaries
+from panelspark.operators import checks, compare, filters, sampling, scaling, summaries
+from panelspark.session import materialize
 
 _SCALED = ("price", "disc", "target_lag_1")
 _STATS = ", ".join(
@@ -82,6 +83,20 @@ def dataset_stats(spark, sf):
     )
 
 
+@query(with_ctes("""
+    SELECT count(*) AS n_rows, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test,
+           max(date) FILTER (WHERE split = 'train') AS last_train, min(date) FILTER (WHERE split = 'test') AS first_test, '' AS faults
+    FROM modeling""", "modeling"))
+def split_observed(spark, sf):
+    """Counts and checks of a split, collected while its rows are written: one scan for both."""
+    rows, seen = checks.watched(modeling(spark, sf))
+    materialize(rows, "modeling")
+    found = seen.get
+    kept = [found[c] for c in ("n_rows", "n_train", "n_test", "last_train", "first_test")]
+    return spark.createDataFrame([(*kept, ", ".join(checks.split_faults(found)))],
+                                 "n_rows long, n_train long, n_test long, last_train date, first_test date, faults string")
+
+
 @query(with_ctes(f"""
     SELECT bdID, split, {_APPLY} FROM modeling JOIN stats USING (productID, storeID)""", "modeling",
     stats=f"SELECT productID, storeID, {_STATS} FROM modeling WHERE split = 'train' GROUP BY productID, storeID"))

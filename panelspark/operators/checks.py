@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 
 def sku_violations(df: DataFrame) -> DataFrame:
@@ -42,3 +42,26 @@ def split_violations(df: DataFrame, keys: list[str]) -> DataFrame:
         )
         .where((F.col("n_train") == 0) | (F.col("n_test") == 0))
     )
+
+
+def watched(df: DataFrame, date_col: str = "date", target: str = "target") -> tuple[DataFrame, Observation]:
+    """The rows, and numbers about them that the first action over them collects on its way: no further scan.
+
+    ``observation.get`` waits for that action, such as the write of the modeling rows.
+    """
+    train, test, day = F.col("split") == "train", F.col("split") == "test", F.col(date_col).cast("date")
+    seen = Observation("split")
+    return df.observe(
+        seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"),
+        F.count_if(F.col("split").isNull() | ~(train | test)).alias("n_unsplit"), F.count_if(F.col(target).isNull()).alias("n_missing"),
+        F.max(F.when(train, day)).alias("last_train"), F.min(F.when(test, day)).alias("first_test")), seen
+
+
+def split_faults(numbers: dict) -> list[str]:
+    """What is wrong with a split, from the numbers that :func:`watched` collected."""
+    faults = [f"no {side} rows" for side in ("train", "test") if not numbers[f"n_{side}"]]
+    if numbers["n_unsplit"]:
+        faults.append(f"{numbers['n_unsplit']} rows on neither side")
+    if numbers["last_train"] and numbers["first_test"] and numbers["last_train"] >= numbers["first_test"]:
+        faults.append("train rows on or after the first test day")
+    return faults

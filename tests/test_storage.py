@@ -14,7 +14,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
 
 from panelspark.models import registry
 from panelspark.models.registry import Setup
-from panelspark.operators import features, sampling, sketches
+from panelspark.operators import checks, features, sampling, sketches
 from panelspark.sources import arrow_ipc, columnar, mapping, release
 
 
@@ -166,6 +166,25 @@ def test_folds_have_equal_sizes(spark, n, k):
     assert sorted(folds.collect()) == sorted(sampling.equal_folds(df.repartition(2), k, 9).collect())
 
 
+# ---- observed checks --------------------------------------------------------------------
+
+def test_split_is_checked_by_the_pass_that_writes_it(spark, tmp_path):
+    day = datetime.date(2000, 1, 1)
+    rows = [(day + datetime.timedelta(i), 1.0, "train" if i < 7 else "test") for i in range(10)]
+    spark.createDataFrame(rows, "date date, target double, split string").write.parquet(str(tmp_path / "in"))
+    df, seen = checks.watched(spark.read.parquet(str(tmp_path / "in")))
+    df.write.parquet(str(tmp_path / "out"))
+    assert seen.get["n_train"] == 7 and seen.get["n_rows"] == 10 and checks.split_faults(seen.get) == []
+    assert df._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    mixed = spark.createDataFrame([*rows, (day + datetime.timedelta(9), None, "train"), (day, 1.0, None)], "date date, target double, split string")
+    df, seen = checks.watched(mixed)
+    df.count(), df.collect()
+    assert checks.split_faults(seen.get) == ["1 rows on neither side", "train rows on or after the first test day"]
+    df, seen = checks.watched(mixed.limit(0))
+    df.collect()
+    assert checks.split_faults(seen.get) == ["no train rows", "no test rows"]
+
+
 # ---- ML estimators ----------------------------------------------------------------------
 
 def test_an_ml_estimator_as_a_model_type(spark, tmp_path):
