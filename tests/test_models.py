@@ -221,11 +221,12 @@ def options(**more):
     return trees.settings_of({"eta": 1.0, "max_depth": 2, **more})
 
 
-@pytest.mark.parametrize("levels,at_once", [([None, 0.5, 0.9], 10**6), ([0.25], 3)])
-def test_boosting_over_tasks_equals_one_series_in_a_task(data, frame, monkeypatch, levels, at_once):
+@pytest.mark.parametrize("levels,at_once,here", [([None, 0.5, 0.9], 10**6, 1 << 24), ([None, 0.25], 3, 0)])
+def test_boosting_over_tasks_equals_one_series_in_a_task(data, frame, monkeypatch, levels, at_once, here):
     """The same trees from histograms of many tasks, half of them by subtraction, and from all rows in one place; exact leaf
     quantiles also where prefixes must be narrowed again."""
     monkeypatch.setattr(boosting, "VALUES_AT_ONCE", at_once)
+    monkeypatch.setattr(boosting, "SUMMED_HERE", here)
     own = data.assign(a=data.a.round(1), b=(data.b / 4).round())
     o = options(max_depth=3, eta=0.5, min_child_weight=4, reg_lambda=2.0, reg_alpha=1.5)
     spark = frame.sparkSession
