@@ -18,7 +18,7 @@ from panelspark.session import drop_scratch, materialize
 
 ROUNDS_PER_CUT = 5
 _ROWS_AT_ONCE = 100_000
-_ACCURACY = 10_000
+_ACCURACY = 2_000
 _TASKS_PER_SUM = 64
 # Tasks' histograms of so many bytes in all are added up on the driver.
 SUMMED_HERE = 16 << 20
