@@ -124,6 +124,14 @@ def test_long_list_by_a_joined_filter(spark, monkeypatch):
     assert {r.page_id for r in got.where("listed").collect()} == set(range(4000)) and got.count() == 9000
 
 
+def test_every_page_of_a_listed_host_is_listed(spark, tmp_path):
+    urls = [(1, "https://spam-farm.org/a"), (2, "https://www.spam-farm.org/b?x=1&utm_id=2"), (3, "http://m.adult-x.com/c/"),
+            (4, "https://not-spam-farm.org/d"), (5, "spam-farm.org/e"), (6, None)]
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.op5_urls(spark, str(tmp_path))
+    assert {r.page_id for r in got.where("listed").collect()} == {1, 2, 3} and got.count() == 6
+
+
 def test_filter_passes_every_key(spark):
     keys = spark.range(5000).selectExpr("concat('k', id) AS canonical")
     blocks, n = url_filter.bloom_filter(keys, 5000)
