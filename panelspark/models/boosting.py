@@ -25,6 +25,8 @@ SUMMED_HERE = 16 << 20
 # Numbers share their leading bits down to these; a group of at most so many rows is ordered whole.
 _SHIFTS = (44, 24, 4, 0)
 VALUES_AT_ONCE = 1_000_000
+# A task adds up its counts of prefixes when it holds so many, and hands them on if more than half are different.
+_COUNTS_AT_ONCE = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,6 +58,40 @@ def unordered(keys: np.ndarray) -> np.ndarray:
     return np.where(keys >= 0, keys, keys ^ np.int64(0x7FFFFFFFFFFFFFFF)).view(np.float64)
 
 
+def pack(values: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    values = np.ascontiguousarray(values)
+    size = values.itemsize * values.shape[1]
+    ends = np.arange(len(values) + 1, dtype=np.int32) * np.int32(size)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
+def unpack(column: pa.Array, dtype, width: int) -> np.ndarray:
+    """Rows of equally many numbers from their bytes, not copied."""
+    n, size = len(column), width * np.dtype(dtype).itemsize
+    if not n or not width:
+        return np.empty((n, width), dtype)
+    _, ends, data = column.buffers()
+    begin = int(np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset])
+    return np.frombuffer(data, np.uint8)[begin:begin + n * size].view(dtype).reshape(n, width)
+
+
+def count_pairs(leaf: np.ndarray, prefix: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs in order, and how often each is there; ``n`` counts pairs that were added up before."""
+    if not len(leaf):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    low, span = int(prefix.min()), int(prefix.max()) - int(prefix.min()) + 1
+    if n is None and span * (int(leaf.max()) + 1) < 1 << 62:
+        one = np.sort(leaf * span + (prefix - low))
+        leaf, prefix = one // span, one % span + low
+    else:
+        order = np.lexsort((prefix, leaf))
+        leaf, prefix, n = leaf[order], prefix[order], None if n is None else n[order]
+    first = np.flatnonzero(np.concatenate([[True], (leaf[1:] != leaf[:-1]) | (prefix[1:] != prefix[:-1])]))
+    counts = np.diff(np.append(first, len(leaf))) if n is None else np.add.reduceat(n, first)
+    return leaf[first], prefix[first], counts
+
+
 class Booster:
     """Progress of the trees of all levels; a level of None is squared loss."""
 
@@ -75,7 +111,7 @@ class Booster:
 
     def _binned(self, train, features, target):
         """b (a byte per feature), y, id (random, for draws) and f (a double per level)."""
-        borders, zero = self.borders, np.zeros(len(self.levels)).tobytes()
+        borders, levels = self.borders, len(self.levels)
         plain = train.select(F.col(target).cast("double").alias("y"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)])
 
         def bin_rows(batches):
@@ -83,7 +119,7 @@ class Booster:
                 columns = [np.searchsorted(b, batch.column(i + 1).to_numpy(zero_copy_only=False)).astype(np.uint8) for i, b in enumerate(borders)]
                 packed = np.column_stack(columns) if columns else np.empty((batch.num_rows, 0), np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r.tobytes() for r in packed], pa.binary()), batch.column(0), pa.array([zero] * batch.num_rows, pa.binary())],
+                    [pack(packed), batch.column(0), pack(np.zeros((batch.num_rows, levels)))],
                     names=["b", "y", "f"])
 
         found = plain.where(F.col("y").isNotNull()).mapInArrow(bin_rows, "b binary, y double, f binary")
@@ -106,9 +142,7 @@ class Booster:
         width, levels, recent = self.width, len(self.levels), self.recent
 
         def read(batch):
-            n = batch.num_rows
-            bins = np.frombuffer(b"".join(batch.column("b").to_pylist()), np.uint8).reshape(n, width)
-            f = np.frombuffer(b"".join(batch.column("f").to_pylist()), float).reshape(n, levels).copy()
+            bins, f = unpack(batch.column("b"), np.uint8, width), unpack(batch.column("f"), float, levels).copy()
             for level, trees in enumerate(recent):
                 for cuts, values in trees:
                     f[:, level] += values[descend(bins, cuts)]
@@ -124,7 +158,7 @@ class Booster:
             for batch in batches:
                 *_, f = read(batch)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("b"), batch.column("y"), pa.array([r.tobytes() for r in f], pa.binary()), batch.column("id")], names=["b", "y", "f", "id"])
+                    [batch.column("b"), batch.column("y"), pack(f), batch.column("id")], names=["b", "y", "f", "id"])
 
         self._write(self.rows.mapInArrow(moved, "b binary, y double, f binary, id long"))
 
@@ -243,24 +277,46 @@ class Booster:
         levels = self.levels
         quantile = [i for i, alpha in enumerate(levels) if alpha is not None]
 
+        # The prefixes to go on with, in order, for each level and leaf.
+        live = {at: np.sort(np.array(list(prefixes), np.int64)) for at, prefixes in (wanted or {}).items()}
+
+        def merged(counts):
+            return {a: [count_pairs(*map(np.concatenate, zip(*parts)))] for a, parts in counts.items()}
+
+        def table(counts):
+            leaf, prefix, n = map(np.concatenate, zip(*[v[0] for v in counts.values()]))
+            # What a prefix was before it was made longer.
+            above = np.zeros(len(prefix), np.int64) if wanted is None else prefix >> (before - shift)
+            a = np.repeat(np.array(list(counts), np.int32), [len(v[0][0]) for v in counts.values()])
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (a, leaf, above, prefix, n)], names=["a", "leaf", "above", "prefix", "n"])
+
         def partial(batches):
+            counts: dict[int, list] = {}
+            held = 0
             for batch in batches:
                 bins, y, _, f = read(batch)
-                out = []
                 for a in quantile:
                     leaf, key = descend(bins, cuts[a]), ordered(y - f[:, a])
-                    above = np.zeros(len(key), np.int64)
                     if wanted is not None:
                         above = key >> before
-                        live = np.zeros(len(key), bool)
-                        for (level, node), prefixes in wanted.items():
+                        kept = np.zeros(len(key), bool)
+                        for (level, node), prefixes in live.items():
                             if level == a:
-                                live |= (leaf == node) & np.isin(above, list(prefixes))
-                        leaf, key, above = leaf[live], key[live], above[live]
-                    rows, n = np.unique(np.stack([leaf, above, key >> shift]), axis=1, return_counts=True) if len(key) else (np.empty((3, 0), np.int64), [])
-                    out.append(pd.DataFrame({"a": a, "leaf": rows[0], "above": rows[1], "prefix": rows[2], "n": n}))
-                if out:
-                    yield pa.RecordBatch.from_pandas(pd.concat(out).astype({"a": "int32", "leaf": "int64", "n": "int64"}), preserve_index=False)
+                                near = prefixes[np.minimum(np.searchsorted(prefixes, above), len(prefixes) - 1)]
+                                kept |= (leaf == node) & (near == above)
+                        leaf, key = leaf[kept], key[kept]
+                    found = count_pairs(leaf, key >> shift)
+                    if len(found[0]):
+                        counts.setdefault(a, []).append(found)
+                        held += len(found[0])
+                if held >= _COUNTS_AT_ONCE:
+                    counts = merged(counts)
+                    held = sum(len(v[0][0]) for v in counts.values())
+                    if held >= _COUNTS_AT_ONCE // 2:
+                        yield table(counts)
+                        counts, held = {}, 0
+            if held:
+                yield table(merged(counts))
 
         def pick(key, pdf):
             a, leaf, above = (int(k) for k in key)
@@ -279,7 +335,8 @@ class Booster:
             return pd.DataFrame(rows, columns=["a", "leaf", "which", "prefix", "rank", "n", "share"])
 
         parts = self.rows.mapInArrow(partial, "a int, leaf long, above long, prefix long, n long")
-        parts = parts.groupBy("a", "leaf", "above", "prefix").agg(F.sum("n").alias("n"))
+        # Tasks have added up their own: one shuffle serves the sum and the choice.
+        parts = parts.repartition("a", "leaf", "above").groupBy("a", "leaf", "above", "prefix").agg(F.sum("n").alias("n"))
         return parts.groupBy("a", "leaf", "above").applyInPandas(
             pick, "a int, leaf long, which int, prefix long, rank long, n long, share double").collect()
 

@@ -47,23 +47,25 @@ def choose(count, total, min_rows, min_gain, l1=0.0, l2=0.0, columns=None):
 
 def descend(bins, cuts):
     """Leaf numbers of the rows after the cuts of some levels."""
-    rows = np.arange(len(bins))
     leaf = np.zeros(len(bins), np.int64)
+    flat, begin = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
     for useful, column, border in cuts:
-        leaf = 2 * leaf + (useful[leaf] & (bins[rows, column[leaf]] > border[leaf]))
+        # No bin is above the last one: rows of a node without a cut stay low.
+        last = np.where(useful, border, BINS).astype(bins.dtype)
+        leaf = 2 * leaf + (flat[begin + column[leaf]] > last[leaf])
     return leaf
 
 
 def histogram(bins, g, slot, slots):
     """Rows and gradient sums per slot, column and bin; rows of slot -1 do not count."""
     kept = slot >= 0
-    bins, g, slot = bins[kept], g[kept], slot[kept]
-    width = bins.shape[1]
-    shape = (slots, width, BINS)
-    cell = ((slot[:, None] * width + np.arange(width)) * BINS + bins).ravel()
-    size = slots * width * BINS
-    return (np.bincount(cell, minlength=size).reshape(shape).astype(float),
-            np.bincount(cell, np.repeat(g, width), size).reshape(shape))
+    bins, g, first = bins[kept], g[kept], slot[kept] * BINS
+    rows, total = np.empty((2, slots, bins.shape[1], BINS))
+    for i, column in enumerate(bins.T):
+        cell = first + column
+        rows[:, i] = np.bincount(cell, minlength=slots * BINS).reshape(slots, BINS)
+        total[:, i] = np.bincount(cell, g, slots * BINS).reshape(slots, BINS)
+    return rows, total
 
 
 def nodes_of(number, cuts, borders, leaves):

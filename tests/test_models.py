@@ -244,6 +244,33 @@ def test_boosting_over_tasks_equals_one_series_in_a_task(data, frame, monkeypatc
         assert np.allclose(mine, want, atol=1e-9)
 
 
+def test_counts_of_prefixes_move_once(frame):
+    sc = frame.sparkSession.sparkContext
+    booster = boosting.Booster(frame.where("split = 'train'"), [0.3, 0.7], ["a", "b"], "target", trees.settings_of({}))
+    sc.setJobGroup("ranks", "")
+    found = booster.leaf_quantiles([[], []])
+    jobs = sc.statusTracker().getJobIdsForGroup("ranks")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    y = np.array([r[0] for r in frame.where("split = 'train'").select("target").collect()], float)
+    assert [f[0] for f in found] == pytest.approx(np.quantile(y, [0.3, 0.7]).tolist())
+    assert len(jobs) <= 5  # filling the cache, then two narrowings, each of one shuffle and its reading
+    booster.close()
+
+
+@pytest.mark.parametrize("shift", [0, 24, 44])
+def test_pairs_and_packed_rows_beside_numpy(shift):
+    rng = np.random.default_rng(shift)
+    leaf, prefix = rng.integers(0, 8, 3000), boosting.ordered(rng.integers(-40, 40, 3000) * 1.7e9) >> shift
+    want, n = np.unique(np.stack([leaf, prefix]), axis=1, return_counts=True)
+    got = boosting.count_pairs(leaf, prefix)
+    assert (np.stack(got[:2]) == want).all() and (got[2] == n).all()
+    twice = boosting.count_pairs(*(np.concatenate([v, v]) for v in got))
+    assert (np.stack(twice[:2]) == want).all() and (twice[2] == 2 * n).all()
+    x = rng.random((7, 3))
+    assert (boosting.unpack(boosting.pack(x).slice(2, 4), float, 3) == x[2:6]).all()
+    assert boosting.unpack(boosting.pack(x[:0]), float, 3).shape == (0, 3)
+
+
 def test_draws_of_rows_and_columns_change_trees_but_repeat(frame):
     train = frame.where("split = 'train'")
     fitted = {}
