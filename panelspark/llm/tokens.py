@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
 import string
 import zlib
 
 import numpy as np
 
 # str.split() takes these for white space, the tokenizers do not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WORDS_PER_CALL = 2_000
 _LONG_WORD = 64
 
@@ -20,6 +19,23 @@ _LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _
 _PROBES = ("word", "\u00c9cole,", "stra\u00dfe", "THE!!", "a.", "\u0142\u00f3d\u017a")
 
 
+class _Memory(dict):
+    """Ids of words; plain words are learned when first asked for, others are noted and stand as empty until then."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.other, self.gaps = learn, set(), False
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.learn(word)
+        if ids is None:
+            self.other.add(word)
+            self.gaps = True
+            return b""
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts word by word and remembers the ids of words, at most ``cache_words`` of them.
 
@@ -34,9 +50,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
-        self.known: dict[str, bytes] = {}
+        self.known = _Memory(self._simple)
+        # Ids as bytes. One more than the largest id is enough, as ids may have gaps.
+        self.codes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
         # Whether this tokenizer's model may be asked directly; _simple() says for which words.
-        self.direct = False
+        self.direct = True
         self.direct = all(self._simple(w) == self._whole(w) for w in _PROBES)
         self.recent: list[str] = []
 
@@ -52,35 +70,36 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Keep only the words of the texts just encoded; also at the end of a task, as idle workers hold memory."""
-        self.known = {w: self.known[w] for w in self.recent if w in self.known}
+        kept = {w: self.known[w] for text in self.recent for w in text.split() if w in self.known}
+        self.known.clear()
+        self.known.update(kept)
         self.recent = []
 
     def _model(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], dtype="<u4").tobytes()
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        return b"".join([self.codes[t.id] for t in self.tokenizer.model.tokenize(letters)])
 
     def _simple(self, word: str) -> bytes | None:
         """Ids of Latin letters, with ASCII signs behind them or not: the pre-tokenizer makes one piece of
         each. Below U+0250 normal form and lower case go letter by letter. None for other words."""
+        if not self.direct or len(word) > _LONG_WORD:
+            return None
         base = word.rstrip(string.punctuation)
-        if len(word) > _LONG_WORD or not base.isalpha() or max(base) >= "\u0250" or "\u0130" in base:
+        if not base.isalpha() or not base.isascii() and (max(base) >= "\u0250" or "\u0130" in base):
             return None
-        base, signs = base.lower(), word[len(base):]
-        for part in (base, signs):
-            if part and part not in self.known:
-                self.known[part] = self._model(part)
-        return self.known[base] + self.known[signs] if signs else self.known[base]
+        signs = word[len(base):]
+        base = base.lower()
+        if base == word:
+            return self._model(word)
+        ids = self._part(base)
+        return ids + self._part(signs) if signs else ids
+
+    def _part(self, part: str) -> bytes:
+        if part not in self.known:
+            self.known[part] = self._model(part)
+        return self.known[part]
 
     def _learn(self, words: list[str]) -> None:
-        if self.direct:
-            other = []
-            for word in words:
-                ids = self._simple(word)
-                if ids is None:
-                    other.append(word)
-                else:
-                    self.known[word] = ids
-            words = other
         for i in range(0, len(words), _WORDS_PER_CALL):
             part = words[i:i + _WORDS_PER_CALL]
             coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -98,33 +117,33 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null as empty."""
-        words, ends, whole = [], [], {}
+        known, out, plain, unfinished = self.known, [], [], []
+        ids_of = known.__getitem__
         for i, text in enumerate(texts):
-            if text and _SEPARATORS.search(text):
-                whole[i] = self._whole(text)
-            elif text:
+            if not text:
+                out.append(b"")
+            elif any(c in text for c in _SEPARATORS):
+                out.append(self._whole(text))
+            else:
                 # Fewer words to learn; "<|" may begin a special token, whose case counts.
-                words += (text.lower() if text.isascii() and "<|" not in text else text).split()
-            ends.append(len(words))
-        found = list(map(self.known.get, words))
-        unknown = [i for i, ids in enumerate(found) if ids is None]
-        if unknown:
-            new = {words[i] for i in unknown}
-            self._learn(sorted(new))
-            for i in unknown:
-                found[i] = self.known[words[i]]
+                plain.append(text.lower() if text.isascii() and "<|" not in text else text)
+                words = plain[-1].split()
+                known.gaps = False
+                out.append(b"".join(map(ids_of, words)))
+                if known.gaps:
+                    unfinished.append((i, words))
+        if unfinished:
+            new = sorted(known.other)
+            known.other.clear()
+            self._learn(new)
+            for i, words in unfinished:
+                out[i] = b"".join(map(ids_of, words))
             for word in new:
                 if len(word) > _LONG_WORD:
-                    self.known.pop(word, None)
-        self.recent = words
-        if len(self.known) > self.cache_words:
+                    known.pop(word, None)
+        self.recent = plain
+        if len(known) > self.cache_words:
             self.forget()
-        out, begin = [], 0
-        for end in ends:
-            out.append(b"".join(found[begin:end]))
-            begin = end
-        for i, raw in whole.items():
-            out[i] = raw
         return out
 
 

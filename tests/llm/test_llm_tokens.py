@@ -25,6 +25,24 @@ def whole(tokenizer, text):
     return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_plain_words_are_learned_without_arrays(monkeypatch):
+    """Words of Latin letters and signs cost a call of the model each; gaps of other words are filled in afterwards."""
+    from panelspark.llm import tokens
+
+    encoder = WordEncoder(catalog.TOKENIZER, cache_words=50)
+    texts = ["plain Words, and Stra\u00dfe!!", None, "again plain words 12 \u4f60\u597d x1 12", "", "y" * 70 + " 12 " + "z1" * 40 + " " + "z1" * 40]
+    want = [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    made = []
+    real = tokens.np.array
+    with monkeypatch.context() as patched:
+        patched.setattr(tokens.np, "array", lambda *a, **k: made.append(a) or real(*a, **k))
+        assert encoder.encode(texts[:2]) == want[:2] and not made
+    for _ in range(3):
+        assert encoder.encode(texts) == want
+        encoder.forget()
+    assert not any(len(w) > 64 for w in encoder.known)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="aBéÑßżĶ,.'sS. \t\n\r\x0b\x1c\x85\xa0   　́İΣ<|endoftx>9_!!", max_size=40), max_size=4))
 def test_words_encode_like_whole_texts(tokenizer, texts):
