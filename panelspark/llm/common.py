@@ -8,11 +8,14 @@ from panelspark.session import scratch_path
 
 
 class Stored:
-    """A frame written to the shared folder, read back, and deletable once nothing needs it."""
+    """A frame written to the shared folder, read back, and deletable once nothing needs it.
 
-    def __init__(self, df: DataFrame, name: str):
+    ``options`` go to the Parquet writer: a task holds one row group while it writes and while it reads.
+    """
+
+    def __init__(self, df: DataFrame, name: str, **options):
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, name)
-        df.write.parquet(self.path)
+        df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def delete(self):

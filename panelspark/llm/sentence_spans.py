@@ -19,7 +19,9 @@ _CONTEXT = WORDS + CUT_WINDOW
 _SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
 _STOPS = np.array([ord(c) for c in ".!?"])
 _CLOSERS = np.array([ord(c) for c in "\"')]»”’"])
-_CHARS_AT_ONCE = 1 << 20
+# What a task holds at once: texts being split, and a row group of a table between two stages.
+_CHARS_AT_ONCE = 1 << 18
+_ROW_GROUP = {"parquet.block.size": 4 << 20}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -193,9 +195,15 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(read, f"doc_id {kind}, text_hash long, side int, at int, words array<long>")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """The side of a join with one short row for each key: hashed by partition, so that no task sorts the other side,
+    whose texts or runs are many times as large."""
+    return df.hint("shuffle_hash")
+
+
 def _by_text(rows: DataFrame, places: DataFrame, how: str, *cols: str) -> DataFrame:
-    """doc_id, text_hash, text and ``cols`` of the places of each text."""
-    places = Stored(places, "places").df
+    """doc_id, text_hash, text and ``cols`` of the places of each text (one row of places for each)."""
+    places = _few(Stored(places, "places", **_ROW_GROUP).df)
     same = (rows["text_hash"] == places["text_hash"]) & rows["doc_id"].eqNullSafe(places["doc_id"])
     return rows.join(places, same, how).select(rows["doc_id"], rows["text_hash"], "text", *cols)
 
@@ -249,26 +257,27 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Runs are counted, map-side first; only places of repeated ones go on. A run that a third of all documents hold
     is split by adaptive execution: both sides of each join are plain scans. Texts without a repeat are
-    split into words once.
+    split into words once. A task holds _CHARS_AT_ONCE characters as words, a row group of each table it reads or writes and
+    its share of the repeated hashes, their first places, or the ranges of its texts; runs and texts pass by unsorted in these joins.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    spans = Stored(_spans(rows, least_sentences, least_words), "spans")
+    spans = Stored(_spans(rows, least_sentences, least_words), "spans", **_ROW_GROUP)
     runs = spans.df.where(F.col("hash").isNotNull())
-    repeated = Stored(runs.groupBy("hash").count().where(F.col("count") > 1).select("hash"), "repeated")
-    hits = Stored(runs.join(repeated.df, "hash"), "hits")
+    repeated = Stored(runs.groupBy("hash").count().where(F.col("count") > 1).select("hash"), "repeated", **_ROW_GROUP)
+    hits = Stored(runs.join(_few(repeated.df), "hash"), "hits", **_ROW_GROUP)
     repeated.delete()
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
-    first = Stored(hits.df.groupBy("hash").agg(F.min(place).alias("first")), "first_places")
-    later = Stored(hits.df.join(first.df, "hash").where(place != F.col("first")).drop("first"), "later")
+    first = Stored(hits.df.groupBy("hash").agg(F.min(place).alias("first")), "first_places", **_ROW_GROUP)
+    later = Stored(hits.df.join(_few(first.df), "hash").where(place != F.col("first")).drop("first"), "later", **_ROW_GROUP)
     hits.delete()
     # A repeated row's runs stand twice among the later ones; that changes no edge.
     edges = _edges(later.df).distinct().join(first.df, "hash")
     there = F.col("first")["start"] + F.when(F.col("side") == 1, F.col("n")).otherwise(0)
     pairs = Stored(edges.select("doc_id", "text_hash", "side", "at", F.col("first")["doc_id"].alias("first_id"),
-                                F.col("first")["text_hash"].alias("first_hash"), there.alias("first_at")), "pairs")
+                                F.col("first")["text_hash"].alias("first_hash"), there.alias("first_at")), "pairs", **_ROW_GROUP)
     own = pairs.df.select("doc_id", "text_hash", "side", "at")
     theirs = pairs.df.select(F.col("first_id").alias("doc_id"), F.col("first_hash").alias("text_hash"), "side", F.col("first_at").alias("at"))
-    near = Stored(_contexts(rows, own.unionByName(theirs).distinct()), "contexts")
+    near = Stored(_contexts(rows, own.unionByName(theirs).distinct()), "contexts", **_ROW_GROUP)
     grown = _grown(pairs.df, near.df)
     ranges = later.df.select("doc_id", "text_hash", "start", "stop").unionByName(grown).unionByName(
         spans.df.where(F.col("hash").isNull()).select("doc_id", "text_hash", "start", "stop"))

@@ -1,16 +1,19 @@
 """Languages, URLs, benchmark passages, repeated spans and page text."""
 
 import collections
+import glob
 import html.parser
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from panelspark.llm import catalog, decontaminate, html_text, language, sentence_spans, url_filter
+from panelspark.llm.common import Stored
 
 
 # ---- languages --------------------------------------------------------------------------
@@ -360,6 +363,28 @@ def test_passages_go_whole_in_any_surroundings(spark):
     assert all(got[i] == text for i, text in docs if 1000 <= i < 2000)
 
 
+def test_spans_hold_little_in_a_task(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = [" ".join(word() for _ in range(200)) for _ in range(800)] + [None, ""]
+    parts = list(sentence_spans._groups(texts))
+    assert [t for _, p in parts for t in p] == [t or "" for t in texts] and [b for b, _ in parts] == [sum(len(p) for _, p in parts[:i]) for i in range(len(parts))]
+    assert max(sum(map(len, p)) for _, p in parts) < 300_000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:20] * 2)], "doc_id long, text string")
+    out = sentence_spans.remove_repeats(docs)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(i, texts[i % 20] if i < 20 else "") for i in range(40)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_stored_row_groups(spark, tmp_path):
+    stored = Stored(spark.range(900_000).selectExpr("xxhash64(id) AS h").coalesce(1), "groups", **sentence_spans._ROW_GROUP)
+    groups = [m.row_group(i).total_byte_size for f in glob.glob(f"{stored.path.removeprefix('file://')}/*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    assert len(groups) > 1 and max(groups) < 6 << 20
+    assert stored.df.distinct().count() == 900_000
+    stored.delete()
+
+
 # ---- page text --------------------------------------------------------------------------
 
 @pytest.mark.parametrize("html,text", [
